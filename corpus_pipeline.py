@@ -1,4 +1,4 @@
-"""Training-data pipeline over ``documents``: toxicity first.
+"""Training-data pipeline over ``documents``: toxicity, language, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as the
 next one's input.  All but the last return the columns of ``documents``.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import toxicity
+from tributary.llm import language, near_dedup, packing, toxicity
 from tributary.llm.common import materialise, table
 
 
@@ -17,9 +17,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-STAGES = [("toxicity", toxicity_stage)]
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents whose language cannot be told."""
+    return language.keep_identified(docs)
 
-#: The stages train and sample models, which SQL cannot express.
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least id of each component of documents that share 80 % of their five-word shingles."""
+    return near_dedup.keep_one(docs, near_dedup.FIVE_WORDS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place the documents in sequences of 1024 tokens: one row per piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("language", language_stage), ("near_dedup", dedup_stage), ("packing", packing_stage)]
+
+#: The stages train models and sample sketches, which SQL cannot express.
 ORACLE_SQL = None
 
 

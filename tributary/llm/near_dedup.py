@@ -195,3 +195,18 @@ def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -
     more = confirmed(materialise(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"), documents, params)
     whole = connected_components(links.unionByName(more).unionByName(twins))
     return signed.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(documents: DataFrame, params: DedupParams = FIVE_WORDS) -> DataFrame:
+    """Rows of ``documents`` (all columns) without all but the least id of each component.
+
+    Of rows with one doc_id one stays; rows without a doc_id stay all.
+    """
+    gone = near_duplicates(documents, params).where("not kept").select("doc_id").distinct()
+    left = documents.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    again = documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = materialise(again, "again")
+    if again.isEmpty():
+        return left
+    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in documents.columns])
