@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import language, near_dedup, packing, quality, toxicity
+from tributary.llm import language, metric_search, multi_index, near_dedup, packing, quality, sql, toxicity
 from tributary.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.approximate_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.DedupParams(words=3, percent=85))
 
@@ -34,10 +42,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_quality": op4_quality,
+    "op5_exact_search": op5_exact_search,
     "op6_language": op6_language,
+    "op8_neighbours": op8_neighbours,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_exact_search": sql.EXACT_SEARCH}
