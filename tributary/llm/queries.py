@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import language, metric_search, multi_index, near_dedup, packing, quality, sql, toxicity
+from tributary.llm import bpe, language, metric_search, multi_index, near_dedup, packing, quality, sql, toxicity
 from tributary.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), output="digests")
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.approximate_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_exact_search": op5_exact_search,
     "op6_language": op6_language,
+    "op7_bpe": op7_bpe,
     "op8_neighbours": op8_neighbours,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
