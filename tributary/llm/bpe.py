@@ -43,8 +43,8 @@ class BpeParams:
 
 @cache
 def splitter(pattern: str) -> regex.Pattern:
-    """The pre-token pattern with white space as Unicode defines it (the module's own \\s has more)."""
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    """The pre-token pattern; white space, letters and numbers are Unicode's."""
+    return regex.compile(pattern)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list, list[str]]]:
