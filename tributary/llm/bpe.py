@@ -8,9 +8,7 @@ Encoding is the costly part and words repeat, so every distinct pre-token is enc
 3. Chunks' texts, moved once and compressed, join their answers and are put together again
    position by position.  Decoding looks the ids up in the token-byte table of the rank file,
    whose size the vocabulary bounds.
-A frequent word costs one entry a chunk, so no word is hot.  A chunk is named by the hash of its
-content: what is evaluated again after a lost executor gets the same name, and equal chunks may
-share answers.
+A frequent word costs one entry a chunk, so no word is hot.
 """
 
 from __future__ import annotations
@@ -26,11 +24,11 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.chunks import chunks, packed, unpacked
 from tributary.llm.tokens import rank_encoding, rank_table
 
 
@@ -47,29 +45,6 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list, list[str]]]:
-    """(name, keys, texts) of consecutive rows with about ``limit`` bytes of text."""
-    keys, texts, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(key)
-            texts.append(text or "")
-            size += len(texts[-1]) + 16
-            if size >= limit:
-                yield _name(keys, texts), keys, texts
-                keys, texts, size = [], [], 0
-    if keys:
-        yield _name(keys, texts), keys, texts
-
-
-def _name(keys: list, texts: list[str]) -> int:
-    h = xxhash.xxh3_64()
-    for key, text in zip(keys, texts, strict=True):
-        h.update(f"{key}:{len(text)}:".encode())
-        h.update(text.encode())
-    return h.intdigest() - (1 << 63)
-
-
 def words_by_bucket(split: list[list[str]], buckets: int) -> list[list[str]]:
     """Distinct words in order of first occurrence, by the bucket of their hash."""
     seen: dict[str, None] = {}
@@ -81,18 +56,6 @@ def words_by_bucket(split: list[list[str]], buckets: int) -> list[list[str]]:
     return out
 
 
-def _packed(parts: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return np.uint32(len(parts)).tobytes() + sizes.tobytes() + b"".join(parts)
-
-
-def _unpacked(blob: bytes) -> list[bytes]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(blob, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = [4 + 4 * n, *ends.tolist()]
-    return [blob[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-
-
 def encode_documents(documents: DataFrame, params: BpeParams | None = None, output: str = "ids") -> DataFrame:
     """One row per input row, in no order: doc_id with what ``output`` names.
 
@@ -108,9 +71,9 @@ def encode_documents(documents: DataFrame, params: BpeParams | None = None, outp
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, z = splitter(params.pattern).findall, zstandard.ZstdCompressor(level=3)
-        for name, _, texts in _chunks(batches, params.chunk_bytes):
-            by = words_by_bucket([find(t) for t in texts], buckets)
-            rows = [(b, name, z.compress(_packed([w.encode() for w in words]))) for b, words in enumerate(by) if words]
+        for name, _, texts in chunks(batches, params.chunk_bytes):
+            by = words_by_bucket([find(t.decode()) for t in texts], buckets)
+            rows = [(b, name, z.compress(packed([w.encode() for w in words]))) for b, words in enumerate(by) if words]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "words"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -120,17 +83,17 @@ def encode_documents(documents: DataFrame, params: BpeParams | None = None, outp
         out = []
         for blob in group["words"]:
             ids = []
-            for word in _unpacked(z.decompress(blob)):
+            for word in unpacked(z.decompress(blob)):
                 if (found := known.get(word)) is None:
                     found = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
                 ids.append(found)
-            out.append(c.compress(_packed(ids)))
+            out.append(c.compress(packed(ids)))
         return pd.DataFrame({"chunk": group["chunk"], "bucket": group["bucket"], "ids": out})
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for name, keys, texts in _chunks(batches, params.chunk_bytes):
-            body = z.compress(_packed([t.encode() for t in texts]))
+        for name, keys, texts in chunks(batches, params.chunk_bytes):
+            body = z.compress(packed(texts))
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([keys], pa.list_(pa.int64())), pa.array([body], pa.binary())], ["chunk", "keys", "texts"])
 
     table = {rank: token for token, rank in rank_table(params.vocabulary).items()}  # as large as the vocabulary
@@ -140,10 +103,10 @@ def encode_documents(documents: DataFrame, params: BpeParams | None = None, outp
         find, z = splitter(params.pattern).findall, zstandard.ZstdDecompressor()
         token_bytes = _token_list(params.vocabulary, size)
         token_text = _token_text(size)
-        ids_of = {b: _unpacked(z.decompress(blob)) for b, blob in zip(answers["bucket"], answers["ids"], strict=True)}
+        ids_of = {b: unpacked(z.decompress(blob)) for b, blob in zip(answers["bucket"], answers["ids"], strict=True)}
         frames = []
         for keys, blob in zip(texts["keys"], texts["texts"], strict=True):
-            split = [find(t.decode()) for t in _unpacked(z.decompress(blob))]
+            split = [find(t.decode()) for t in unpacked(z.decompress(blob))]
             written, decoded, numbers = {}, {}, {}
             for b, words in enumerate(words_by_bucket(split, buckets)):
                 if not words:

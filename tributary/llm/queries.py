@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, language, licenses, metric_search, multi_index, near_dedup, packing, quality, sql, toxicity
+from tributary.llm import bpe, language, licenses, metric_search, multi_index, near_dedup, packing, pitman_yor, quality, sql, toxicity
 from tributary.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_exact_search": op5_exact_search,
