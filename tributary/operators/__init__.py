@@ -1 +1 @@
-
+"""Relational operators: cleaning, sessions, graphs, propagation, metrics, runs."""

@@ -1,4 +1,7 @@
 """Named queries over the given tables, with the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tributary.plans import clean, evaluate, graph
+
+_PARTS = (clean, graph, evaluate)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
