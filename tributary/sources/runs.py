@@ -23,7 +23,7 @@ def read_run_histories(spark: SparkSession, folder: str, name: str = "history.js
 
 def read_training_logs(spark: SparkSession, folder: str, known: DataFrame | None = None, marker: str = "Test evaluation") -> DataFrame:
     """(run, auc, ap, logloss, ndcg10): metrics after the last marker of each log; runs in ``known`` are left out."""
-    logs = spark.read.option("wholetext", True).text(f"{folder}/*/*.log").select(F.regexp_extract(F.input_file_name(), RUN, 1).alias("run"), "value")
+    logs = spark.read.text(f"{folder}/*/*.log", wholetext=True).select(F.regexp_extract(F.input_file_name(), RUN, 1).alias("run"), "value")
     last = F.element_at(F.split("value", marker), -1)
     metric = lambda label: F.regexp_extract(last, f"{label}: *{NUMBER}", 1).try_cast("double")
     found = logs.where(F.col("value").contains(marker)).select("run", metric("AUC").alias("auc"), metric("AP").alias("ap"), metric("logloss").alias("logloss"), metric(r"NDCG\(10\)").alias("ndcg10"))
