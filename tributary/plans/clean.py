@@ -92,18 +92,18 @@ def vocab_sizes(s, sf):
     return C.vocabulary_sizes(B.users(s, sf), ["onehot_feat0", "onehot_feat1", "onehot_feat2"])
 
 
-VOCAB = "SELECT token, n, row_number() OVER (ORDER BY token) AS idx FROM (SELECT CAST(video_id AS VARCHAR) AS token, count(*) AS n FROM log WHERE is_click = 1 GROUP BY 1 HAVING count(*) >= 20)"
+VOCAB = "SELECT token, n, row_number() OVER (ORDER BY token) AS idx FROM (SELECT CAST(video_id AS VARCHAR) AS token, count(*) AS n FROM log WHERE is_click = 1 GROUP BY 1 HAVING count(*) >= 2)"
 
 
 @query("vocab_min_count", sql(VOCAB, "log"))
 def vocab_min_count(s, sf):
-    return C.vocabulary(B.log(s, sf).where("is_click = 1"), "video_id", 20)
+    return C.vocabulary(B.log(s, sf).where("is_click = 1"), "video_id", 2)
 
 
 @query("token_encode", sql(f"SELECT coalesce(v.idx, 0) AS code, count(*) AS n FROM log LEFT JOIN ({VOCAB}) v ON v.token = CAST(video_id AS VARCHAR) GROUP BY 1", "log"))
 def token_encode(s, sf):
     log = B.log(s, sf)
-    return C.encode_tokens(log, "video_id", C.vocabulary(log.where("is_click = 1"), "video_id", 20), "code").groupBy("code").agg(F.count("*").alias("n"))
+    return C.encode_tokens(log, "video_id", C.vocabulary(log.where("is_click = 1"), "video_id", 2), "code").groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("feature_vectors", sql("SELECT c_custkey AS user_id, [CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 3 WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END, round(ln(1 + greatest(c_acctbal, 0)), 6), c_nationkey % 5, c_custkey % 3]::DOUBLE[] AS features FROM customer"))

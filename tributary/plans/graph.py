@@ -73,12 +73,12 @@ def history50(s, sf):
 
 @query("sequence_encode", sql(f"""SELECT row_key, list_concat(CAST(list_transform(range(50 - len(codes)), lambda i: 0) AS BIGINT[]), codes) AS seq FROM (
     SELECT row_key, list(coalesce(idx, 0) ORDER BY pos) AS codes FROM (SELECT row_key, unnest(hist) AS item, unnest(range(len(hist))) AS pos FROM ({HISTORY}) WHERE hist IS NOT NULL)
-      LEFT JOIN (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT CAST(video_id AS VARCHAR) AS token FROM log WHERE is_click = 1 GROUP BY 1 HAVING count(*) >= 20)) ON token = CAST(item AS VARCHAR) GROUP BY 1)""", "log"))
+      LEFT JOIN (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT CAST(video_id AS VARCHAR) AS token FROM log WHERE is_click = 1 GROUP BY 1 HAVING count(*) >= 2)) ON token = CAST(item AS VARCHAR) GROUP BY 1)""", "log"))
 def sequence_encode(s, sf):
     from tributary.operators.clean import encode_sequences, vocabulary
 
     log = B.log(s, sf)
-    return encode_sequences(S.histories(log).select("row_key", "hist"), "row_key", "hist", vocabulary(log.where("is_click = 1"), "video_id", 20), "seq").select("row_key", "seq")
+    return encode_sequences(S.histories(log).select("row_key", "hist"), "row_key", "hist", vocabulary(log.where("is_click = 1"), "video_id", 2), "seq").select("row_key", "seq")
 
 
 @query("temporal_split", sql("SELECT row_key, CASE WHEN row_number() OVER (ORDER BY time_ms, row_key) <= (SELECT floor(count(*) * 0.8) FROM log) THEN 'train' ELSE 'test' END AS split FROM log", "log"))
