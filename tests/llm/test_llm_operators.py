@@ -386,6 +386,13 @@ def test_encoding_round_trip(odd):
     assert bpe.encode_documents(odd.limit(0)).collect() == []
 
 
+def test_fast_pattern_equals_the_given_one():
+    rng = np.random.default_rng(11)
+    letters = [chr(c) for c in [*range(0x250), 0x2003, 0x4E00, 0x0664, 0x1F642]]
+    for text in [*(t for t in ODD if t), *("".join(rng.choice(letters, 60)) for _ in range(300)), *("".join(rng.choice(list("ab1² '_\n\x1cé"), 40)) for _ in range(300))]:
+        assert bpe.pre_tokens(text, public_tokenizers.PATTERN) == bpe.splitter(public_tokenizers.PATTERN).findall(text)
+
+
 def test_rank_file_is_what_the_library_reads():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_table(path), special_tokens={})
