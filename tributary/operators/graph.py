@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.derive import edge_attributes, ips_weight
 from tributary.operators.clean import in_domain, vector
-from tributary.operators.prefix import ordered_prefix
+from tributary.operators.prefix import ordered_prefix, written
 from tributary.operators.sessions import next_in_session
 from tributary.schema import ENCRYPTED, NODE_TYPES, RELATIONS
 
@@ -99,7 +99,7 @@ def build_graph(log: DataFrame, users: DataFrame, videos: DataFrame, most: int =
     if scope == "train" and "split" in log.columns:
         log = log.where(F.col("split") == "train")
     user_ids, video_ids, author_ids, categories = id_map(users, "user_id"), id_map(videos, "video_id"), id_map(videos, "author_id"), category_map(videos)
-    known = in_domain(log, user_ids, video_ids)
+    known = written(in_domain(log, user_ids, video_ids), "known")  # five relations read it
     made = made_by(videos, video_ids, author_ids)
     parts = [interacted(known), feedback(known), follows(known, made), made, tagged_as(videos, video_ids, categories), in_session(known, most)]
     edges = parts[0]
