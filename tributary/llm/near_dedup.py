@@ -4,10 +4,10 @@ Plan:
 1. Every whole text becomes its set of distinct word shingles (64-bit hashes), an exact
    class (md5 of the set: copies share it) and band keys of a one-permutation sketch.
 2. One document, the least id, stands for each class.  Documents of a bucket are linked
-   to the bucket's least id only: a star, as many edges as members.
+   to two hubs only, its least id and its least id hash: stars, as many edges as members.
 3. Each distinct edge is confirmed on the full sets; confirmed links give components.
-4. What a star cannot see is looked up exactly: in buckets that still hold several
-   components, members of different components are compared with one another.
+4. What stars cannot see is looked up exactly: members of buckets that still hold several
+   components are paired across components by their rarest shingles, and confirmed too.
 
 Sketch: the hashes are dealt into equal ranges, one bin each, and a bin keeps its least
 hash.  An empty bin borrows from the first filled bin in a fixed random order of its own,
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Memo, materialise, words_of
@@ -130,31 +130,47 @@ def sketches(documents: DataFrame, params: DedupParams) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
-def confirmed(edges: DataFrame, documents: DataFrame, params: DedupParams) -> DataFrame:
-    """The edges (a, b) whose full shingle sets are similar enough.
+def moved_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, z): the compressed text of each wanted id, one row an id.
 
-    Only texts at an edge's end are moved, compressed; one text per doc_id.  Edges come sorted
-    by ``a`` after the last join, so a hub's set is built once for a run of edges.
+    A Bloom filter of fixed size goes to the scan first, so that few texts but the wanted are
+    shuffled; with more ids than it can tell apart it lets more through, never fewer.
     """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    words = 1 << 17  # of 64 bits: 1 MB
+    place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(words * 64))
+    bits = ids.select(F.explode(F.array(place(1), place(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    found = bits.toArrow()
+    flags = np.zeros(words, np.int64)
+    flags[found["word"].to_numpy()] = found["mask"].to_numpy()
+    packed = flags.view(np.uint8)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = [z.compress(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "z"])
+            one, two = (batch.column(i).to_numpy() for i in (2, 3))
+            wanted = ((packed[one >> 3] >> (one & 7)) & (packed[two >> 3] >> (two & 7)) & 1).astype(bool)
+            part = batch.filter(pa.array(wanted))
+            texts = [z.compress(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["doc_id", "z"])
+
+    texts = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").select("doc_id", "text", place(1).alias("p1"), place(2).alias("p2"))
+    return texts.mapInArrow(squeeze, "doc_id long, z binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, params: DedupParams) -> DataFrame:
+    """The edges (a, b) whose full shingle sets are similar enough.
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(squeeze, "doc_id long, z binary")
-    texts = materialise(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    Edges come sorted by ``a`` after the last join, so a hub's set is built once for a run of
+    edges; a bounded number of other sets is remembered too.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, z = word_hashes(), zstandard.ZstdDecompressor()
-        build = lambda x: shingle_set(z.decompress(x), params.words, memo)
-        sets = Memo(build, 64)
+        sets = Memo(lambda x: shingle_set(z.decompress(x), params.words, memo), 500)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = sets[x], build(y)
+                s, t = sets[x], sets[y]
                 lesser, greater = sorted((len(s), len(t)))
                 if 100 * lesser < params.percent * greater:
                     keep.append(False)
@@ -166,35 +182,62 @@ def confirmed(edges: DataFrame, documents: DataFrame, params: DedupParams) -> Da
     return edges.join(texts.withColumnsRenamed({"doc_id": "b", "z": "zb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "z": "za"}), "a").select("a", "b", "za", "zb").mapInArrow(verify, "a long, b long")
 
 
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> DataFrame:
+    """Every pair (a, b) of nodes (doc_id, c) with different c that can be similar enough, by prefixes.
+
+    Similar sets share one of the rarest n - ceil(percent * n) + 1 shingles of either, rarity being
+    counted over all the nodes.  What one node alone has fills its prefix without meeting anything,
+    and what a common passage gives stands last: pairs stay few where buckets are crowded.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, z = word_hashes(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            found = [shingle_set(z.decompress(t), params.words, memo).view(np.int64) for t in batch.column(2).to_pylist()]
+            flat = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), lists], ["doc_id", "c", "n", "s"])
+
+    has = nodes.join(texts, "doc_id").select("doc_id", "c", "z").mapInArrow(sets, "doc_id long, c long, n long, s array<long>")
+    has = materialise(has, "sets").select("doc_id", "c", "n", F.explode("s").alias("s"))
+    common = has.groupBy("s").agg(F.count("*").alias("df"))
+    rare_first = Window.partitionBy("doc_id").orderBy("df", "s")
+    least = F.floor((F.col("n") * params.percent + 99) / 100)
+    prefix = has.join(common, "s").withColumn("place", F.row_number().over(rare_first)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1))
+    prefix = materialise(prefix.select("s", "doc_id", "c", "n"), "prefix")
+    x, y = (prefix.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "c", "n")]) for side in "xy")
+    sized = (F.col("n_x") * 100 >= F.col("n_y") * params.percent) & (F.col("n_y") * 100 >= F.col("n_x") * params.percent)
+    return x.join(y, "s").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y")) & sized).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Null or empty texts and texts without words have no shingles and are linked with nothing.
-    Rows of one doc_id are one document for linking (several texts: each counts).  A null
-    doc_id takes part in nothing: component_id null, kept.  Ties cannot matter: components and
-    least ids are unique.  Extra columns are ignored.
+    Repeated rows are copies like others; rows with one doc_id and several texts are linked by
+    each row's own text.  A null doc_id takes part in nothing: component_id null, kept.  Ties
+    cannot matter: components and least ids are unique.  Extra columns are ignored.
     """
     signed = materialise(sketches(documents, params), "sketches")
-    classes = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = materialise(classes, "classes")
-    member = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    stars = member.join(buckets.select("key", "hub"), "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialise(stars, "stars")
-    links = materialise(confirmed(stars, documents, params), "links")
-    twins = signed.where("class is not null and doc_id is not null").select("class", "doc_id").join(nodes.select("class", "node"), "class").where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = connected_components(links)
-
-    # members of different components in one bucket, which the star left uncompared
-    placed = member.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    member = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = member.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("node")).alias("other")).where("least < last")
+    shared = materialise(member.join(buckets.select("key", "least", "other"), "key"), "buckets")
+    stars = materialise(shared.select("node", F.explode(F.array("least", "other")).alias("hub")).where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    texts = materialise(moved_texts(documents, shared.select(F.col("node").alias("doc_id")).distinct()), "texts")
+    found = connected_components(materialise(confirmed(stars, texts, params), "links"))
+
+    # what the stars left uncompared: members of different components in one bucket
+    placed = shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_members = materialise(placed.join(mixed, "key"), "open")
-    x, y = open_members.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "c")]), open_members.select("key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "c")])
-    sized = (F.col("n_x") * 100 >= F.col("n_y") * params.percent) & (F.col("n_y") * 100 >= F.col("n_x") * params.percent)
-    pairs = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & sized).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    more = confirmed(materialise(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"), documents, params)
-    whole = connected_components(links.unionByName(more).unionByName(twins))
-    return signed.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    pairs = prefix_pairs(placed.join(mixed, "key").select("doc_id", "c").distinct(), texts, params)
+    more = materialise(confirmed(materialise(pairs, "pairs"), texts, params), "links")
+    if not more.isEmpty():
+        found = connected_components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+    named = nodes.select("class", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("class", F.coalesce("component", "node").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return signed.join(named, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(documents: DataFrame, params: DedupParams = FIVE_WORDS) -> DataFrame:
