@@ -186,8 +186,9 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> Dat
     """Every pair (a, b) of nodes (doc_id, c) with different c that can be similar enough, by prefixes.
 
     Similar sets share one of the rarest n - ceil(percent * n) + 1 shingles of either, rarity being
-    counted over all the nodes.  What one node alone has fills its prefix without meeting anything,
-    and what a common passage gives stands last: pairs stay few where buckets are crowded.
+    counted over all the nodes; and from the first shared one on, enough must be left of both for
+    the overlap that the threshold asks.  What one node alone has fills its prefix without meeting
+    anything, and what a common passage gives stands last: pairs stay few where buckets are crowded.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +205,12 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> Dat
     rare_first = Window.partitionBy("doc_id").orderBy("df", "s")
     least = F.floor((F.col("n") * params.percent + 99) / 100)
     prefix = has.join(common, "s").withColumn("place", F.row_number().over(rare_first)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1))
-    prefix = materialise(prefix.select("s", "doc_id", "c", "n"), "prefix")
-    x, y = (prefix.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "c", "n")]) for side in "xy")
+    prefix = materialise(prefix.select("s", "doc_id", "c", "n", "place"), "prefix")
+    x, y = (prefix.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "c", "n", "place")]) for side in "xy")
     sized = (F.col("n_x") * 100 >= F.col("n_y") * params.percent) & (F.col("n_y") * 100 >= F.col("n_x") * params.percent)
-    return x.join(y, "s").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y")) & sized).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    left = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    enough = left * (100 + params.percent) >= (F.col("n_x") + F.col("n_y")) * params.percent
+    return x.join(y, "s").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y")) & sized & enough).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
