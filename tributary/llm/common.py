@@ -44,6 +44,14 @@ def id_remainder(column: Column | str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``rows`` rows: texts are long, workers are small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > rows or int(df.sparkSession.conf.get(name)) <= 0:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores put before it until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
@@ -60,7 +68,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Memo(dict):
     """Dictionary that computes missing values and forgets everything beyond ``limit`` entries."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 150_000):
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import free_name, materialise
+from tributary.llm.common import free_name, materialise, small_batches
 
 UNKNOWN = "und"
 
@@ -37,6 +37,7 @@ class LanguageParams:
     unknown_prior: float = 0.01
     accept: float = 0.5
     max_languages: int = 256
+    broadcast_hosts: int = 100_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ def _trigrams(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndar
 
 def train(texts: DataFrame, params: LanguageParams = LanguageParams()) -> TextModel:
     """Count trigrams of every row of (text, lang) with both; the counts are bounded by buckets times languages."""
-    known = texts.select("text", F.lower("lang").alias("lang")).where("text is not null and lang is not null")
+    known = small_batches(texts).select("text", F.lower("lang").alias("lang")).where("text is not null and lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -208,7 +209,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.string()) for k, c in enumerate(columns)], ["key", "text", "declared", "suffix", "host", "domain"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "key long, text string, declared string, suffix string, host string, domain string")
+    return small_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "key long, text string, declared string, suffix string, host string, domain string")
 
 
 def identify_pages(pages: DataFrame, documents: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
@@ -231,6 +232,9 @@ def keep_identified(documents: DataFrame, params: LanguageParams = LanguageParam
     n, known = len(model.languages), list(model.languages[:-1])
     declared = F.lower("lang")
     by_host = documents.where(declared.isin(known)).groupBy("source", declared.alias("said")).agg(F.count("*").alias("n")).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("said", "n"))).alias("said"))
+    by_host = materialise(by_host, "hosts")
+    if by_host.count() <= params.broadcast_hosts:  # else Spark chooses, and texts may be shuffled
+        by_host = F.broadcast(by_host)
     prior_name, mark = free_name(documents, "host_counts"), free_name(documents, "language_found")
     joined = documents.join(by_host.select("source", F.col("said").alias(prior_name)), "source", "left").select(*[F.col(f"`{c}`") for c in documents.columns], prior_name)
     index = {x: i for i, x in enumerate(known)}
