@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo
+from tributary.llm.common import Memo, small_batches
 
 # Notices and opening texts of common licences.
 TEMPLATES: dict[str, str] = {
@@ -149,4 +149,4 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], ["doc_id", "license", "coverage", "matched", "span_start", "span_end"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, coverage double, matched int, span_start long, span_end long")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, coverage double, matched int, span_start long, span_end long")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo, materialise, words_of
+from tributary.llm.common import Memo, materialise, small_batches, words_of
 from tributary.llm.components import connected_components
 
 
@@ -127,7 +127,7 @@ def sketches(documents: DataFrame, params: DedupParams) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)]).astype(np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists], ["doc_id", "n_shingles", "class", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
 
 
 def moved_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialise
+from tributary.llm.common import materialise, small_batches
 from tributary.llm.tokens import ids_of, json_encoding
 
 
@@ -228,7 +228,7 @@ def pieces(documents: DataFrame, params: PackingParams) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def pack(documents: DataFrame, params: PackingParams | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import id_remainder, materialise
+from tributary.llm.common import id_remainder, materialise, small_batches
 
 #: Names of the statistics, in the order of ``statistics``.
 STATISTICS = ("log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "marks", "bars", "exclaims", "other_punct", "distinct_words", "repeated_lines", "line_words", "shouted", "top_word", "non_ascii", "symbol_ends")
@@ -78,7 +78,7 @@ def _measured(documents: DataFrame) -> DataFrame:
             rows = [statistics(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
 def fit(measured: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo, free_name, id_remainder, words_of
+from tributary.llm.common import Memo, free_name, id_remainder, small_batches, words_of
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,8 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, params:
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     step = 0
     for _ in range(params.epochs):
-        p = positive[rng.permutation(len(positive))[:2048]]
-        u = unlabelled[rng.permutation(len(unlabelled))[:4096]]
+        p = positive[rng.permutation(len(positive))[:2048]].astype(np.float32)
+        u = unlabelled[rng.permutation(len(unlabelled))[:4096]].astype(np.float32)
         sp, su = 1 / (1 + np.exp(-(p @ w + b))), 1 / (1 + np.exp(-(u @ w + b)))
         clean_risk = np.mean(-np.log1p(-np.minimum(su, 1 - 1e-12))) - prior * np.mean(-np.log1p(-np.minimum(sp, 1 - 1e-12)))
         # derivatives of the logistic losses by the decision value
@@ -126,7 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
     first = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(known.where("toxic = 1"), params.max_positive).withColumn("is_positive", F.lit(1)).unionByName(first(train(documents), params.max_unlabelled).withColumn("is_positive", F.lit(0)))
     chosen = chosen.groupBy("doc_id").agg(F.collect_set("is_positive").alias("kinds"))
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.explode("kinds").alias("is_positive"))
+    rows = small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.explode("kinds").alias("is_positive"))
 
     sizes = {r["is_positive"]: r["n"] for r in rows.groupBy("is_positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
@@ -146,10 +146,10 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
     table = rows.mapInArrow(vectors, "is_positive int, found array<int>").toArrow()
     kind, found = table["is_positive"].to_numpy(), table["found"].combine_chunks()
-    dense = np.zeros((len(kind), len(buckets)), np.float32)
+    dense = np.zeros((len(kind), len(buckets)), np.int8)
     offsets = found.offsets.to_numpy()
     dense[np.repeat(np.arange(len(kind)), np.diff(offsets)), found.values.to_numpy()[offsets[0] : offsets[-1]]] = 1
-    order = np.lexsort((*[dense[:, i] for i in range(min(8, dense.shape[1]))], dense.sum(1), kind))  # the same fit whatever the partitioning
+    order = np.lexsort((*[dense[:, i] for i in range(min(8, dense.shape[1]))], dense.sum(1, dtype=np.int32), kind))  # the same fit whatever the partitioning
     kind, dense = kind[order], dense[order]
     if not (kind == 1).any() or not (kind == 0).any():
         return ToxicityModel({}, 0.0, params)
@@ -189,7 +189,7 @@ def toxicity_scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(_texts(batch, "text"), model, memo))], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double").select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return small_batches(documents).select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double").select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(documents: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -202,4 +202,4 @@ def keep_clean(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             yield batch.append_column(mark, pa.array(score_texts(_texts(batch, "text"), model, memo)))
 
     schema = documents.select("*", F.lit(0.0).alias(mark)).schema
-    return documents.mapInArrow(keep, schema).where(F.col(mark) < 0.5).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return small_batches(documents).mapInArrow(keep, schema).where(F.col(mark) < 0.5).select(*[F.col(f"`{c}`") for c in documents.columns])
