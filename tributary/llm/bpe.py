@@ -14,10 +14,12 @@ A frequent word costs one entry a chunk, so no word is hot.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import small_batches
 from tributary.llm.chunks import chunks, packed, unpacked
 from tributary.llm.tokens import rank_encoding, rank_table
 
@@ -45,11 +48,29 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+#: public_tokenizers.PATTERN in the classes of the standard module, which is twice as fast.
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+@cache
+def _unlike() -> re.Pattern:
+    """A character whose class differs between the two modules, or that lies beyond Latin letters."""
+    latin = [chr(c) for c in range(0x250)]
+    kinds = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
+    odd = {c for c in latin for a, b in kinds if bool(regex.match(a, c)) != bool(re.match(b, c))}
+    return re.compile("[" + "".join(map(re.escape, sorted(odd))) + "]|[^\x00-\u024f]")
+
+
+def pre_tokens(text: str, pattern: str) -> list[str]:
+    """Matches of the pattern in a text."""
+    if pattern == public_tokenizers.PATTERN and not _unlike().search(text):
+        return _PLAIN.findall(text)
+    return splitter(pattern).findall(text)
+
+
 def words_by_bucket(split: list[list[str]], buckets: int) -> list[list[str]]:
     """Distinct words in order of first occurrence, by the bucket of their hash."""
-    seen: dict[str, None] = {}
-    for words in split:
-        seen.update(dict.fromkeys(words))
+    seen = dict.fromkeys(chain.from_iterable(split))
     out: list[list[str]] = [[] for _ in range(buckets)]
     for word in seen:
         out[zlib.crc32(word.encode()) % buckets].append(word)
@@ -67,12 +88,12 @@ def encode_documents(documents: DataFrame, params: BpeParams | None = None, outp
     params = params or BpeParams()
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = documents.select(F.col("doc_id").cast("long"), "text")
+    source = small_batches(documents).select(F.col("doc_id").cast("long"), "text")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, z = splitter(params.pattern).findall, zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=3)
         for name, _, texts in chunks(batches, params.chunk_bytes):
-            by = words_by_bucket([find(t.decode()) for t in texts], buckets)
+            by = words_by_bucket([pre_tokens(t.decode(), params.pattern) for t in texts], buckets)
             rows = [(b, name, z.compress(packed([w.encode() for w in words]))) for b, words in enumerate(by) if words]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "words"])
 
@@ -100,26 +121,33 @@ def encode_documents(documents: DataFrame, params: BpeParams | None = None, outp
     size = max(table, default=-1) + 1
 
     def assemble(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        find, z = splitter(params.pattern).findall, zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         token_bytes = _token_list(params.vocabulary, size)
         token_text = _token_text(size)
         ids_of = {b: unpacked(z.decompress(blob)) for b, blob in zip(answers["bucket"], answers["ids"], strict=True)}
         frames = []
         for keys, blob in zip(texts["keys"], texts["texts"], strict=True):
-            split = [find(t.decode()) for t in unpacked(z.decompress(blob))]
-            written, decoded, numbers = {}, {}, {}
+            raw_texts = unpacked(z.decompress(blob))
+            split = [pre_tokens(t.decode(), params.pattern) for t in raw_texts]
+            written, decoded, numbers, faithful = {}, {}, {}, True
             for b, words in enumerate(words_by_bucket(split, buckets)):
                 if not words:
                     continue
                 if len(ids_of.get(b, ())) != len(words):
                     raise RuntimeError("a chunk and its answers differ: the input changed between two reads")
+                flat = np.frombuffer(b"".join(ids_of[b]), "<u4").tolist()
+                texts_of, bytes_of = [token_text[i] for i in flat], [token_bytes[i] for i in flat]
+                start = 0
                 for word, raw in zip(words, ids_of[b], strict=True):
-                    ids = np.frombuffer(raw, "<u4").tolist() if len(raw) > 4 else [int.from_bytes(raw, "little")]
-                    written[word] = " ".join([token_text[i] for i in ids])
-                    decoded[word] = b"".join([token_bytes[i] for i in ids])
+                    end = start + len(raw) // 4
+                    written[word] = " ".join(texts_of[start:end])
+                    decoded[word] = back = b"".join(bytes_of[start:end])
+                    faithful = faithful and back == word.encode()
                     if output == "ids":
-                        numbers[word] = ids
-            plain = [b"".join(map(decoded.__getitem__, words)) for words in split]
+                        numbers[word] = flat[start:end]
+                    start = end
+            # words that all decode to themselves put together are the text itself
+            plain = raw_texts if faithful else [b"".join(map(decoded.__getitem__, words)) for words in split]
             if output == "ids":
                 frames.append(pd.DataFrame({"doc_id": keys, "ids": [[i for w in words for i in numbers[w]] for words in split], "decoded": plain}))
                 continue
