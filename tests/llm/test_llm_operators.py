@@ -190,6 +190,16 @@ def test_license_with_edits_and_twice(spark, odd):
     assert licenses.scan_licenses(odd).collect() == []
 
 
+def test_license_with_any_single_word_edit_of_a_short_notice():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LicenseParams())
+    for name in ("Apache-2.0-notice", "CC-BY-NC-4.0-notice", "GPL-3.0-notice", "MIT-notice"):
+        words = licenses.tokens(licenses.TEMPLATES[name].encode())[0]
+        for k in range(len(words)):
+            for edited in ([*words[:k], b"zzz", *words[k + 1 :]], words[:k] + words[k + 1 :], [*words[:k], b"zzz", *words[k:]]):
+                found = [m for m in scanner.scan(b"aa bb " + b" ".join(edited) + b" cc dd") if m[0] == name]
+                assert len(found) == 1 and found[0][1] >= (len(words) - 1) / len(words), (name, edited)
+
+
 def test_banded_alignment_equals_the_full_one():
     rng = np.random.default_rng(3)
     for _ in range(30):

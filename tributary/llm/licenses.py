@@ -1,25 +1,25 @@
-"""License scans: winnowed fingerprints find candidates, banded alignment measures them.
-
-Templates are few, so their inverted index (fingerprint -> template and position) is bounded by
-the template set and goes along with the tasks.  A document is tokenised once, winnowed, and its
-fingerprints looked up; hits of one template near one diagonal and one another make a candidate
-region.  The region is aligned with the whole template in a band around that diagonal; a
-report gives the matched coverage of the template and the span in the document.
+"""License scans: anchor words find candidates, banded alignment measures them.
+
+Templates are few, so their inverted index (word -> template and position) is bounded by the
+template set and goes along with the tasks.  A match that covers enough of a template of L tokens
+misses at most some k of its positions, so it contains one of any k + 1: the rarest k + 1 are the
+anchors.  A document is tokenised once and its words looked up; each hit gives a diagonal.  The
+region is aligned with the whole template in a band around that diagonal; a report gives the
+matched coverage of the template and the span in the document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo, small_batches
+from tributary.llm.common import small_batches
 
 # Notices and opening texts of common licences.
 TEMPLATES: dict[str, str] = {
@@ -37,10 +37,8 @@ TEMPLATES: dict[str, str] = {
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """Grams of ``gram`` tokens, one fingerprint in every ``window`` grams; reports from ``coverage`` up."""
+    """Reports from ``coverage`` up, of words at most ``band`` off the diagonal of an anchor."""
 
-    gram: int = 3
-    window: int = 2
     band: int = 8
     coverage: float = 0.7
 
@@ -54,21 +52,6 @@ def tokens(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int]]]:
     return [m[0] for m in found], [m.span() for m in found]
 
 
-def winnow(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values of the least gram hash of every window (the last of equal ones)."""
-    n = len(hashes) - gram + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    g = np.zeros(n, np.uint64)
-    for k in range(gram):
-        g = (g ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        g ^= g >> np.uint64(29)
-    w = min(window, n)
-    view = np.lib.stride_tricks.sliding_window_view(g, w)
-    at = np.unique(np.arange(n - w + 1) + w - 1 - view[:, ::-1].argmin(1))
-    return at, g[at]
-
-
 def aligned(template: list[bytes], part: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
     """Longest common subsequence in a band: matched tokens, first and last matched position of ``part``.
 
@@ -98,26 +81,27 @@ class Scanner:
     """Inverted index of the templates, and the scan of one text."""
 
     def __init__(self, templates: dict[str, str], params: LicenseParams):
-        self.params, self.hash = params, Memo(xxhash.xxh3_64_intdigest)
+        self.params = params
         self.names = sorted(templates)
         self.texts = [tokens(templates[n].encode())[0] for n in self.names]
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.least = [next(m for m in range(len(x) + 1) if m and m >= params.coverage * len(x)) if x else 1 for x in self.texts]
+        often = Counter(w for x in self.texts for w in x)
+        self.index: dict[bytes, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.texts):
-            for at, value in zip(*winnow(self._hashes(words), params.gram, 1), strict=True):  # every gram: a document's choice always meets it
-                self.index.setdefault(int(value), []).append((t, int(at)))
-        self.values = np.array(sorted(self.index), np.uint64)
+            rare = sorted(range(len(words)), key=lambda i: (often[words[i]], -len(words[i]), i))  # noqa: B023
+            for i in rare[: len(words) - self.least[t] + 1]:
+                self.index.setdefault(words[i], []).append((t, i))
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
+    def possible(self, t: int, part: list[bytes]) -> bool:
+        """Whether ``part`` has words for enough positions of the template, in whatever order."""
+        return sum(map(set(part).__contains__, self.texts[t])) >= self.least[t]
 
     def scan(self, text: bytes | None) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched tokens, first byte, byte after the last) of every match, by place."""
         words, spans = tokens(text)
-        at, values = winnow(self._hashes(words), self.params.gram, self.params.window)
-        hit = np.isin(values, self.values)
         candidates: dict[tuple[int, int], None] = {}
-        for place, value in zip(at[hit].tolist(), values[hit].tolist(), strict=True):
-            for t, i in self.index[value]:
+        for place in [j for j, w in enumerate(words) if w in self.index]:
+            for t, i in self.index[words[place]]:
                 candidates.setdefault((t, place - i))
         out, done = [], {}
         for t, diagonal in sorted(candidates):
@@ -126,9 +110,11 @@ class Scanner:
             template = self.texts[t]
             lo = max(diagonal - self.params.band, 0)
             part = words[lo : diagonal + len(template) + self.params.band]
+            if not self.possible(t, part):
+                continue
             matched, first, last = aligned(template, part, diagonal - lo, self.params.band)
             done[t] = diagonal
-            if matched and matched >= self.params.coverage * len(template):
+            if matched >= self.least[t]:
                 out.append((self.names[t], matched / len(template), matched, spans[lo + first][0], spans[lo + last][1]))
         return sorted(out, key=lambda m: (m[3], m[0]))
 
