@@ -200,6 +200,19 @@ def test_license_with_any_single_word_edit_of_a_short_notice():
                 assert len(found) == 1 and found[0][1] >= (len(words) - 1) / len(words), (name, edited)
 
 
+def test_license_notices_on_consecutive_lines():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LicenseParams())
+    for name in ("Apache-2.0-notice", "CC-BY-NC-4.0-notice", "GPL-3.0-notice", "MIT-notice"):
+        notice = licenses.TEMPLATES[name]
+        for times in (2, 3, 4, 9):
+            found = [m for m in scanner.scan("\n".join([notice] * times).encode()) if m[0] == name]
+            assert [m[3] for m in found] == [k * (len(notice) + 1) for k in range(times)], (name, times)
+            assert all(m[1] == 1 and m[4] - m[3] in (len(notice), len(notice) - 1) for m in found)
+    # the first copy does not reach into the second, and a failed place does not hide the next one
+    found = [m for m in scanner.scan(b"Released under our MIT License.\nReleased under the MIT License.\nMIT released x y z\nReleased under the very MIT License.") if m[0] == "MIT-notice"]
+    assert [(m[2], m[3], m[4]) for m in found] == [(4, 0, 30), (5, 32, 62), (5, 83, 118)]
+
+
 def test_banded_alignment_equals_the_full_one():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -11,9 +11,11 @@ matched coverage of the template and the span in the document.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,26 +57,37 @@ def tokens(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int]]]:
 def aligned(template: list[bytes], part: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
     """Longest common subsequence in a band: matched tokens, first and last matched position of ``part``.
 
-    Template position i may meet part position j only if |j - i - diagonal| <= band.
+    Template position i may meet part position j only if |j - i - diagonal| <= band.  Of equal ones
+    the one with the shortest span is taken, and of these the first.
     """
     width = 2 * band + 1
-    blank = (0, -1, -1)
+    blank = (0, -1)
     previous = [blank] * (width + 1)
-    best = blank
+    best = (0, 0, -1)
     for i, token in enumerate(template):
         row = [blank] * (width + 1)
         left = blank
         for d in range(width):
             j = i + diagonal + d - band
-            cell = max(left, previous[d + 1], key=lambda c: c[0])  # skip in part, skip in template
+            cell = max(left, previous[d + 1])  # skip in part, skip in template; the later start of equal ones
             if 0 <= j < len(part) and part[j] == token:
-                n, lo, _ = previous[d]
-                if n + 1 > cell[0]:
-                    cell = (n + 1, lo if n else j, j)
+                n, lo = previous[d]
+                met = (n + 1, lo if n else j)
+                cell = max(cell, met)
+                best = max(best, (met[0], met[1] - j, -j))
             row[d] = left = cell
-        best = max(best, row[width - 1], key=lambda c: c[0])
         previous = row
-    return best
+    n, span, last = best
+    return (n, span - last, -last) if n else (0, -1, -1)
+
+
+def through(template: list[bytes], words: list[bytes], i: int, j: int, free: tuple[int, int], band: int) -> tuple[int, int, int]:
+    """``aligned`` in words[free[0]:free[1]] around the diagonal j - i, with template position i met by word j."""
+    lo, hi = max(j - i - band, free[0]), min(j - i + len(template) + band, free[1])
+    # what precedes is aligned from its end, so that the spans close to word j come first
+    before, _, back = aligned(template[:i][::-1], words[lo:j][::-1], 0, band)
+    after, _, ahead = aligned(template[i + 1 :], words[j + 1 : hi], 0, band)
+    return before + 1 + after, j - 1 - back if before else j, j + 1 + ahead if after else j
 
 
 class Scanner:
@@ -99,23 +112,29 @@ class Scanner:
     def scan(self, text: bytes | None) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched tokens, first byte, byte after the last) of every match, by place."""
         words, spans = tokens(text)
-        candidates: dict[tuple[int, int], None] = {}
+        candidates: dict[int, list[tuple[int, int]]] = {}
         for place in [j for j, w in enumerate(words) if w in self.index]:
             for t, i in self.index[words[place]]:
-                candidates.setdefault((t, place - i))
-        out, done = [], {}
-        for t, diagonal in sorted(candidates):
-            if diagonal <= done.get(t, -(1 << 60)) + self.params.band:  # inside the band of one that was aligned
-                continue
-            template = self.texts[t]
-            lo = max(diagonal - self.params.band, 0)
-            part = words[lo : diagonal + len(template) + self.params.band]
-            if not self.possible(t, part):
-                continue
-            matched, first, last = aligned(template, part, diagonal - lo, self.params.band)
-            done[t] = diagonal
-            if matched >= self.least[t]:
-                out.append((self.names[t], matched / len(template), matched, spans[lo + first][0], spans[lo + last][1]))
+                candidates.setdefault(t, []).append((i, place))
+        out, band = [], self.params.band
+        for t, pairs in candidates.items():
+            template, size = self.texts[t], len(self.texts[t])
+            support: dict[int, int] = {}
+            for d in {j - i for i, j in pairs}:
+                if self.possible(t, words[max(d - band, 0) : max(d + size + band, 0)]):
+                    support[d] = sum(map(eq, template[max(-d, 0) :], words[max(d, 0) : max(d + size, 0)]))
+            taken: list[tuple[int, int]] = []  # accepted spans, in order
+            for i, j in sorted((x for x in pairs if x[1] - x[0] in support), key=lambda x: (-support[x[1] - x[0]], x[1] - x[0], x[1])):  # noqa: B023
+                k = bisect(taken, (j, len(words)))
+                if k and j <= taken[k - 1][1]:  # the word is part of a match of this template
+                    continue
+                free = taken[k - 1][1] + 1 if k else 0, taken[k][0] if k < len(taken) else len(words)
+                if not self.possible(t, words[max(j - i - band, free[0]) : min(j - i + size + band, free[1])]):
+                    continue
+                matched, first, last = through(template, words, i, j, free, band)
+                if matched >= self.least[t]:
+                    taken.insert(k, (first, last))
+                    out.append((self.names[t], matched / size, matched, spans[first][0], spans[last][1]))
         return sorted(out, key=lambda m: (m[3], m[0]))
 
 
