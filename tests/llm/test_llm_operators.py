@@ -314,6 +314,22 @@ def test_language_stage_keeps_text_and_drops_what_has_none(odd, documents):
     assert {9, 10} & {r.doc_id for r in left.collect()} == set()
 
 
+def test_language_stage_takes_undeclared_texts_of_a_source_as_evidence(spark):
+    said = [(k, f"{w} shared" * 3, lang, "told") for k, (w, lang) in enumerate([("lorem ipsum dolor sit amet", "aa"), ("quick brown fox jumps over", "bb")] * 10)]
+    silent = [(100 + k, "lorem ipsum dolor sit amet", None, "silent") for k in range(10)]
+    docs = spark.createDataFrame([*said, *silent, (200, "shared", None, "silent"), (201, "!!", "aa", "told"), (None, "lorem ipsum dolor", None, None)], "doc_id long, text string, lang string, source string")
+    kept = [r.doc_id for r in language.keep_identified(docs).collect()]
+    assert len(kept) == len(set(kept)) == 32 and 200 in kept and None in kept and 201 not in kept
+
+
+def test_language_stage_without_any_declared_language_keeps_texts_with_letters(documents, spark):
+    docs = documents.withColumn("lang", F.lit(None).cast("string"))
+    odd = spark.createDataFrame([(-1, "!!"), (-2, None), (-3, "one"), (-3, "one")], "doc_id long, text string")
+    kept = language.keep_identified(docs.unionByName(odd, allowMissingColumns=True))
+    assert kept.count() == documents.count() + 2
+    assert sorted(r.doc_id for r in kept.where("doc_id < 0").collect()) == [-3, -3]
+
+
 def test_trigram_likelihood_is_a_sum_over_trigrams():
     codes, sizes = language._trigrams([b"ab", b"", None, b"!!", b"A b"], 16)
     assert sizes.tolist() == [2, 0, 0, 0, 3] and len(codes) == 5

@@ -116,7 +116,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
-    """Add ``language`` and ``probability`` to rows of (key, text, declared, suffix, host, domain); drops text.
+    """Add ``language``, ``probability`` and ``letters`` (whether the text has a likelihood) to rows of
+    (key, text, declared, suffix, host, domain); drops text.
 
     declared, suffix, host and domain may be null: that evidence is then left out.  A text
     without letters has no likelihood; the other evidence decides, and with none it is ``und``.
@@ -150,9 +151,12 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     total = seen.agg(sums.alias("s")).first()["s"]
     everywhere = np.array([x or 0.0 for x in total]) + prior * params.domain_weight
     everywhere /= everywhere.sum()
-    hosts = seen.where("host is not null").groupBy("host").agg(sums.alias("host_sum"))
-    domains = seen.where("domain is not null").groupBy("domain").agg(sums.alias("domain_sum"))
-    joined = seen.join(hosts, "host", "left").join(domains, "domain", "left")
+    joined = seen
+    for what in ("host", "domain"):
+        by = materialise(seen.where(F.col(what).isNotNull()).groupBy(what).agg(sums.alias(f"{what}_sum")), what)
+        if by.count() <= params.broadcast_hosts:  # else Spark chooses, and the evidence may be shuffled
+            by = F.broadcast(by)
+        joined = joined.join(by, what, "left")
     index = {x: i for i, x in enumerate([*known, ""])}
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
             p = (in_domain + params.domain_weight * everywhere) / (in_domain.sum(1, keepdims=True) + params.domain_weight)
             p = (in_host + params.host_weight * p) / (in_host.sum(1, keepdims=True) + params.host_weight)
             score = like + np.log(p)
-            some = np.array([bool(x.any()) for x in like])
+            letters = like.any(axis=1)
+            some = letters.copy()
             for what in ("declared", "suffix"):
                 said = c[what].to_pylist()
                 told = np.array([x is not None for x in said], bool)
@@ -176,10 +181,10 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
             best = final.argmax(1)
             best[~some] = n - 1
             names = [languages[i] for i in best]
-            yield pa.RecordBatch.from_arrays([c["key"], pa.array(names, pa.string()), pa.array(final[np.arange(len(best)), best]), c["declared"], c["suffix"], c["host"]], ["key", "language", "probability", "declared", "suffix", "host"])
+            yield pa.RecordBatch.from_arrays([c["key"], pa.array(names, pa.string()), pa.array(final[np.arange(len(best)), best]), c["declared"], c["suffix"], c["host"], pa.array(letters)], ["key", "language", "probability", "declared", "suffix", "host", "letters"])
 
     key = rows.schema["key"].dataType.simpleString()
-    return joined.mapInArrow(fuse, f"key {key}, language string, probability double, declared string, suffix string, host string")
+    return joined.mapInArrow(fuse, f"key {key}, language string, probability double, declared string, suffix string, host string, letters boolean")
 
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
@@ -223,43 +228,23 @@ def identify_pages(pages: DataFrame, documents: DataFrame, params: LanguageParam
 
 
 def keep_identified(documents: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """Rows of ``documents`` (all columns) whose language is found, in one pass after counting.
+    """Rows of ``documents`` (all columns) whose language is found by ``identify``.
 
-    The declared ``lang`` is the markup evidence and ``source`` the host; a text without letters
-    is rejected whatever is declared.  Host priors come from the declared languages by source.
+    The declared ``lang`` is the markup evidence and ``source`` the host; there is no address and no
+    domain.  A text without letters is rejected whatever is declared.  Where no row declares a language
+    none can be told apart, and every text with letters stays.  Decisions go by a key of what
+    ``identify`` reads, so equal rows share theirs; only the keys of rejected rows move.
     """
     model = train(documents, params)
-    n, known = len(model.languages), list(model.languages[:-1])
-    declared = F.lower("lang")
-    by_host = documents.where(declared.isin(known)).groupBy("source", declared.alias("said")).agg(F.count("*").alias("n")).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("said", "n"))).alias("said"))
-    by_host = materialise(by_host, "hosts")
-    if by_host.count() <= params.broadcast_hosts:  # else Spark chooses, and texts may be shuffled
-        by_host = F.broadcast(by_host)
-    prior_name, mark = free_name(documents, "host_counts"), free_name(documents, "language_found")
-    joined = documents.join(by_host.select("source", F.col("said").alias(prior_name)), "source", "left").select(*[F.col(f"`{c}`") for c in documents.columns], prior_name)
-    index = {x: i for i, x in enumerate(known)}
-    base = np.array([(1 - params.unknown_prior) / max(n - 1, 1)] * (n - 1) + [params.unknown_prior])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            like, sizes = text_log_likelihood(c["text"].cast(pa.binary()).to_pylist(), model)
-            p = np.tile(params.host_weight * base, (batch.num_rows, 1))
-            said = [x.lower() if x else None for x in c["lang"].to_pylist()]
-            for k, counts in enumerate(c[prior_name].to_pylist()):
-                for name, many in counts or ():
-                    if name in index:
-                        p[k, index[name]] += many - (name == said[k])
-            score = like + np.log(p / p.sum(1, keepdims=True))
-            for k, name in enumerate(said):
-                if name in index:
-                    score[k, :-1] += np.log(0.2 / n)
-                    score[k, -1] += np.log(0.2 / n)
-                    score[k, index[name]] += np.log((0.8 + 0.2 / n) / (0.2 / n))
-            final = _softmax(score)
-            best = final.argmax(1)
-            ok = (best < n - 1) & (final[np.arange(len(best)), best] >= params.accept) & (sizes > 0)
-            yield batch.append_column(mark, pa.array(ok))
-
-    schema = joined.select("*", F.lit(True).alias(mark)).schema
-    return joined.mapInArrow(run, schema).where(F.col(mark)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    mark = free_name(documents, "row_key")
+    read = [F.col("text"), F.lower("lang"), F.col("source")]
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in ("text", "lang", "source")])
+    key = F.concat_ws("-", F.xxhash64(nulls, *read).cast("string"), F.xxhash64(F.lit(1), nulls, *read).cast("string"))
+    none = F.lit(None).cast("string")
+    rows = small_batches(documents).select(key.alias("key"), "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    found = identify(rows, model)
+    fails = ~F.col("letters")
+    if len(model.languages) > 1:
+        fails |= (F.col("language") == UNKNOWN) | (F.col("probability") < params.accept)
+    rejected = materialise(found.where(fails).select(F.col("key").alias(mark)).distinct(), "rejected")
+    return documents.withColumn(mark, key).join(rejected, mark, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
