@@ -145,6 +145,20 @@ def test_language_model_on_odd_rows(odd):
     assert pitman_yor.score_documents(odd.limit(0)).collect() == []
 
 
+def test_language_model_gives_each_previous_word_its_restaurant(spark):
+    assert pitman_yor.PitmanYorParams().contexts == 0
+    # y follows x and z follows w; contexts in one restaurant cannot tell
+    pairs = [(f"x{k % 300}", f"y{k % 300}") for k in range(6000)]
+    rows = spark.createDataFrame([(k, f"{x} {y}") for k, (x, y) in enumerate(pairs)], "doc_id long, text string").repartition(3)
+    by = {}
+    for contexts in (0, 7):
+        found = pitman_yor.score_documents(rows, pitman_yor.PitmanYorParams(contexts=contexts, chunk_bytes=20_000)).where("held_out").collect()
+        by[contexts] = sum(r.score for r in found) / len(found)
+    assert by[0] > by[7] + 0.5  # log10 a text
+    _, hashes, contexts, pairs, *_ = pitman_yor.counted([1, 2], [b"a b a", b"c a"], pitman_yor.PitmanYorParams())
+    assert len(contexts) == len(set(hashes.tolist())) == 4 and len(pairs) == 6
+
+
 def test_table_draws_follow_the_conditional():
     params = pitman_yor.PitmanYorParams(stirling=12)
     rng = np.random.default_rng(0)
