@@ -120,23 +120,6 @@ def test_language_model_counts_and_beats_its_base(spark, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_probabilities_sum_to_one():
-    """Over the known words and all unknown ones together, after any context, seen or not."""
-    rng = np.random.default_rng(9)
-    params = pitman_yor.PitmanYorParams(contexts=5)
-    words = 12  # the last is unknown
-    word, context = (a.ravel() for a in np.meshgrid(np.arange(words), np.arange(5), indexing="ij"))
-    count = np.where((word < words - 1) & (context < 4), rng.poisson(1.5, len(word)), 0)
-    count[word * 5 + context == 0] = 400  # beyond the exact draws
-    count[(context == 3) & (word < words - 1)] += 1  # every other word is known
-    totals = pitman_yor.Totals(np.bincount(context, count, 5).astype(int), np.bincount(context, np.minimum(count, 1), 5).astype(int), words - 1, words - 1, 0.6, 0.3)
-    seating = pitman_yor.replay(word, context, count, words, [totals], 0, params)[-1]
-    settled = pitman_yor.Totals(totals.customers, np.bincount(context, seating.tables, 5).astype(int), seating.root_tables.sum(), words - 1, 0.6, 0.3)
-    p = pitman_yor.predictive(seating, settled, word, context, count, np.bincount(word, count, words) > 0, params)
-    assert np.bincount(context, p, 5) == pytest.approx(np.ones(5))
-    assert (p > 0).all()
-
-
 def test_language_model_on_odd_rows(odd):
     rows = pitman_yor.score_documents(odd).collect()
     assert ids(rows) == ids(odd.collect())
@@ -145,43 +128,6 @@ def test_language_model_on_odd_rows(odd):
     assert pitman_yor.score_documents(odd.limit(0)).collect() == []
 
 
-def test_language_model_gives_each_previous_word_its_restaurant(spark):
-    assert pitman_yor.PitmanYorParams().contexts == 0
-    # y follows x and z follows w; contexts in one restaurant cannot tell
-    pairs = [(f"x{k % 300}", f"y{k % 300}") for k in range(6000)]
-    rows = spark.createDataFrame([(k, f"{x} {y}") for k, (x, y) in enumerate(pairs)], "doc_id long, text string").repartition(3)
-    by = {}
-    for contexts in (0, 7):
-        found = pitman_yor.score_documents(rows, pitman_yor.PitmanYorParams(contexts=contexts, chunk_bytes=20_000)).where("held_out").collect()
-        by[contexts] = sum(r.score for r in found) / len(found)
-    assert by[0] > by[7] + 0.5  # log10 a text
-    _, hashes, contexts, pairs, *_ = pitman_yor.counted([1, 2], [b"a b a", b"c a"], pitman_yor.PitmanYorParams())
-    assert len(contexts) == len(set(hashes.tolist())) == 4 and len(pairs) == 6
-
-
-def test_table_draws_follow_the_conditional():
-    params = pitman_yor.PitmanYorParams(stirling=12)
-    rng = np.random.default_rng(0)
-    draws = pitman_yor.draw_tables(np.full(40_000, 5), np.full(40_000, -0.5), 0.4, params, rng)
-    # brute force over seatings: customers sit one by one, a new table weighs exp(-0.5), an old one size - discount
-    weight: Counter = Counter()
-
-    def seat(sizes, w):
-        if sum(sizes) == 5:
-            weight[len(sizes)] += w
-            return
-        for i, s in enumerate(sizes):
-            seat([*sizes[:i], s + 1, *sizes[i + 1 :]], w * (s - 0.4))
-        seat([*sizes, 1], w * math.exp(-0.5))
-
-    seat([1], math.exp(-0.5))
-    total = sum(weight.values())
-    for t in range(1, 6):
-        assert np.mean(draws == t) == pytest.approx(weight[t] / total, abs=0.01)
-    many = pitman_yor.draw_tables(np.full(2000, 500), np.full(2000, 0.0), 0.4, params, rng)
-    assert many.min() >= 1 and many.max() <= 500
-
-
 # licenses
 
 

@@ -36,6 +36,21 @@ def _name(keys: list, texts: list[bytes]) -> int:
     return h.intdigest() - (1 << 63)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(number, keys, texts) of consecutive rows (key, text) with about ``limit`` bytes of text."""
+    number, keys, texts, size = 0, [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            keys.append(key)
+            texts.append(text or b"")
+            size += len(texts[-1]) + 16
+            if size >= limit:
+                yield number, keys, texts
+                number, keys, texts, size = number + 1, [], [], 0
+    if keys:
+        yield number, keys, texts
+
+
 def packed(parts: list[bytes]) -> bytes:
     """Byte strings in one: how many, their sizes, then all of them."""
     sizes = np.fromiter(map(len, parts), np.uint32, len(parts))
