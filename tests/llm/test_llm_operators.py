@@ -329,10 +329,10 @@ def test_tree_search_skips_pages_on_clustered_data():
     params = metric_search.MTreeParams(page=50)
     root = metric_search.build(np.arange(4000), points, points[0], params)
     best = metric_search.Best(np.array([-1]), 10, np.int64)
-    query = np.append(points[7, :-1], 0).astype(np.int64)
+    query = np.append(points[7, :-1], 0)
     radius = metric_search._distances(points, points[0]).max()
     computed = metric_search.search(root, points[0], radius, 0, query, float((query**2).sum() + r2), 1e-3, best)
-    s = points[:, :-1].astype(np.int64) @ query[:-1]
+    s = points[:, :-1].astype(np.int64) @ query[:-1].astype(np.int64)
     assert best.ids[0].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
     assert computed < 2500
 
@@ -343,7 +343,7 @@ def test_multi_index_recall(spark):
     x = rng.normal(0, 1, (5000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     vectors = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
-    rows = multi_index.approximate_neighbours(vectors, multi_index.MultiIndexParams(least=100, query_divisor=100)).collect()
+    rows = multi_index.approximate_neighbours(vectors, multi_index.MultiIndexParams(query_divisor=100)).collect()
     recall = []
     for q in range(0, 5000, 100):
         s = x @ x[q]

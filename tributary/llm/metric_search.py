@@ -9,13 +9,13 @@ out by the triangle inequality before any vector is touched.
 
 At scale the table is dealt by the nearest of a bounded set of routing vectors, which are the
 roots' children; a part beyond ``tree_rows`` rows is dealt on by id, so copies cannot pile up.
-Trees are built once, written as rows of pages, and searched by blocks of queries.
+Trees are built once, written as rows of pages (one a node), and searched by blocks of queries;
+a block goes only to the roots whose balls its queries can still reach.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import materialise
-from tributary.llm.vectors import Best, one_by_id, padded, query_blocks, ranked
+from tributary.llm.vectors import Best, bounded_sample, doubles, matched, one_by_id, padded, ranked
 
 
 @dataclass(frozen=True)
 class MTreeParams:
-    """``roots`` bounds the routing vectors of the top level and the sample that they come from."""
+    """``roots`` bounds the routing vectors of the top level, ``seed_rows`` the sample that they come from."""
 
     k: int = 10
     scale: int = 1024
@@ -40,29 +40,42 @@ class MTreeParams:
     fanout: int = 16
     page: int = 192
     tree_rows: int = 16_000
-    block: int = 1024
+    block: int = 256
     seed_rows: int = 2000
 
 
 @dataclass
-class Node:
-    """Page of a tree: the routing vectors, radii and parent distances of children, or a leaf's entries."""
+class Page:
+    """A node: routing vectors, radii and parent distances of its children, or a leaf's entries."""
 
-    children: list[Node]
+    children: np.ndarray  # numbers of their pages; none: a leaf
     routing: np.ndarray  # vectors of the children or entries, last component the added one
     radii: np.ndarray
     parent: np.ndarray  # distances of routing vectors to this node's own routing vector
-    ids: np.ndarray | None = None
+    ids: np.ndarray
+
+    def row(self) -> dict:
+        return {"children": self.children.tolist(), "ids": self.ids.tolist(), "routing": self.routing.tobytes(), "radii": self.radii.tobytes(), "parent": self.parent.tobytes()}
+
+    @classmethod
+    def of(cls, row: dict, width: int) -> Page:
+        vectors, radii, parent = (np.frombuffer(row[c]) for c in ("routing", "radii", "parent"))
+        return cls(np.array(row["children"], np.int64), vectors.reshape(-1, width), radii, parent, np.array(row["ids"], np.int64))
+
+
+PAGES = "array<struct<children: array<int>, ids: array<bigint>, routing: binary, radii: binary, parent: binary>>"
 
 
 def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - centre) ** 2).sum(1))
 
 
-def build(ids: np.ndarray, points: np.ndarray, own: np.ndarray, params: MTreeParams) -> Node:
-    """Bulk-load a tree over points whose routing vector is ``own``."""
+def build(ids: np.ndarray, points: np.ndarray, own: np.ndarray, params: MTreeParams, pages: list[Page] | None = None) -> list[Page]:
+    """Bulk-load the pages of a tree over points whose routing vector is ``own``; the root is page 0."""
+    pages = [] if pages is None else pages
     if len(ids) <= params.page:
-        return Node([], points, np.zeros(len(ids)), _distances(points, own), ids)
+        pages.append(Page(np.empty(0, np.int64), points, np.zeros(len(ids)), _distances(points, own), ids))
+        return pages
     rng = np.random.default_rng(len(ids))
     chosen = points[rng.choice(len(ids), params.fanout, replace=False)]
     near = ((points**2).sum(1)[:, None] - 2 * points @ chosen.T + (chosen**2).sum(1)).argmin(1)
@@ -73,22 +86,40 @@ def build(ids: np.ndarray, points: np.ndarray, own: np.ndarray, params: MTreePar
     parts = [c for c in range(params.fanout) if (near == c).any()]
     routing = chosen[parts]
     radii = np.array([_distances(points[near == c], chosen[c]).max() for c in parts])
-    return Node([build(ids[near == c], points[near == c], chosen[c], params) for c in parts], routing, radii, _distances(routing, own))
+    node = Page(np.empty(len(parts), np.int64), routing, radii, _distances(routing, own), np.empty(0, np.int64))
+    pages.append(node)
+    for k, c in enumerate(parts):
+        node.children[k] = len(pages)
+        build(ids[near == c], points[near == c], chosen[c], params, pages)
+    return pages
+
+
+#: Below this bound of |q| |v| inner products stay exact in 64-bit integers.
+_SMALL = 2.0**62
 
 
-def search(root: Node, own: np.ndarray, own_radius: float, row: int, query: np.ndarray, reach2: float, slack: float, best: Best) -> int:
+def integer_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact integer inner products; those beyond 64 bits become the end of that range."""
+    size = np.sqrt((query**2).sum() * (vectors**2).sum(1).max(initial=0))
+    if size < _SMALL and np.abs(query).max(initial=0) < _SMALL and np.abs(vectors).max(initial=0) < _SMALL:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    whole = [int(x) for x in query.tolist()]
+    sums = [sum(int(x) * y for x, y in zip(v, whole, strict=True)) for v in vectors.tolist()]
+    return np.array([min(max(x, -(1 << 63) + 1), (1 << 63) - 1) for x in sums], np.int64)
+
+
+def search(pages: list[Page], own: np.ndarray, own_radius: float, row: int, query: np.ndarray, reach2: float, slack: float, best: Best) -> int:
     """Best-first search for one query of ``best``; returns how many distances were computed.
 
     ``reach2`` is |q|^2 + R^2, so squared distance = reach2 - 2 * score.  A page is skipped only
     if its bound lies beyond the k-th score by more than rounding.
     """
     limit = lambda: np.sqrt(max(reach2 - 2.0 * float(best.scores[row, -1]), 0.0)) + slack if best.scores[row, -1] != best.least else np.inf
-    q = query.astype(np.float64)
-    start = np.sqrt(((own - q) ** 2).sum())
-    heap, serial, computed = [(max(start - own_radius, 0.0), 0, start, root)], 0, 1
+    start = np.sqrt(((own - query) ** 2).sum())
+    heap, serial, computed = [(max(start - own_radius, 0.0), 0, start, 0)], 0, 1
     while heap:
-        bound, _, distance, node = heapq.heappop(heap)
-        far = limit()
+        bound, _, distance, number = heapq.heappop(heap)
+        far, node = limit(), pages[number]
         if bound > far:
             break
         # what parent distances alone rule out
@@ -96,16 +127,15 @@ def search(root: Node, own: np.ndarray, own_radius: float, row: int, query: np.n
         if not len(live):
             continue
         computed += len(live)
-        if node.ids is not None:
-            scores = node.routing[live, :-1].astype(np.int64) @ query[:-1].astype(np.int64)
-            best.add(np.array([row]), scores[None], node.ids[live])
+        if not len(node.children):
+            best.add(np.array([row]), integer_products(node.routing[live, :-1], query[:-1])[None], node.ids[live])
             continue
-        d = _distances(node.routing[live], q)
+        d = _distances(node.routing[live], query)
         for c, dc in zip(live, d, strict=True):
             low = max(dc - node.radii[c], 0.0)
             if low <= far:
                 serial += 1
-                heapq.heappush(heap, (low, serial, dc, node.children[c]))
+                heapq.heappush(heap, (low, serial, dc, int(node.children[c])))
     return computed
 
 
@@ -114,67 +144,97 @@ def top_inner_products(vectors: DataFrame, params: MTreeParams = MTreeParams())
 
     Components become floor(scale * x); queries are the ids divisible by ``query_divisor``, candidates
     every other id.  Ties go to the lesser id; with fewer candidates all are returned.  Null vectors
-    and those with null or non-finite components take no part; a shorter vector counts as ending in
-    zeros; repeated ids count once.  Exact while squared norms stay below 2^53.
+    and those with null or non-finite components take no part, nor do those with a component that
+    ``scale`` makes infinite or a norm beyond 1e150; a shorter vector counts as ending in zeros; repeated
+    ids count once (the least vector).  Scores beyond 64 bits are given as the end of that range and tie
+    there.  Extra columns are ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
-    whole = materialise(one_by_id(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * params.scale)).alias("v")), "vectors")
-    facts = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.expr("aggregate(v, 0L, (s, x) -> s + x * x)")).alias("r2")).first()
-    if not facts["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width, r2 = facts["width"], facts["r2"] or 0
-
-    def points_of(column: pa.Array) -> np.ndarray:
-        p = np.zeros((len(column), width + 1))
-        p[:, :-1] = padded(column, width, np.float64)
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    norm2 = F.expr(f"aggregate(v, 0D, (s, x) -> s + (abs(x) * {params.scale} + 1) * (abs(x) * {params.scale} + 1))")
+    whole = materialise(one_by_id(vectors).withColumn("norm2", norm2).where("norm2 < 1e300"), "vectors")
+    asks = F.col("vec_id") % params.query_divisor == 0
+    facts = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max("norm2").alias("r2"), F.count_if(asks).alias("queries")).first()
+    if not facts["queries"]:
+        return empty
+    width, r2 = facts["width"], facts["r2"]
+    whole = whole.select("vec_id", "v")
+
+    def points_of(x: np.ndarray) -> np.ndarray:
+        p = np.zeros((len(x), width + 1))
+        p[:, :-1] = np.floor(params.scale * x)
         p[:, -1] = np.sqrt(np.maximum(r2 - (p[:, :-1] ** 2).sum(1), 0))
         return p
 
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(params.seed_rows).toArrow()  # bounded: seeds bounds and roots
-    seeds, seed_ids = points_of(sample["v"].combine_chunks()), sample["vec_id"].to_numpy()
+    sample = bounded_sample(whole, facts["n"], params.seed_rows)  # seeds bounds and roots
+    seeds, seed_ids = points_of(padded(sample["v"].combine_chunks(), width, np.float64)), sample["vec_id"].to_numpy()
     roots = seeds[: params.roots]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = points_of(batch.column(1))
+            p = points_of(padded(batch.column(1), width, np.float64))
             near = ((roots**2).sum(1) - 2 * p @ roots.T).argmin(1)
-            yield batch.append_column("root", pa.array(near.astype(np.int32)))
-
-    dealt = whole.mapInArrow(deal, "vec_id long, v array<long>, root int")
-    sizes = {r["root"]: r["n"] for r in dealt.groupBy("root").agg(F.count("*").alias("n")).collect()}  # at most ``roots`` rows
-    parts = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, -(-v // params.tree_rows))])
-    tree = F.struct("root", F.pmod(F.xxhash64("vec_id"), parts[F.col("root")]).alias("part"))
-
-    def load(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = points_of(pa.array(pdf["v"].tolist(), pa.list_(pa.int64())))
-        own = roots[int(pdf["root"].iloc[0])]
-        page = build(pdf["vec_id"].to_numpy(), p, own, params)
-        return pd.DataFrame({"tree": [pickle.dumps((page, own, float(_distances(p, own).max())))]})
-
-    trees = materialise(dealt.withColumn("tree", tree).groupBy("tree").applyInPandas(load, "tree binary"), "trees")
+            far = np.sqrt(((p - roots[near]) ** 2).sum(1))
+            yield batch.append_column("root", pa.array(near.astype(np.int32))).append_column("far", pa.array(far))
+
+    dealt = materialise(whole.mapInArrow(deal, "vec_id long, v array<double>, root int, far double"), "dealt")
+    by_root = {r["root"]: r for r in dealt.groupBy("root").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}  # at most ``roots`` rows
+    radius, many, first, parts = np.zeros(len(roots)), np.zeros(len(roots), int), np.zeros(len(roots), int), 0
+    for k, r in sorted(by_root.items()):
+        radius[k], many[k], first[k] = r["radius"], -(-r["n"] // params.tree_rows), parts
+        parts += int(many[k])
+    places = F.create_map(*[F.lit(int(x)) for k in by_root for x in (k, many[k])])
+    firsts = F.create_map(*[F.lit(int(x)) for k in by_root for x in (k, first[k])])
+    part = firsts[F.col("root")] + F.pmod(F.xxhash64("vec_id"), places[F.col("root")]).cast("int")
+
+    def load(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, root = points_of(doubles(rows["v"], width)), int(rows["root"].iloc[0])
+        pages = build(rows["vec_id"].to_numpy(), p, roots[root], params)
+        return pd.DataFrame({"part": [key[0]], "root": [root], "radius": [rows["far"].max()], "pages": [[x.row() for x in pages]]})
+
+    trees = materialise(dealt.withColumn("part", part).repartition(parts, "part").groupBy("part").applyInPandas(load, f"part int, root int, radius double, pages {PAGES}"), "trees")
     slack = 1e-6 * max(np.sqrt(r2), 1)
+    blocks = -(-facts["queries"] // params.block)
 
-    out = None
-    queries = whole.where(F.col("vec_id") % params.query_divisor == 0)
-    for ids, block in query_blocks(queries, params.block, width, np.int64):
+    def start(ids: np.ndarray, queries: np.ndarray) -> Best:
+        """Bounds from the seeds: their k-th score less one, no result."""
         seeded = Best(ids, params.k, np.int64)
-        seeded.add(np.arange(len(ids)), block @ seeds[:, :-1].astype(np.int64).T, seed_ids)
-        given = spark.sparkContext.broadcast((ids, np.c_[block, np.zeros(len(ids), np.int64)], seeded.scores))
-
-        def find(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            ids, block, floor = given.value
-            best = Best(ids, params.k, np.int64)
-            # start from the seeds' k-th score less one: only a bound, no result
-            best.scores[:] = np.where(floor[:, -1:] == best.least, best.least, floor[:, -1:] - 1)
-            reach2 = (block.astype(np.float64) ** 2).sum(1) + r2
-            for batch in batches:
-                for blob in batch.column(0).to_pylist():
-                    root, own, radius = pickle.loads(blob)
-                    for row in range(len(ids)):
-                        search(root, own, radius, row, block[row], reach2[row], slack, best)
-            yield best.batch()
-
-        found = materialise(ranked(trees.mapInArrow(find, "query_id long, vec_id long, score long"), params.k), "found")
-        given.unpersist()
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        for row, q in enumerate(queries):
+            seeded.add(np.array([row]), integer_products(seeds[:, :-1], q[:-1])[None], seed_ids)
+        seeded.scores[:] = np.where(seeded.scores[:, -1:] == seeded.least, seeded.least, seeded.scores[:, -1:] - 1)
+        seeded.ids[:] = np.iinfo(np.int64).max
+        return seeded
+
+    def reach(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """A block of queries, once for each part of a root that any of them can reach."""
+        q = points_of(doubles(rows["v"], width))
+        q[:, -1] = 0
+        best = start(rows["vec_id"].to_numpy(), q)
+        least = best.scores[:, -1]
+        reach2 = (q**2).sum(1) + r2
+        far = np.where(least == best.least, np.inf, np.sqrt(np.maximum(reach2 - 2.0 * least, 0)) + slack)
+        met = [k for k in by_root if (np.sqrt(((roots[k] - q) ** 2).sum(1)) - radius[k] <= far).any()]
+        out = [(int(key[0]), int(first[k] + j), rows["vec_id"].tolist(), q.tobytes(), least.tolist()) for k in met for j in range(many[k])]
+        return pd.DataFrame(out, columns=["block", "part", "query_ids", "queries", "least"])
+
+    asked = whole.where(asks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    reached = materialise(asked.groupBy("block").applyInPandas(reach, "block int, part int, query_ids array<long>, queries binary, least array<long>"), "reached")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pages = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                if (at := row.column("part")[0].as_py()) != held:  # rows come sorted by part
+                    held, pages = at, [Page.of(x, width + 1) for x in row.column("pages")[0].as_py()]
+                root, radius = roots[row.column("root")[0].as_py()], row.column("radius")[0].as_py()
+                q = np.frombuffer(row.column("queries")[0].as_py()).reshape(-1, width + 1)
+                best = Best(row.column("query_ids").flatten().to_numpy(), params.k, np.int64)
+                best.scores[:] = row.column("least").flatten().to_numpy()[:, None]
+                reach2 = (q**2).sum(1) + r2
+                for n in range(len(q)):
+                    search(pages, root, radius, n, q[n], reach2[n], slack, best)
+                yield best.batch()
+
+    pairs = matched(trees, reached, parts, blocks)
+    return ranked(pairs.mapInArrow(find, "query_id long, vec_id long, score long"), params.k)

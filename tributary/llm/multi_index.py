@@ -1,9 +1,14 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 The halves of the vectors are quantised apart, each by its own codebook, so K centroids a half
-give K^2 cells.  A query meets cells in the order of the summed dissimilarities of its halves to
-the centroids, walked with a heap, until the cells met hold enough entries; those entries are
-ranked by the true inner product.  Codebooks are fitted on a bounded sample; every row is indexed.
+give K^2 cells.  A query meets cells in the order of a sum over its halves, walked with a heap,
+until the cells met hold enough entries; those entries are ranked by the true inner product.
+A half's term is the inner product with the centroid plus ``spread`` standard deviations of what
+the centroid's members may add to it, so that cells with long vectors come early.
+
+Codebooks are fitted on a bounded sample; every row is indexed.  How many entries are enough is
+measured: for a bounded sample of queries all rows are ranked, and the depth of the walk at which
+a share ``target`` of their true neighbours is met becomes the depth of every walk.
 """
 
 from __future__ import annotations
@@ -13,32 +18,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import materialise
-from tributary.llm.vectors import Best, one_by_id, padded, query_blocks, ranked
+from tributary.llm.vectors import Best, bounded_sample, doubles, matched, one_by_id, padded, ranked
 
 
 @dataclass(frozen=True)
 class MultiIndexParams:
-    """A query reranks at least ``least`` entries and ``share`` of all; ``sample`` bounds the fit.
-
-    The default share reaches a recall of 0.9 on vectors without any cluster structure, the hardest
-    case; clustered vectors need a few hundredths.  ``slab`` entries are scored at a time.
-    """
+    """``sample`` rows fit the codebooks, ``calibration`` queries the depth; centroids a half grow as the root
+    of the rows over ``per_cell`` up to ``max_centroids``, which bounds the table of cells that tasks hold.
+    Entries lie in parts of about ``part_rows``, queries in blocks of ``block``."""
 
     k: int = 20
     query_divisor: int = 20
     sample: int = 20_000
+    calibration: int = 128
+    target: float = 0.95
     per_cell: float = 2.5
-    max_centroids: int = 64
-    least: int = 2000
-    share: float = 0.45
+    max_centroids: int = 256
+    spread: float = 2.0
     iterations: int = 12
-    block: int = 1024
-    slab: int = 1024
+    block: int = 256
+    part_rows: int = 4096
 
 
 def kmeans(points: np.ndarray, k: int, iterations: int) -> np.ndarray:
@@ -59,41 +64,72 @@ def nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((centroids**2).sum(1) - 2 * points @ centroids.T).argmin(1)
 
 
+@dataclass(frozen=True)
+class Codebook:
+    """Centroids of one half and the deviation by component of their members."""
+
+    centroids: np.ndarray
+    deviation: np.ndarray
+
+    @classmethod
+    def fit(cls, points: np.ndarray, k: int, iterations: int) -> Codebook:
+        if not points.shape[1]:
+            return cls(np.zeros((1, 0)), np.zeros(1))
+        centroids = kmeans(points, k, iterations)
+        near = nearest(points, centroids)
+        n = np.bincount(near, minlength=len(centroids))
+        apart = np.bincount(near, ((points - centroids[near]) ** 2).sum(1), len(centroids))
+        return cls(centroids, np.sqrt(apart / np.maximum(n, 1) / points.shape[1]))
+
+    def dissimilarity(self, queries: np.ndarray, spread: float) -> np.ndarray:
+        """[query, centroid]: less is nearer."""
+        return -(queries @ self.centroids.T) - spread * np.sqrt((queries**2).sum(1))[:, None] * self.deviation
+
+
 def cells_met(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[int]:
     """Cells in order of first[i] + second[j] until they hold ``wanted`` entries (multi-sequence walk)."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    x, y = first[a].tolist(), second[b].tolist()
+    x, y, rows, columns = first[a].tolist(), second[b].tolist(), (a * len(b)).tolist(), b.tolist()
     heap, cells, held = [(x[0] + y[0], 0, 0)], [], 0
-    n, m = len(x), len(y)
+    n, m, held_by = len(x), len(y), sizes.tolist() if len(sizes) <= 4096 else sizes
+    push, pop = heapq.heappush, heapq.heappop
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * m + int(b[j])
-        if sizes[cell]:
+        _, i, j = pop(heap)
+        cell = rows[i] + columns[j]
+        if held_by[cell]:
             cells.append(cell)
-            held += sizes[cell]
+            held += held_by[cell]
         # each pair has one way in: along its row, or down the first column
         if j + 1 < m:
-            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
+            push(heap, (x[i] + y[j + 1], i, j + 1))
         if j == 0 and i + 1 < n:
-            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+            push(heap, (x[i + 1] + y[0], i + 1, 0))
     return cells
 
 
-def rerank(best: Best, queries: np.ndarray, entries: np.ndarray, names: np.ndarray, visits: np.ndarray) -> None:
-    """Rank entries by inner product for the queries whose cells they lie in (bit rows by entry).
+def depth_of(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """How many entries a full walk has met when it has met each of ``cells``."""
+    order = np.argsort((first[:, None] + second).ravel(), kind="stable")
+    met = np.empty(len(order), np.int64)
+    met[order] = np.cumsum(sizes[order])
+    return met[cells]
+
+
+def rerank(best: Best, queries: np.ndarray, entries: np.ndarray, names: np.ndarray, visits: np.ndarray | None = None) -> None:
+    """Rank entries by inner product for the queries whose cells they lie in (bit rows by entry; none: for all).
 
     One matrix product finds the pairs that can still matter; their scores are then summed in one
     order for every pair, so that copies tie exactly.
     """
-    met = np.unpackbits(visits, axis=1, bitorder="little", count=len(queries)).astype(bool).T
+    met = np.ones((len(queries), len(entries)), bool) if visits is None else np.unpackbits(visits, axis=1, bitorder="little", count=len(queries)).astype(bool).T
     asked = np.flatnonzero(met.any(1))
     if not len(asked):
         return
     rough = np.where(met[asked], queries[asked] @ entries.T, -np.inf)
     enough = min(best.k + 1, rough.shape[1])  # one more: the query itself may be among them
     least = np.maximum(np.partition(rough, -enough, axis=1)[:, -enough], best.scores[asked, -1])
-    margin = 1e-9 * np.where(np.isfinite(least), np.abs(least) + 1, 0)
-    row, column = np.nonzero((rough >= (least - margin)[:, None]) & np.isfinite(rough))
+    size = np.sqrt((queries[asked] ** 2).sum(1) * (entries**2).sum(1).max(initial=0))
+    row, column = np.nonzero((rough >= (least - 1e-12 * size)[:, None]) & np.isfinite(rough))
     for lo in range(0, len(row), 100_000):
         r, c = asked[row[lo : lo + 100_000]], column[lo : lo + 100_000]
         best.add_pairs(r, (queries[r] * entries[c]).sum(1), names[c])
@@ -105,65 +141,109 @@ def approximate_neighbours(vectors: DataFrame, params: MultiIndexParams = MultiI
     Queries are the ids divisible by ``query_divisor``, candidates every other id.  Ties go to the
     lesser id; with fewer candidates all are returned.  Vectors that are null, zero or hold null or
     non-finite components take no part; a shorter vector counts as ending in zeros; repeated ids
-    count once.
+    count once (the least vector).  Extra columns are ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     whole = materialise(one_by_id(vectors).where(F.exists("v", lambda x: x != 0)), "vectors")
-    facts = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    if not facts["n"]:
-        return spark.createDataFrame([], empty)
+    asks = F.col("vec_id") % params.query_divisor == 0
+    facts = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(asks).alias("queries")).first()
     n, width = facts["n"], facts["width"]
+    if not facts["queries"]:
+        return empty
     half = (width + 1) // 2
-    sample = padded(whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(params.sample).toArrow()["v"].combine_chunks(), width, np.float64)
-    k = int(min(params.max_centroids, max(2, np.sqrt(n / params.per_cell))))
-    books = [kmeans(part, k, params.iterations) if part.shape[1] else np.zeros((1, 0)) for part in (sample[:, :half], sample[:, half:])]
-    second = len(books[1])
+    sample = padded(bounded_sample(whole, n, params.sample)["v"].combine_chunks(), width, np.float64)
+    k = int(np.clip(np.sqrt(n / params.per_cell), 2, params.max_centroids))
+    one, two = (Codebook.fit(part, k, params.iterations) for part in (sample[:, :half], sample[:, half:]))
+    second = len(two.centroids)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = padded(batch.column(1), width, np.float64)
-            cell = nearest(x[:, :half], books[0]) * second + nearest(x[:, half:], books[1])
+            cell = nearest(x[:, :half], one.centroids) * second + nearest(x[:, half:], two.centroids)
             yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
 
-    # a cell's rows stay near one another; a crowded cell is dealt over several tasks
-    placed = whole.mapInArrow(quantise, "vec_id long, v array<double>, cell int")
-    index = materialise(placed.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(8))).sortWithinPartitions("cell", "vec_id"), "index")
-    sizes = np.zeros(len(books[0]) * second, np.int64)
-    for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most max_centroids^2 rows
+    placed = materialise(whole.mapInArrow(quantise, "vec_id long, v array<double>, cell int"), "placed")
+    sizes = np.zeros(len(one.centroids) * second, np.int64)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most max_centroids^2 rows
         sizes[r["cell"]] = r["n"]
-    wanted = int(max(params.least, params.share * n)) + 1
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # neighbouring cells share a part; a crowded cell is dealt over parts of its own
+    lone = sizes > params.part_rows
+    begin = np.cumsum(np.where(lone, 0, sizes)) - 1
+    part = np.maximum(begin, 0) // params.part_rows
+    many = np.where(lone, -(-sizes // params.part_rows), 1)
+    first = int(part.max()) + 1
+    part = np.where(lone, first + np.cumsum(np.where(lone, many, 0)) - many, part)
+    parts = int((part + many).max())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = padded(batch.column(1), width, np.float64)
-            a, b = -x[:, :half] @ books[0].T, -x[:, half:] @ books[1].T
-            met = [cells_met(p, q, sizes, wanted) for p, q in zip(a, b, strict=True)]
-            yield batch.append_column("cells", pa.array(met, pa.list_(pa.int32())))
-
-    queries = materialise(whole.where(F.col("vec_id") % params.query_divisor == 0).repartition(F.col("vec_id")).mapInArrow(walk, "vec_id long, v array<double>, cells array<int>"), "queries")
-    out = None
-    for ids, block in query_blocks(queries.select("vec_id", "v"), params.block, width, np.float64):
-        chosen = queries.where(F.col("vec_id").isin([int(x) for x in ids])).select("vec_id", "cells").toArrow()
-        at = np.searchsorted(ids, chosen["vec_id"].to_numpy())
-        cells = chosen["cells"].combine_chunks()
-        visits = np.zeros((len(sizes), (len(ids) + 7) // 8), np.uint8)
-        rows = np.repeat(at, cells.value_lengths().to_numpy())
-        np.bitwise_or.at(visits, (cells.flatten().to_numpy(), rows // 8), (1 << (rows % 8)).astype(np.uint8))
-        given = spark.sparkContext.broadcast((ids, block, visits))
-
-        def find(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            ids, block, visits = given.value
-            best = Best(ids, params.k, np.float64)
+            cell, names = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            yield batch.append_column("part", pa.array((part[cell] + names % many[cell]).astype(np.int32)))
+
+    def stack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id")
+        entries = doubles(rows["v"], width)
+        return pd.DataFrame({"part": [key[0]], "names": [rows["vec_id"].tolist()], "cells": [rows["cell"].tolist()], "entries": [entries.tobytes()]})
+
+    dealt = placed.mapInArrow(pack, "vec_id long, v array<double>, cell int, part int").repartition(parts, "part")
+    index = materialise(dealt.groupBy("part").applyInPandas(stack, "part int, names array<long>, cells array<int>, entries binary"), "index")
+
+    def depths() -> np.ndarray:
+        """Depths at which walks of sampled queries meet their true neighbours."""
+        chosen = bounded_sample(whole.where(asks), facts["queries"], params.calibration)
+        ids, x = chosen["vec_id"].to_numpy(), padded(chosen["v"].combine_chunks(), width, np.float64)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell, names = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-                entries = padded(batch.column(1), width, np.float64)
-                for lo in range(0, len(names), params.slab):
-                    part = slice(lo, lo + params.slab)
-                    rerank(best, block, entries[part], names[part], visits[cell[part]])
-            yield best.batch()
-
-        found = materialise(ranked(index.mapInArrow(find, "query_id long, vec_id long, score double"), params.k), "found")
-        given.unpersist()
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], empty)
+                for row in batch.to_pylist():
+                    best, names = Best(ids, params.k, np.float64), np.array(row["names"])
+                    rerank(best, x, np.frombuffer(row["entries"]).reshape(-1, width), names)
+                    out = best.batch()
+                    at = np.searchsorted(names, out.column(1).to_numpy())
+                    yield out.append_column("cell", pa.array(np.array(row["cells"], np.int32)[at]))
+
+        found = index.mapInArrow(look, "query_id long, vec_id long, score double, cell int")
+        true = ranked(found, params.k, "cell").toPandas()  # at most calibration * k rows
+        a, b = one.dissimilarity(x[:, :half], params.spread), two.dissimilarity(x[:, half:], params.spread)
+        at = {q: i for i, q in enumerate(ids.tolist())}
+        return np.concatenate([np.zeros(0, np.int64), *(depth_of(a[at[q]], b[at[q]], sizes, g["cell"].to_numpy()) for q, g in true.groupby("query_id"))])
+
+    measured = depths()
+    wanted = max(int(np.quantile(measured, params.target)) if len(measured) else n, params.k + 1)
+    blocks = -(-facts["queries"] // params.block)
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """A block's visits to every part that it meets, one bit a query by cell."""
+        x = doubles(rows["v"], width)
+        a, b = one.dissimilarity(x[:, :half], params.spread), two.dissimilarity(x[:, half:], params.spread)
+        visits = np.zeros((len(sizes), (len(x) + 7) // 8), np.uint8)
+        for row, (p, q) in enumerate(zip(a, b, strict=True)):
+            visits[cells_met(p, q, sizes, wanted), row // 8] |= np.uint8(1 << row % 8)
+        met, out = np.flatnonzero(visits.any(1)), []
+        of = np.concatenate([np.c_[part[met[many[met] > j]] + j, met[many[met] > j]] for j in range(int(many[met].max(initial=0)))])
+        for p in np.unique(of[:, 0]).tolist():
+            cells = np.sort(of[of[:, 0] == p, 1])
+            out.append((int(key[0]), int(p), rows["vec_id"].tolist(), x.tobytes(), cells.astype(np.int32).tolist(), visits[cells].tobytes()))
+        return pd.DataFrame(out, columns=["block", "part", "ids", "queries", "met", "visits"])
+
+    asked = whole.where(asks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    walked = materialise(asked.groupBy("block").applyInPandas(walk, "block int, part int, ids array<long>, queries binary, met array<int>, visits binary"), "walked")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                ids = np.array(row["ids"])
+                x, entries = (np.frombuffer(row[c]).reshape(-1, width) for c in ("queries", "entries"))
+                met, cells = np.array(row["met"]), np.array(row["cells"])
+                at = np.minimum(np.searchsorted(met, cells), len(met) - 1)
+                some = np.flatnonzero(met[at] == cells)
+                visits = np.frombuffer(row["visits"], np.uint8).reshape(len(met), -1)
+                best = Best(ids, params.k, np.float64)
+                rerank(best, x, entries[some], np.array(row["names"])[some], visits[at[some]])
+                yield best.batch()
+
+    pairs = matched(index, walked, parts, blocks)
+    return ranked(pairs.mapInArrow(find, "query_id long, vec_id long, score double"), params.k)

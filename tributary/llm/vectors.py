@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +32,34 @@ def padded(column: pa.Array, width: int, dtype: type) -> np.ndarray:
     return out
 
 
-def query_blocks(queries: DataFrame, size: int, width: int, dtype: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries in blocks of about ``size``: ids and vectors, one block at the driver at a time."""
-    blocks = max(1, -(-queries.count() // size))
-    for k in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toArrow()
-        ids = part["vec_id"].to_numpy()
-        if len(ids):
-            order = np.argsort(ids)
-            yield ids[order], padded(part["v"].combine_chunks(), width, dtype)[order]
+def doubles(column: pd.Series, width: int) -> np.ndarray:
+    """A pandas column of lists as a matrix of doubles."""
+    return padded(pa.array(column.tolist(), pa.list_(pa.float64())), width, np.float64)
+
+
+def bounded_sample(rows: DataFrame, n: int, most: int) -> pa.Table:
+    """At most ``most`` of ``n`` rows, the least by the hash of their id: alike at every partitioning.
+
+    A threshold that about 1.2 times as many pass goes first, so the sort sees only those.
+    """
+    mark = F.xxhash64("vec_id", F.lit(17))
+    if n > 4 * most:
+        share = 1.2 * most / n + 100 / n
+        rows = rows.where(mark < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return rows.orderBy(mark, "vec_id").limit(most).toArrow()
+
+
+def matched(parts: DataFrame, blocks: DataFrame, n_parts: int, n_blocks: int, lane_blocks: int = 64) -> DataFrame:
+    """Rows of ``parts`` (part, ...) beside the rows of ``blocks`` (block, part, ...) that ask them.
+
+    A part that many blocks ask is repeated in lanes of ``lane_blocks`` blocks, so no task meets more.
+    """
+    lanes = -(-n_blocks // lane_blocks)
+    spark = parts.sparkSession
+    tasks = min(n_parts * lanes, max(2 * spark.sparkContext.defaultParallelism, n_parts * lanes // 4))
+    left = parts.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(tasks, "part", "lane")
+    right = blocks.withColumn("lane", F.col("block") % lanes).repartition(tasks, "part", "lane")
+    return left.hint("merge").join(right, ["part", "lane"])
 
 
 class Best:
@@ -88,7 +106,7 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(self.queries[row]), pa.array(self.ids[row, column]), pa.array(self.scores[row, column])], ["query_id", "vec_id", "score"])
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, k: int, *more: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of what the tasks found for each query."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score", *more)
