@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialise
+from tributary.llm.common import materialise, release
 
 
 def _contract(edges: DataFrame, smaller_too: bool) -> DataFrame:
@@ -38,5 +38,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == mark or not now["n"]:
             break
         mark = now
-        edges = materialise(_contract(_contract(edges, False), True), "links")
+        last, edges = edges, materialise(_contract(_contract(edges, False), True), "links")
+        release(last)
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -3,11 +3,13 @@
 Plan:
 1. Every whole text becomes its set of distinct word shingles (64-bit hashes), an exact
    class (md5 of the set: copies share it) and band keys of a one-permutation sketch.
-2. One document, the least id, stands for each class.  Documents of a bucket are linked
-   to two hubs only, its least id and its least id hash: stars, as many edges as members.
+2. A class is one node, however many rows it has.  Nodes of a bucket are linked to two
+   hubs only, its least node and its least node hash: stars, as many edges as members.
 3. Each distinct edge is confirmed on the full sets; confirmed links give components.
 4. What stars cannot see is looked up exactly: members of buckets that still hold several
    components are paired across components by their rarest shingles, and confirmed too.
+   A shingle with many members is looked at in pairs of bounded blocks.
+5. Classes that one doc_id has are one component; its least doc_id names a component.
 
 Sketch: the hashes are dealt into equal ranges, one bin each, and a bin keeps its least
 hash.  An empty bin borrows from the first filled bin in a fixed random order of its own,
@@ -22,13 +24,14 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo, materialise, small_batches, words_of
+from tributary.llm.common import Memo, materialise, release, small_batches, words_of
 from tributary.llm.components import connected_components
 
 
@@ -37,13 +40,18 @@ class DedupParams:
     """Links: 100 * intersection >= ``percent`` * union, over shingles of ``words`` words.
 
     ``bands`` bands of ``rows`` rows; a pair at the threshold stays unseen with probability
-    (1 - (percent/100)^rows)^bands: 3e-6 for 85 % and 8 rows, 5e-6 for 80 % and 6 rows.
+    (1 - (percent/100)^rows)^bands: 3e-6 for 85 % and 8 rows, 5e-6 for 80 % and 6 rows.  ``crowd``,
+    ``block`` and ``hot_rows`` place work only: shingles with more members go in blocks, classes with
+    more rows are named without a shuffle of those rows.
     """
 
     words: int = 3
     percent: int = 85
     bands: int = 40
     rows: int = 8
+    crowd: int = 64
+    block: int = 1024
+    hot_rows: int = 10_000
 
 
 #: The near-duplicates of the pipeline: five words, similarity of 0.8 or more.
@@ -112,33 +120,33 @@ def band_keys(shingles: np.ndarray, params: DedupParams) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, params: DedupParams) -> DataFrame:
-    """doc_id, n_shingles, class (16 bytes; null for an empty set), bands (array of long)."""
+    """doc_id, t (hash of the text), n_shingles, class (16 bytes; null for an empty set), bands (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
         for batch in batches:
             sizes, classes, bands = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, params.words, memo)
                 sizes.append(len(s))
                 classes.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 bands.append(band_keys(s, params).view(np.int64))
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)]).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists], ["doc_id", "n_shingles", "class", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists], ["doc_id", "t", "n_shingles", "class", "bands"])
 
-    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n_shingles long, class binary, bands array<long>")
 
 
-def moved_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, z): the compressed text of each wanted id, one row an id.
+def moved_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, z): the compressed text of each wanted (node, doc_id, t), one row a node.
 
     A Bloom filter of fixed size goes to the scan first, so that few texts but the wanted are
-    shuffled; with more ids than it can tell apart it lets more through, never fewer.
+    shuffled; with more rows than it can tell apart it lets more through, never fewer.
     """
     words = 1 << 17  # of 64 bits: 1 MB
-    place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(words * 64))
-    bits = ids.select(F.explode(F.array(place(1), place(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    place = lambda salt: F.pmod(F.xxhash64("doc_id", "t", F.lit(salt)), F.lit(words * 64))
+    bits = wanted.select(F.explode(F.array(place(1), place(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
     found = bits.toArrow()
     flags = np.zeros(words, np.int64)
     flags[found["word"].to_numpy()] = found["mask"].to_numpy()
@@ -147,14 +155,15 @@ def moved_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            one, two = (batch.column(i).to_numpy() for i in (2, 3))
-            wanted = ((packed[one >> 3] >> (one & 7)) & (packed[two >> 3] >> (two & 7)) & 1).astype(bool)
-            part = batch.filter(pa.array(wanted))
-            texts = [z.compress(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["doc_id", "z"])
+            one, two = (batch.column(i).to_numpy() for i in (3, 4))
+            kept = ((packed[one >> 3] >> (one & 7)) & (packed[two >> 3] >> (two & 7)) & 1).astype(bool)
+            part = batch.filter(pa.array(kept))
+            texts = [z.compress(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["doc_id", "t", "z"])
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").select("doc_id", "text", place(1).alias("p1"), place(2).alias("p2"))
-    return texts.mapInArrow(squeeze, "doc_id long, z binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").where("doc_id is not null")
+    marked = texts.select("doc_id", "t", "text", place(1).alias("p1"), place(2).alias("p2"))
+    return marked.mapInArrow(squeeze, "doc_id long, t long, z binary").join(wanted.select("node", "doc_id", "t"), ["doc_id", "t"]).select("node", "z").dropDuplicates(["node"])
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, params: DedupParams) -> DataFrame:
@@ -179,16 +188,26 @@ def confirmed(edges: DataFrame, texts: DataFrame, params: DedupParams) -> DataFr
                 keep.append(100 * both >= params.percent * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return edges.join(texts.withColumnsRenamed({"doc_id": "b", "z": "zb"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "z": "za"}), "a").select("a", "b", "za", "zb").mapInArrow(verify, "a long, b long")
+    return edges.join(texts.withColumnsRenamed({"node": "b", "z": "zb"}), "b").join(texts.withColumnsRenamed({"node": "a", "z": "za"}), "a").select("a", "b", "za", "zb").mapInArrow(verify, "a long, b long")
+
+
+def _possible(x: pd.DataFrame, y: pd.DataFrame, params: DedupParams) -> np.ndarray:
+    """Pairs (row of x, row of y) that sizes and places do not rule out."""
+    nx, ny, px, py = x["n"].to_numpy()[:, None], y["n"].to_numpy(), x["place"].to_numpy()[:, None], y["place"].to_numpy()
+    left = 1 + np.minimum(nx - px, ny - py)
+    ok = (nx * 100 >= ny * params.percent) & (ny * 100 >= nx * params.percent) & (left * (100 + params.percent) >= (nx + ny) * params.percent)
+    return np.argwhere(ok & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()))
 
 
 def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> DataFrame:
-    """Every pair (a, b) of nodes (doc_id, c) with different c that can be similar enough, by prefixes.
+    """Every pair (a, b) of nodes (node, c) with different c that can be similar enough, by prefixes.
 
     Similar sets share one of the rarest n - ceil(percent * n) + 1 shingles of either, rarity being
     counted over all the nodes; and from the first shared one on, enough must be left of both for
     the overlap that the threshold asks.  What one node alone has fills its prefix without meeting
     anything, and what a common passage gives stands last: pairs stay few where buckets are crowded.
+    Shingles that one component alone has in its prefixes are left out; one with more than ``crowd``
+    members is dealt into blocks by size, and each two blocks of close sizes meet in a task of their own.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +216,44 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> Dat
             found = [shingle_set(z.decompress(t), params.words, memo).view(np.int64) for t in batch.column(2).to_pylist()]
             flat = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), lists], ["doc_id", "c", "n", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), lists], ["node", "c", "n", "s"])
 
-    has = nodes.join(texts, "doc_id").select("doc_id", "c", "z").mapInArrow(sets, "doc_id long, c long, n long, s array<long>")
-    has = materialise(has, "sets").select("doc_id", "c", "n", F.explode("s").alias("s"))
+    has = nodes.join(texts, "node").select("node", "c", "z").mapInArrow(sets, "node long, c long, n long, s array<long>")
+    whole = materialise(has, "sets")
+    has = whole.select("node", "c", "n", F.explode("s").alias("s"))
     common = has.groupBy("s").agg(F.count("*").alias("df"))
-    rare_first = Window.partitionBy("doc_id").orderBy("df", "s")
+    rare_first = Window.partitionBy("node").orderBy("df", "s")
     least = F.floor((F.col("n") * params.percent + 99) / 100)
     prefix = has.join(common, "s").withColumn("place", F.row_number().over(rare_first)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1))
-    prefix = materialise(prefix.select("s", "doc_id", "c", "n", "place"), "prefix")
-    x, y = (prefix.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "c", "n", "place")]) for side in "xy")
+    prefix = materialise(prefix.select("s", "node", "c", "n", "place"), "prefix")
+    release(whole)
+    members = prefix.groupBy("s").agg(F.count("*").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("most")).where("c0 < c1").select("s", "members", "most")
+    prefix = prefix.join(members, "s")
+
+    few = prefix.where(F.col("members") <= params.crowd)
+    x, y = (few.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "c", "n", "place")]) for side in "xy")
     sized = (F.col("n_x") * 100 >= F.col("n_y") * params.percent) & (F.col("n_y") * 100 >= F.col("n_x") * params.percent)
     left = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     enough = left * (100 + params.percent) >= (F.col("n_x") + F.col("n_y")) * params.percent
-    return x.join(y, "s").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y")) & sized & enough).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    light = x.join(y, "s").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & sized & enough).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+    # sizes in classes a threshold's ratio wide: only members of one class or of two neighbouring ones can be similar
+    size = F.floor(F.ln("n") / float(np.log(100 / params.percent))).cast("int") if params.percent < 100 else F.col("n").cast("int")
+    blocks = F.ceil(F.col("members") / params.block).cast("int")
+    many = prefix.where(F.col("members") > params.crowd).withColumn("size", size).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a member meets its own class and the next one, every block of either
+    roles = many.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("s", "node", "c", "n", "place", "block", "other", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("step", step), ("side", side))]) for step, side in ((0, 0), (0, 1), (1, 0), (1, 1))])).alias("r"), "size")
+    meets = roles.select("s", "node", "c", "n", "place", F.col("r.step").alias("step"), F.col("r.side").alias("side"), (F.col("size") - F.col("r.step") * F.col("r.side")).alias("size"), F.when(F.col("r.side") == 0, F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("r.side") == 0, F.col("other")).otherwise(F.col("block")).alias("j"))
+    meets = meets.where((F.col("step") == 1) | (F.col("i") <= F.col("j")))
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (rows[rows["side"] == side] for side in (0, 1))
+        found = _possible(x, y, params)
+        a, b = x["node"].to_numpy()[found[:, 0]], y["node"].to_numpy()[found[:, 1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    heavy = meets.groupBy("s", "step", "size", "i", "j").applyInPandas(pair, "a long, b long")
+    return light.unionByName(heavy).distinct()
 
 
 def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
@@ -218,41 +261,82 @@ def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -
 
     Null or empty texts and texts without words have no shingles and are linked with nothing.
     Repeated rows are copies like others; rows with one doc_id and several texts are linked by
-    each row's own text.  A null doc_id takes part in nothing: component_id null, kept.  Ties
-    cannot matter: components and least ids are unique.  Extra columns are ignored.
+    each row's own text, and their links are the doc_id's.  A null doc_id takes part in nothing:
+    component_id null, kept.  Ties cannot matter: components and least ids are unique.  Very long
+    texts are whole sets like others.  Extra columns are ignored; an empty table gives no row.
     """
     signed = materialise(sketches(documents, params), "sketches")
-    classes = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    nodes = materialise(classes, "classes")
+    real = signed.where("class is not null and doc_id is not null")
+    classes = real.groupBy("class").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "class", "first.*", "n", "bands"), "classes")
     member = nodes.select("node", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.min_by("node", F.xxhash64("node")).alias("other")).where("least < last")
     shared = materialise(member.join(buckets.select("key", "least", "other"), "key"), "buckets")
     stars = materialise(shared.select("node", F.explode(F.array("least", "other")).alias("hub")).where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    texts = materialise(moved_texts(documents, shared.select(F.col("node").alias("doc_id")).distinct()), "texts")
-    found = connected_components(materialise(confirmed(stars, texts, params), "links"))
+    texts = materialise(moved_texts(documents, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "t")), "texts")
+    links = materialise(confirmed(stars, texts, params), "links")
+    release(stars)
+    found = connected_components(links)
 
     # what the stars left uncompared: members of different components in one bucket
-    placed = shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("c"))
+    placed = shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    pairs = prefix_pairs(placed.join(mixed, "key").select("doc_id", "c").distinct(), texts, params)
-    more = materialise(confirmed(materialise(pairs, "pairs"), texts, params), "links")
+    crowded = materialise(placed.join(mixed, "key").select("node", "c").distinct(), "crowded")
+    pairs = materialise(prefix_pairs(crowded, texts, params), "pairs")
+    more = confirmed(pairs, texts, params)
+    # the classes of one doc_id, linked to the least of them
+    named = real.select("doc_id", "class").join(nodes.select("class", "node"), "class") if _repeats(real) else None
+    if named is not None:
+        named = materialise(named.select("doc_id", "node").distinct(), "named")
+        least = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
+        more = more.unionByName(named.join(least, "doc_id").where("a != node").select("a", F.col("node").alias("b")))
+    more = materialise(more, "links")
+    release(shared, texts, crowded, pairs)
     if not more.isEmpty():
-        found = connected_components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    named = nodes.select("class", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.join(named, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        found = connected_components(links.unionByName(more))
+    release(links, more)
+    return _told(signed, nodes, found, params)
+
+
+def _repeats(real: DataFrame) -> bool:
+    """Whether a doc_id has several texts."""
+    return not real.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 < t1").isEmpty()
+
+
+def _told(signed: DataFrame, nodes: DataFrame, found: DataFrame, params: DedupParams) -> DataFrame:
+    """Every row with the least doc_id of its class's component.
+
+    Rows without a class need no answer.  Classes with many rows are few (their number is bounded by
+    the rows over ``hot_rows``, and that grows with the table): they are broadcast, and no task gets all
+    rows of one class.
+    """
+    whole = nodes.select("class", "n", "doc_id", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialise(whole.join(least, "component").select("class", "n", "component_id"), "named")
+    hot_rows = max(params.hot_rows, (named.agg(F.sum("n")).first()[0] or 0) // params.hot_rows)
+    hot = F.broadcast(named.where(F.col("n") > hot_rows).select("class", "component_id"))  # at most hot_rows rows
+    own = signed.select("doc_id", "n_shingles", "class")
+    real = own.where("class is not null and doc_id is not null")
+    alone = own.where("class is null or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    many = real.join(hot, "class")
+    rest = real.join(hot.select("class"), "class", "left_anti").join(named.where(F.col("n") <= hot_rows).select("class", "component_id"), "class")
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
+    return alone.select(*columns).unionByName(many.select(*columns)).unionByName(rest.select(*columns))
 
 
 def keep_one(documents: DataFrame, params: DedupParams = FIVE_WORDS) -> DataFrame:
     """Rows of ``documents`` (all columns) without all but the least id of each component.
 
-    Of rows with one doc_id one stays; rows without a doc_id stay all.
+    Of rows with one doc_id the least by text, then by the other columns in their order, stays; rows
+    without a doc_id stay all.
     """
     gone = near_duplicates(documents, params).where("not kept").select("doc_id").distinct()
-    left = documents.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
-    again = documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = materialise(again, "again")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    left = documents.join(gone, "doc_id", "left_anti").select(*columns)
+    again = materialise(documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return left
-    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in documents.columns])
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in rest])).alias("row"))
+    one = one.select("doc_id", *[F.col("row").getField(c).alias(c) for c in ("text", *rest)]).select(*columns)
+    return left.join(again, "doc_id", "left_anti").select(*columns).unionByName(one)
