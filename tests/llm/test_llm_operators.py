@@ -385,6 +385,25 @@ def test_encoding_round_trip(odd):
     assert bpe.encode_documents(odd.limit(0)).collect() == []
 
 
+def test_decoding_goes_by_the_ids(spark):
+    """A pattern that skips characters shows in what is decoded."""
+    docs = spark.createDataFrame([(1, "it is 12 o'clock"), (2, ""), (3, None), (4, "987")], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.encode_documents(docs, bpe.BpeParams(pattern="[a-z]+")).collect()}
+    assert got == {1: b"itisoclock", 2: b"", 3: b"", 4: b""}
+    digests = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.encode_documents(docs, bpe.BpeParams(pattern="[a-z]+"), "digests").collect()}
+    assert digests[1][1] == hashlib.sha256(b"itisoclock").hexdigest() and digests[4] == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_encoding_over_many_chunks_and_buckets(documents):
+    """A hot word lies in every chunk; many small buckets and chunks give what the library gives."""
+    docs = documents.limit(60).withColumn("text", F.concat(F.lit("the the the "), "text"))
+    encoder = rank_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = bpe.encode_documents(docs.repartition(3), bpe.BpeParams(chunk_bytes=5000, bucket_bytes=3000)).collect()
+    want = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(want)
+    assert all(list(r.ids) == encoder.encode_ordinary(want[r.doc_id]) and bytes(r.decoded) == want[r.doc_id].encode() for r in rows)
+
+
 def test_fast_pattern_equals_the_given_one():
     rng = np.random.default_rng(11)
     letters = [chr(c) for c in [*range(0x250), 0x2003, 0x4E00, 0x0664, 0x1F642]]

@@ -1,8 +1,4 @@
-"""Chunks of documents: the unit that asks buckets about its distinct words and gets answers.
-
-A chunk is named by the hash of its content, so that what is evaluated again after a lost
-executor gets the same name, and equal chunks may share answers.
-"""
+"""Chunks of documents: the unit that asks buckets about its distinct words and gets answers."""
 
 from __future__ import annotations
 
@@ -10,30 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(name, keys, texts) of consecutive rows (key, text) with about ``limit`` bytes of text."""
-    keys, texts, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            keys.append(key)
-            texts.append(text or b"")
-            size += len(texts[-1]) + 16
-            if size >= limit:
-                yield _name(keys, texts), keys, texts
-                keys, texts, size = [], [], 0
-    if keys:
-        yield _name(keys, texts), keys, texts
+class Index(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def squeezed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Integers, compressed by planes of bytes."""
+    v = np.ascontiguousarray(values, kind)
+    return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes())
+
+
+def widened(blob: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def rising(values: np.ndarray) -> bytes:
+    """Sorted unsigned integers, as their differences."""
+    return squeezed(np.diff(values.astype(np.uint64), prepend=np.uint64(0)), "<u8")
 
 
-def _name(keys: list, texts: list[bytes]) -> int:
-    h = xxhash.xxh3_64()
-    for key, text in zip(keys, texts, strict=True):
-        h.update(f"{key}:{len(text)}:".encode())
-        h.update(text)
-    return h.intdigest() - (1 << 63)
+def risen(blob: bytes) -> np.ndarray:
+    return np.cumsum(widened(blob, "<u8"), dtype=np.uint64)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list, list[bytes]]]:
