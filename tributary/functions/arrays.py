@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+def matrix(values) -> Column:
+    """A small matrix as one constant."""
+    return F.from_json(F.lit(json.dumps([[float(v) for v in row] for row in values])), "array<array<double>>")
+
+
+def times(x: Column, values) -> Column:
+    """The row vector ``x`` times a matrix, column by column."""
+    return F.transform(matrix(list(zip(*values, strict=True))), lambda column: dot(x, column))
+
+
 def add(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a + b)
 

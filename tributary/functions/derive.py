@@ -86,6 +86,11 @@ def present(df: DataFrame, names: tuple[str, ...] | list[str]) -> list[str]:
     return [c for c in names if c in have]
 
 
+def keep(df: DataFrame, names: tuple[str, ...] | list[str]) -> DataFrame:
+    """Those of the named columns that are there, in the given order."""
+    return df.select(*present(df, names))
+
+
 def fill_unknown(df: DataFrame, names: tuple[str, ...] | list[str], value: str = "unknown") -> DataFrame:
     """Null categories become ``unknown``; absent columns are skipped."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(value)) for c in present(df, names)})

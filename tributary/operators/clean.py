@@ -40,13 +40,31 @@ def left_features(log: DataFrame, features: DataFrame, key: str, suffix: str = "
     return log.join(renamed, key, "left")
 
 
+def medians(df: DataFrame, names: list[str]) -> DataFrame:
+    """(name, median) of numeric columns: the middle of the counted values in order, found by a running count."""
+    from tributary.operators.prefix import ordered_prefix
+
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])).alias("x")).select("x.*").where("value is not null")
+    counted = long.groupBy("name", "value").agg(F.count("*").alias("n"))
+    upto = ordered_prefix(counted, [F.col("name"), F.col("value")], sums={"n": "upto"})
+    ends = upto.groupBy("name").agg(F.min(F.col("upto") - F.col("n")).alias("before"), F.max("upto").alias("last"))  # a row a column
+    placed = upto.join(F.broadcast(ends), "name").withColumn("lo", F.col("upto") - F.col("n") - F.col("before")).withColumn("hi", F.col("upto") - F.col("before")).withColumn("all", F.col("last") - F.col("before"))
+    holds = lambda place: (F.col("lo") <= place) & (place < F.col("hi"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = placed.where(holds(low) | holds(high)).groupBy("name").agg(F.avg("value").alias("median"))
+    return middle
+
+
 def fill_median(df: DataFrame, names: list[str]) -> DataFrame:
-    """Numbers of texts; null or bad ones become the column's median, absent columns 0."""
+    """Numbers of texts; null or bad ones become the column's median, absent columns 0.
+
+    A column without any number stays null.
+    """
     have = present(df, names)
     out = df.withColumns({c: F.col(c).try_cast("double") for c in have})
     if have:
-        medians = out.agg(*[F.median(c).alias(f"__{c}") for c in have])
-        out = out.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__{c}") for c in have}).select(*df.columns)  # one row
+        found = {r["name"]: r["median"] for r in medians(out, have).collect()}  # a row a column
+        out = out.withColumns({c: F.coalesce(c, F.lit(found.get(c)).cast("double")) for c in have})
     return out.withColumns({c: F.lit(0.0) for c in names if c not in have})
 
 

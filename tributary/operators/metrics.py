@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.prefix import ordered_prefix
+from tributary.operators.prefix import ordered_prefix, written
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -44,27 +44,32 @@ def ips_log_loss(df: DataFrame, label: str = "label", logit: str = "logit", weig
     return df.agg(F.sum(w * bce).alias("s"), F.sum(w).alias("w")).select(F.coalesce(F.col("s") / F.nullif(F.col("w"), F.lit(0.0)), F.lit(0.0)).alias("loss"))
 
 
-def _dcg(df: DataFrame, user: str, by: str, gain: str, k: int, name: str) -> DataFrame:
-    """(user, name): discounted gain with tied rows sharing the mean discount of their places."""
+def _dcg(groups: DataFrame, by: str, k: int, name: str) -> DataFrame:
+    """(user, name): discounted gain of (user, by, n, g) groups, tied rows sharing the mean discount of their places."""
     upto = [0.0]
     for i in range(1, k + 1):
         upto.append(upto[-1] + 1 / math.log2(i + 1))
     table = F.array(*[F.lit(x) for x in upto])
     at = lambda n: F.element_at(table, (F.least(n, F.lit(k)) + 1).cast("int"))
-    groups = df.groupBy(user, by).agg(F.count("*").alias("n"), F.sum(gain).alias("g"))
-    end = F.sum("n").over(Window.partitionBy(user).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum("n").over(Window.partitionBy("user").orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, 0))
     placed = groups.withColumn("end", end)
     part = F.col("g") / F.col("n") * (at(F.col("end")) - at(F.col("end") - F.col("n")))
-    return placed.groupBy(user).agg(F.sum(part).alias(name))
+    return placed.groupBy("user").agg(F.sum(part).alias(name))
+
+
+def _ndcg_of(rows: DataFrame, k: int = 10) -> DataFrame:
+    """(user, ndcg) of counted rows (user, score, g, n): users with at least two rows and a positive one."""
+    gain = F.sum(F.col("g") * F.col("n")).alias("g")
+    fit = rows.groupBy("user").agg(F.sum("n").alias("n"), gain).where("n >= 2 and g > 0").select("user")
+    dcg = _dcg(rows.groupBy("user", F.col("score").alias("by")).agg(F.sum("n").alias("n"), gain), "by", k, "dcg")
+    ideal = _dcg(rows.groupBy("user", F.col("g").alias("by")).agg(F.sum("n").alias("n"), gain), "by", k, "ideal")
+    return fit.join(dcg, "user").join(ideal, "user").select("user", (F.col("dcg") / F.col("ideal")).alias("ndcg"))
 
 
 def ndcg_by_user(df: DataFrame, user: str = "user_idx", label: str = "label", score: str = "score", k: int = 10) -> DataFrame:
     """(user, ndcg) of users with at least two rows and a positive one."""
-    rows = df.select(user, F.col(label).cast("double").alias("g"), F.col(score).alias("s"))
-    fit = rows.groupBy(user).agg(F.count("*").alias("n"), F.sum("g").alias("p")).where("n >= 2 and p > 0").select(user)
-    dcg = _dcg(rows, user, "s", "g", k, "dcg")
-    ideal = _dcg(rows.withColumn("own", F.col("g")), user, "own", "g", k, "ideal")
-    return fit.join(dcg, user).join(ideal, user).select(user, (F.col("dcg") / F.col("ideal")).alias("ndcg"))
+    rows = df.groupBy(F.col(user).alias("user"), F.col(score).alias("score"), F.col(label).cast("double").alias("g")).agg(F.count("*").alias("n"))
+    return _ndcg_of(rows, k).withColumnRenamed("user", user)
 
 
 def ndcg(df: DataFrame, user: str = "user_idx", label: str = "label", score: str = "score", k: int = 10) -> DataFrame:
@@ -80,12 +85,25 @@ def counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def evaluate_split(df: DataFrame, split: str, user: str = "user_idx", label: str = "label", score: str = "score", eps: float = 1e-7) -> DataFrame:
-    """One metrics row (split, auc, ap, logloss, ndcg10, n_samples, n_pos); metrics are 0 with one class only."""
-    row = counts(df, label)
-    for part in (auc(df, label, score), average_precision(df, label, score), log_loss(df, label, score, eps), ndcg(df, user, label, score)):
-        row = row.crossJoin(part)  # single rows
+    """One metrics row (split, auc, ap, logloss, ndcg10, n_samples, n_pos); metrics are 0 with one class only.
+
+    Rows are grouped by user, score and label once; that table and its sums by score give all metrics.
+    """
+    y = F.coalesce(F.col(label).cast("long"), F.lit(0))
+    rows = written(df.groupBy(F.col(user).alias("user"), F.col(score).cast("double").alias("score"), y.alias("y"), F.col(label).cast("double").alias("g")).agg(F.count("*").alias("n")), "scores")
+    by = rows.groupBy("score").agg(F.sum(F.col("n") * F.col("y")).alias("pos"), F.sum(F.col("n") * (1 - F.col("y"))).alias("neg"))
+    cum = ordered_prefix(by.where("score is not null").withColumn("n", F.col("pos") + F.col("neg")), [F.col("score").desc()], sums={"pos": "cum_pos", "neg": "cum_neg"})
+    p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1 - eps))
+    seen = cum.agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)).alias("wins"), F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("gained"),
+        F.sum(-F.col("pos") * F.log(p) - F.col("neg") * F.log(1 - p)).alias("cross"),
+    )
+    whole = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"), F.coalesce(F.sum(F.col("n") * F.col("y")), F.lit(0)).alias("n_pos"))
+    row = whole.crossJoin(seen).crossJoin(_ndcg_of(rows).agg(F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("ndcg10")))  # single rows
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_samples"))
-    return row.select(F.lit(split).alias("split"), *[F.when(both, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("auc", "ap", "logloss", "ndcg10")], "n_samples", "n_pos")
+    over = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    found = {"auc": over(F.col("wins"), F.col("p") * F.col("q")), "ap": over(F.col("gained"), F.col("p")), "logloss": over(F.col("cross"), F.col("p") + F.col("q")), "ndcg10": F.col("ndcg10")}
+    return row.select(F.lit(split).alias("split"), *[F.when(both, v).otherwise(F.lit(0.0)).alias(k) for k, v in found.items()], "n_samples", "n_pos")
 
 
 def side_by_side(metrics: DataFrame, missing: str = "N/A") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.derive import sigmoid
+
 
 def train_click_model(rows: DataFrame, features: list[str] | str, label: str = "is_click", weight: str | None = "ips", kind: str = "logistic", **params) -> Model:
     """Fit P(label) on numeric columns or one array column, each row weighed by ``weight``."""
@@ -20,6 +22,20 @@ def train_click_model(rows: DataFrame, features: list[str] | str, label: str = "
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), head]).fit(rows.withColumn(label, F.col(label).cast("double")))
 
 
+def coefficients(model: Model) -> tuple[list[float], float]:
+    """Weights and intercept of a fitted logistic head."""
+    head = model.stages[-1] if hasattr(model, "stages") else model
+    return [float(x) for x in head.coefficients], float(head.intercept)
+
+
+def linear_score(rows: DataFrame, features: list[str], weights: list[float], intercept: float) -> DataFrame:
+    """Add logit and probability of a click from given weights; a missing feature counts as 0."""
+    z = F.lit(float(intercept))
+    for name, w in zip(features, weights, strict=True):
+        z = z + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * float(w)
+    return rows.withColumn("logit", z).withColumn("score", sigmoid("logit"))
+
+
 def score(model: Model, rows: DataFrame, features: list[str] | str) -> DataFrame:
     """Add logit and probability of a click."""
     if isinstance(features, str):

@@ -6,14 +6,11 @@ they combine before the shuffle.  Layers are written to the shared folder: linea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.arrays import add, dot, layer_norm, relu, scale, zeros
+from tributary.functions.arrays import add, dot, layer_norm, matrix, relu, scale, times, total, zeros
 from tributary.operators.prefix import written
 
 
@@ -22,77 +19,118 @@ def _reduced(how, vector: str, width: int, weight: Column | None = None) -> Colu
     return F.array(*[how(part(i) if weight is None else part(i) * weight) for i in range(width)])
 
 
-def propagate_mean(nodes: DataFrame, edges: DataFrame, width: int, layers: int = 2, normalise: bool = True) -> DataFrame:
+Weights = dict[str, np.ndarray]
+
+
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """``in``: messages go from src to dst; ``out``: from dst to src."""
+    if direction == "in":
+        return edges
+    return edges.select(*[c for c in edges.columns if c not in ("src", "dst")], F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def by_relation(vector: Column, weights: Weights | None, rel: str = "rel") -> Column:
+    """The vector times its relation's matrix; without one it stays."""
+    out = vector
+    for name, values in (weights or {}).items():
+        out = F.when(F.col(rel) == name, times(vector, values)).otherwise(out)
+    return out
+
+
+def propagate_mean(nodes: DataFrame, edges: DataFrame, width: int, layers: int = 2, normalise: bool = True, weights: Weights | None = None, own: np.ndarray | None = None, direction: str = "in") -> DataFrame:
     """(idx, emb): own vector plus, for each relation, the mean of the sources' vectors; then norm and ReLU.
 
-    ``nodes`` (idx, emb), ``edges`` (rel, src, dst).  Nodes without incoming edges keep their own part.
+    ``nodes`` (idx, emb), ``edges`` (rel, src, dst).  Nodes without edges towards them keep their own part.
+    A relation's mean goes through its matrix in ``weights``, the own vector through ``own``; none: as they are.
     """
+    edges = directed(edges, direction)
     for layer in range(layers):
         gathered = edges.join(nodes.withColumnRenamed("idx", "src"), "src")
-        by_relation = gathered.groupBy("dst", "rel").agg(_reduced(F.avg, "emb", width).alias("mean"))
-        message = by_relation.groupBy("dst").agg(_reduced(F.sum, "mean", width).alias("message"))
-        updated = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left").withColumn("emb", add(F.col("emb"), F.coalesce("message", zeros(width)))).drop("message")
+        sums = gathered.groupBy("dst", "rel").agg(_reduced(F.sum, "emb", width).alias("sum"), F.count("*").alias("n"))
+        means = sums.select("dst", by_relation(F.transform("sum", lambda v: v / F.col("n")), weights).alias("mean"))
+        message = means.groupBy("dst").agg(_reduced(F.sum, "mean", width).alias("message"))
+        kept = F.col("emb") if own is None else times(F.col("emb"), own)
+        updated = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left").withColumn("emb", add(kept, F.coalesce("message", zeros(width)))).drop("message")
         if normalise:
             updated = updated.withColumn("emb", relu(layer_norm(F.col("emb"))))
         nodes = written(updated, "layer") if layer < layers - 1 else updated
     return nodes.select("idx", "emb")
 
 
-def propagate_sum(nodes: DataFrame, edges: DataFrame, width: int, steps: int = 1, gate: float = 0.5) -> DataFrame:
-    """(idx, emb): gated update (1 - gate) * own + gate * tanh(own + sum of sources) along directed edges."""
+def propagate_sum(nodes: DataFrame, edges: DataFrame, width: int, steps: int = 1, gate: float = 0.5, weights: np.ndarray | None = None, direction: str = "in") -> DataFrame:
+    """(idx, emb): gated update (1 - gate) * own + gate * tanh(own + sum of sources) along directed edges.
+
+    The sum goes through the matrix ``weights``, if given.
+    """
+    edges = directed(edges, direction)
     for step in range(steps):
         message = edges.join(nodes.withColumnRenamed("idx", "src"), "src").groupBy("dst").agg(_reduced(F.sum, "emb", width).alias("message"))
         joined = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left")
-        with_message = add(F.col("emb"), F.coalesce("message", zeros(width)))
+        told = F.coalesce("message", zeros(width))
+        with_message = add(F.col("emb"), told if weights is None else times(told, weights))
         updated = joined.select("idx", F.zip_with("emb", F.transform(with_message, F.tanh), lambda h, m: h * (1 - gate) + m * gate).alias("emb"))
         nodes = written(updated, "step") if step < steps - 1 else updated
     return nodes.select("idx", "emb")
 
 
-def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scope: str, scaled: bool) -> DataFrame:
-    """(idx, message): softmax of dot products over the edges that meet in ``to``, weighing the other end."""
+def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scope: str, scaled: bool, at: Weights | None = None, far: Weights | None = None, value: Weights | None = None) -> DataFrame:
+    """(idx, message): softmax of dot products over the edges that meet in ``to``, weighing the other end.
+
+    By relation, ``at`` and ``far`` turn the vectors of the two ends before the dot product, ``value`` what is summed.
+    A node's edges combine by relation within each task before they meet.
+    """
     other = "src" if to == "dst" else "dst"
     vectors = nodes.select("idx", "emb")
     both = edges.join(vectors.select(F.col("idx").alias("src"), F.col("emb").alias("emb_src")), "src").join(vectors.select(F.col("idx").alias("dst"), F.col("emb").alias("emb_dst")), "dst")
-    score = dot(F.col("emb_src"), F.col("emb_dst")) / F.lit(float(np.sqrt(width)) if scaled else 1.0)
+    score = dot(by_relation(F.col(f"emb_{to}"), at), by_relation(F.col(f"emb_{other}"), far)) / F.lit(float(np.sqrt(width)) if scaled else 1.0)
     scored = both.select(to, "rel", score.alias("score"), F.col(f"emb_{other}").alias("emb"))
     keys = [to, "rel"] if max_scope == "type" else [to]
     top = scored.groupBy(*keys).agg(F.max("score").alias("top"))
     weighed = scored.join(top, keys).withColumn("w", F.exp(F.col("score") - F.col("top")))
-    sums = weighed.groupBy(F.col(to).alias("idx")).agg(_reduced(F.sum, "emb", width, F.col("w")).alias("summed"), F.sum("w").alias("all"))
+    sums = weighed.groupBy(F.col(to).alias("idx"), "rel").agg(_reduced(F.sum, "emb", width, F.col("w")).alias("summed"), F.sum("w").alias("all"))
+    turned = sums.select("idx", by_relation(F.col("summed"), value).alias("summed"), "all")
+    sums = turned.groupBy("idx").agg(_reduced(F.sum, "summed", width).alias("summed"), F.sum("all").alias("all"))
     return sums.select("idx", F.transform("summed", lambda v: v / F.col("all")).alias("message"))
 
 
-def propagate_attention_in(nodes: DataFrame, edges: DataFrame, width: int, max_scope: str = "all") -> DataFrame:
+def propagate_attention_in(nodes: DataFrame, edges: DataFrame, width: int, max_scope: str = "all", query: Weights | None = None, key: Weights | None = None, value: Weights | None = None, direction: str = "in") -> DataFrame:
     """(idx, emb): own vector plus attention over incoming edges, scores scaled by the root of the width.
 
     ``max_scope`` "type" takes the maximum before exp by relation while the denominator stays shared,
-    which weighs relations against each other; "all" is the exact softmax.
+    which weighs relations against each other; "all" is the exact softmax.  ``query`` turns the node itself,
+    ``key`` and ``value`` its sources, by relation; none: as they are.
     """
-    message = _attention(nodes, edges, width, "dst", max_scope, True)
+    message = _attention(nodes, directed(edges, direction), width, "dst", max_scope, True, query, key, value)
     return nodes.join(message, "idx", "left").select("idx", add(F.col("emb"), F.coalesce("message", zeros(width))).alias("emb"))
 
 
-def propagate_attention_out(nodes: DataFrame, edges: DataFrame, width: int, normalise: bool = True) -> DataFrame:
-    """(idx, emb): own vector plus attention over outgoing edges, gathering targets into sources; then norm."""
-    message = _attention(nodes, edges, width, "src", "all", False)
+def propagate_attention_out(nodes: DataFrame, edges: DataFrame, width: int, normalise: bool = True, weights: Weights | None = None) -> DataFrame:
+    """(idx, emb): own vector plus attention over outgoing edges, gathering targets into sources; then norm.
+
+    A score is the source times its relation's matrix in ``weights``, dot the target.
+    """
+    message = _attention(nodes, edges, width, "src", "all", False, weights)
     out = nodes.join(message, "idx", "left").select("idx", add(F.col("emb"), F.coalesce("message", zeros(width))).alias("emb"))
     return out.withColumn("emb", layer_norm(F.col("emb"))) if normalise else out
 
 
-def propagate_covisit(videos: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    """Incoming attention over video-video edges taken as one relation."""
-    return propagate_attention_in(videos, edges.withColumn("rel", F.lit("covisit")), width)
+def propagate_covisit(videos: DataFrame, edges: DataFrame, width: int, query: np.ndarray | None = None, key: np.ndarray | None = None, value: np.ndarray | None = None) -> DataFrame:
+    """Incoming attention over video-video edges taken as one relation, each pair of videos once."""
+    one = {k: None if v is None else {"covisit": v} for k, v in (("query", query), ("key", key), ("value", value))}
+    return propagate_attention_in(videos, edges.select(F.lit("covisit").alias("rel"), "src", "dst").distinct(), width, **one)
 
 
-def session_readout(nodes: DataFrame, pairs: DataFrame, sessions: DataFrame, width: int) -> DataFrame:
+def session_readout(nodes: DataFrame, pairs: DataFrame, sessions: DataFrame, width: int, weights: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(session_id, att, last): attention of a session's distinct items against its last one.
 
-    An item's score is the sum of tanh(last + item).  Sessions without pairs get zeros.
+    An item's score is the sum of tanh(last + item); with ``weights`` (A, B, c) it is c . tanh(last A + item B).
+    Sessions without pairs get zeros.
     """
     items = pairs.select("session_id", F.explode(F.array("src", "dst")).alias("idx")).distinct().join(nodes, "idx")
     last = pairs.groupBy("session_id").agg(F.max_by("dst", "seq").alias("idx")).join(nodes.withColumnRenamed("emb", "last"), "idx").drop("idx")
-    sum_tanh = F.aggregate(F.zip_with("last", "emb", lambda q, k: F.tanh(q + k)), F.lit(0.0), lambda s, v: s + v)
+    q, k = (F.col("last"), F.col("emb")) if weights is None else (times(F.col("last"), weights[0]), times(F.col("emb"), weights[1]))
+    bent = F.zip_with(q, k, lambda a, b: F.tanh(a + b))
+    sum_tanh = total(bent) if weights is None else total(times(bent, np.asarray(weights[2]).reshape(-1, 1)))
     scored = items.join(last, "session_id").withColumn("score", sum_tanh)
     weighed = scored.withColumn("w", F.exp(F.col("score") - F.max("score").over(Window.partitionBy("session_id"))))
     pooled = weighed.groupBy("session_id").agg(_reduced(F.sum, "emb", width, F.col("w")).alias("summed"), F.sum("w").alias("all"), F.first("last").alias("last"))
@@ -117,24 +155,26 @@ def seeded_matrix(rows: int, columns: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 1 / np.sqrt(max(rows, 1)), (rows, columns))
 
 
-def project_nodes(nodes: DataFrame, weights: dict[str, np.ndarray], bias: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """(node_type, idx, emb): ReLU of features times the type's matrix; missing features count as zeros.
+def project_nodes(nodes: DataFrame, weights: dict[str, np.ndarray], bias: dict[str, np.ndarray] | None = None, lookups: dict[str, dict[int, np.ndarray]] | None = None) -> DataFrame:
+    """(node_type, idx, emb): ReLU of features times the type's matrix plus its bias; missing features count as zeros.
 
-    Matrices are small and sent along; a batch of rows is one product.
+    ``lookups`` names features (by place, from 0) of a type that are codes: each code stands for its row of
+    the feature's table, codes beyond it for its last row, missing ones for its first.  A matrix has a
+    row for each plain feature, then one for each column of each table, in the order of places.
     """
-    bias = bias or {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for kind, part in pdf.groupby("node_type"):
-                w = weights[kind]
-                x = np.zeros((len(part), w.shape[0]))
-                for i, row in enumerate(part["features"]):
-                    row = np.nan_to_num(np.asarray(row, float))[: w.shape[0]]
-                    x[i, : len(row)] = row
-                yield pd.DataFrame({"node_type": kind, "idx": part["idx"].to_numpy(), "emb": list(np.maximum(x @ w + bias.get(kind, 0.0), 0))})
-
-    return nodes.where(F.col("node_type").isin(list(weights))).select("node_type", "idx", "features").mapInPandas(run, "node_type string, idx long, emb array<double>")
+    out = None
+    for kind, values in weights.items():
+        tables = (lookups or {}).get(kind, {})
+        part = nodes.where(F.col("node_type") == kind)
+        at = lambda i: F.coalesce(F.try_element_at("features", F.lit(i + 1)), F.lit(0.0))
+        n_plain = len(values) - sum(np.asarray(t).shape[1] for t in tables.values())
+        plain = [i for i in range(n_plain + len(tables)) if i not in tables]
+        coded = [F.element_at(matrix(t), (F.greatest(F.least(at(i).cast("int"), F.lit(len(t) - 1)), F.lit(0)) + 1)) for i, t in sorted(tables.items())]
+        x = F.concat(F.array(*[F.nanvl(at(i), F.lit(0.0)) for i in plain]), *coded)
+        shift = F.array(*[F.lit(float(v)) for v in np.broadcast_to((bias or {}).get(kind, 0.0), np.asarray(values).shape[1])])
+        rows = part.select("node_type", "idx", relu(add(times(x, values), shift)).alias("emb"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def gather_pairs(pairs: DataFrame, vectors: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -144,15 +184,21 @@ def gather_pairs(pairs: DataFrame, vectors: dict[str, tuple[DataFrame, str]]) ->
     return pairs
 
 
-def align_pairs(pairs: DataFrame, query: str, key: str, values: list[str], width: int, heads: int) -> DataFrame:
-    """Add pair_vector: values weighed head by head, softmax of the heads' scaled dot products, concatenated."""
+def align_pairs(pairs: DataFrame, query: str, key: str, values: list[str], width: int, heads: int, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """Add pair_vector: values weighed head by head, softmax of the heads' scaled dot products, concatenated.
+
+    ``weights`` turns the vectors of the columns that it names first; the columns themselves stay.
+    """
+    used = {c: f"__{c}" for c in dict.fromkeys([query, key, *values])}
+    pairs = pairs.withColumns({new: times(F.col(c), weights[c]) if weights and c in weights else F.col(c) for c, new in used.items()})
+    query, key, values = used[query], used[key], [used[v] for v in values]
     size = width // heads
     head = lambda c, h: F.slice(c, h * size + 1, size)
     scores = F.array(*[dot(head(query, h), head(key, h)) / F.lit(float(np.sqrt(size))) for h in range(heads)])
     out = pairs.withColumn("__scores", scores).withColumn("__top", F.array_max("__scores")).withColumn("__e", F.transform("__scores", lambda s: F.exp(s - F.col("__top"))))
     out = out.withColumn("__all", F.aggregate("__e", F.lit(0.0), lambda s, v: s + v))
     weighed = [scale(head(v, h), F.element_at("__e", h + 1) / F.col("__all")) for v in values for h in range(heads)]
-    return out.withColumn("pair_vector", F.concat(*weighed)).drop("__scores", "__top", "__e", "__all")
+    return out.withColumn("pair_vector", F.concat(*weighed)).drop("__scores", "__top", "__e", "__all", *used.values())
 
 
 def concat_pairs(pairs: DataFrame, parts: list[str]) -> DataFrame:

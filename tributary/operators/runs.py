@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = ("auc", "ap", "logloss", "ndcg10")
 
+# The recorded runs that each table compares, in order.
+GROUPS: dict[str, tuple[str, ...]] = {
+    "baselines_progression": ("DIN", "BST", "1k_kgat_ips0_L2_h128d64", "1k_kgat_ips1_L2_h128d64", "1k_single_kg0_ips1_rg1", "1k_dual_kg0_ips1_rg1", "1k_dual_kg64_ips1_rg1"),
+    "ablations": ("1k_dual_kg64_ips1_rg1", "1k_dual_kg64_ips0_rg1", "1k_dual_kg64_ips1_rg0", "1k_dual_kg64_ips0_rg0"),
+    "sensitivity": ("1k_dual_kg64_ips1_rg1", "1k_dual_kg64_ips1_rg1_L1", "1k_dual_kg64_ips1_rg1_L3", "1k_dual_kg32_ips1_rg1_h64d32", "1k_dual_kg128_ips1_rg1_h256d128"),
+}
+
+
+def run_groups(spark: SparkSession) -> DataFrame:
+    """(grp, place, run): the groups as a table."""
+    return spark.createDataFrame([(g, k, run) for g, names in GROUPS.items() for k, run in enumerate(names, 1)], "grp string, place int, run string")
+
+
+def results_of(history: DataFrame, logged: DataFrame | None = None) -> DataFrame:
+    """(run, metrics): the last epoch of each recorded history, and what the logs of other runs say."""
+    found = last_epoch(history).select("run", *METRICS)
+    return found if logged is None else found.unionByName(logged.select("run", *METRICS).join(found.select("run"), "run", "left_anti"))
+
 
 def last_epoch(history: DataFrame) -> DataFrame:
     """(run, epoch, metrics) of each run's last epoch that has test metrics."""

@@ -5,6 +5,7 @@ Each function has its SQL twin in ``BASE``, whose names the queries' SQL builds
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tributary.functions.derive import aspect_ratio, clipped_ratio, flag, log_co
 
 SEGMENTS = {"AUTOMOBILE": 3, "BUILDING": 2, "MACHINERY": 1}
 GAP_MS = 6 * 3_600_000
+#: Components of the embeddings.
+WIDTH = 64
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,9 +65,15 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("user_id"), ordinal("c_mktsegment", SEGMENTS).alias("activity"), log_count(F.greatest(F.col("c_acctbal"), F.lit(0.0))).alias("log_fans_user_num"), (F.col("c_nationkey") % 5).alias("onehot_feat0"), (F.col("c_custkey") % 3).alias("onehot_feat1"))
 
 
-def vectors(spark: SparkSession, sf: str, width: int = 8) -> DataFrame:
-    """(idx, emb): the first components of the embeddings."""
-    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.transform(F.slice("embedding", 1, width), lambda x: x.cast("double")).alias("emb"))
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(idx, emb): the embeddings."""
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("emb"))
+
+
+def weights(k: int) -> np.ndarray:
+    """The k-th matrix of a fixed rule, which ``mat`` follows in SQL."""
+    i, j = np.ogrid[1 : WIDTH + 1, 1 : WIDTH + 1]
+    return ((i * 37 + j * 101 + k * 13) % 41 - 20) / 160
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +123,8 @@ BASE = {
     "followed_authors": "SELECT k.user_idx AS src, m.dst FROM known k JOIN made m ON m.src = k.video_idx WHERE is_follow = 1",
     "knxt": """SELECT * FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY time_ms, row_key) AS seq, video_idx AS src, lead(video_idx) OVER (PARTITION BY session_id ORDER BY time_ms, row_key) AS dst, tab FROM (
         SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY time_ms DESC, row_key DESC) AS back FROM known) WHERE back <= 50) WHERE dst IS NOT NULL""",
-    "comp": "SELECT vec_id AS idx, unnest(range(1, 9)) AS i, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings",
+    "comp": f"SELECT vec_id AS idx, unnest(range(1, {WIDTH + 1})) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
+    "mat": f"SELECT k, i, j, ((i * 37 + j * 101 + k * 13) % 41 - 20) / 160 AS w FROM (SELECT unnest(range(0, 6)) AS k), (SELECT unnest(range(1, {WIDTH + 1})) AS i), (SELECT unnest(range(1, {WIDTH + 1})) AS j)",
     "pred": """SELECT o_custkey AS user_idx, CAST(l_returnflag = 'R' AS INTEGER) AS label, round((l_discount * 10 + l_tax * 5) / 2, 4) AS score, (l_quantity - 25) / 5 AS logit,
         CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE l_quantity / 3 END AS ips FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "hist": """SELECT run, epoch, epoch % 11 <> 10 AS tested, auc, CASE WHEN NOT (epoch = 3 AND run LIKE '%kg64%') THEN ap END AS ap, logloss, ndcg10 FROM (

@@ -11,6 +11,7 @@ from tributary.operators import model as L
 from tributary.operators import runs as R
 from tributary.plans import bind as B
 from tributary.plans.bind import sql
+from tributary.plans.graph import KG_PATHS
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -102,14 +103,16 @@ def convergence(s, sf):
     return R.convergence(B.history(s, sf), "ap")
 
 
-GROUPS = "SELECT * FROM (VALUES ('models', 1, '1k_dual_kg0_ips1_rg1'), ('models', 2, '1k_dual_kg64_ips1_rg1'), ('ablation', 1, '1k_dual_kg64_ips0_rg1'), ('ablation', 2, '1k_none')) t(grp, place, run)"
+GROUPS = "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {k}, '{run}')" for g, names in R.GROUPS.items() for k, run in enumerate(names, 1)) + ") t(grp, place, run)"
 LAST = "SELECT run, last(auc ORDER BY epoch) AS auc, last(ap ORDER BY epoch) AS ap, last(logloss ORDER BY epoch) AS logloss, last(ndcg10 ORDER BY epoch) AS ndcg10 FROM hist WHERE tested GROUP BY 1"
 
 
 @query("leaderboard", sql(f"SELECT grp, place, run, " + ", ".join(f"coalesce(format('{{:.4f}}', {m}), 'n/a') AS {m}" for m in R.METRICS) + f" FROM ({GROUPS}) LEFT JOIN ({LAST}) USING (run)", "hist"))
 def leaderboard(s, sf):
-    groups = s.createDataFrame([("models", 1, "1k_dual_kg0_ips1_rg1"), ("models", 2, "1k_dual_kg64_ips1_rg1"), ("ablation", 1, "1k_dual_kg64_ips0_rg1"), ("ablation", 2, "1k_none")], "grp string, place int, run string")
-    return R.leaderboard(R.last_epoch(B.history(s, sf)), groups)
+    """Runs with kg 32 have a log only."""
+    h = B.history(s, sf)
+    recorded, logged = h.where("run not like '%kg32%'"), R.last_epoch(h.where("run like '%kg32%'"))
+    return R.leaderboard(R.results_of(recorded, logged), R.run_groups(s))
 
 
 @query("parse_run_name", sql("SELECT run, '1k' AS scale, 'dual' AS model, CAST(regexp_extract(run, '_kg(\\d+)', 1) AS INTEGER) AS kg, CAST(regexp_extract(run, '_ips([01])', 1) AS INTEGER) AS ips, CAST(regexp_extract(run, '_rg([01])', 1) AS INTEGER) AS rg, 2 AS layers, 128 AS hidden, 64 AS out, NULL AS tag FROM (SELECT DISTINCT run FROM hist)", "hist"))
@@ -122,14 +125,27 @@ def run_deltas(s, sf):
     return r6(R.deltas(R.last_epoch(B.history(s, sf)), "1k_dual_kg64_ips1_rg1"))
 
 
-@query("click_model_scores", None)
-def click_model_scores(s, sf):
-    """Probability of a click of every interaction, from a weighted logistic head on log and path features."""
+FEATURES = ["play_ratio", "tab", "same_author", "same_category"]
+WEIGHTS, INTERCEPT = [1.25, -0.125, 0.5, -0.0625], -0.75
+
+
+def model_rows(s, sf):
     from tributary.functions.derive import ips_weight
     from tributary.operators.propagate import path_counts
 
     log = B.log(s, sf)
     tags = B.videos(s, sf).select("video_id", F.explode("tag_list").alias("tag"))
-    rows = log.join(path_counts(log, B.authors(s, sf), tags), "row_key").withColumn("ips", ips_weight("is_rand"))
-    features = ["play_ratio", "tab", "same_author", "same_category"]
-    return L.score(L.train_click_model(rows, features, maxIter=20), rows, features).select("row_key", "is_click", "logit", "score")
+    return log.join(path_counts(log, B.authors(s, sf), tags), "row_key").withColumn("ips", ips_weight("is_rand"))
+
+
+@query("click_scores_given", sql(f"SELECT row_key, is_click, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS score FROM (SELECT row_key, CAST(is_click AS TINYINT) AS is_click, {INTERCEPT} + play_ratio * {WEIGHTS[0]} + tab * {WEIGHTS[1]} + same_author * {WEIGHTS[2]} + same_category * {WEIGHTS[3]} AS z FROM ({KG_PATHS}) JOIN log USING (row_key))", "log", "authors", "tags"))
+def click_scores_given(s, sf):
+    """The head's scores under given weights."""
+    return r6(L.linear_score(model_rows(s, sf), FEATURES, WEIGHTS, INTERCEPT).select("row_key", "is_click", "logit", "score"))
+
+
+@query("click_model_scores", None)
+def click_model_scores(s, sf):
+    """Probability of a click of every interaction, from a weighted logistic head on log and path features."""
+    rows = model_rows(s, sf)
+    return L.score(L.train_click_model(rows, FEATURES, maxIter=20), rows, FEATURES).select("row_key", "is_click", "logit", "score")

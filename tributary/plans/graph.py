@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tributary.functions.arrays import rounded
+from tributary.functions.derive import IPS_WEIGHTS, keep
 from tributary.operators import graph as G
 from tributary.operators import propagate as P
 from tributary.operators import sessions as S
 from tributary.plans import bind as B
 from tributary.plans.bind import sql
+from tributary.schema import KEEP, MERGED_ALL
 
 QUERIES, ORACLE_SQL = {}, {}
-WIDTH = 8
+WIDTH = B.WIDTH
 
 
 def query(name: str, text: str | None):
@@ -119,10 +121,10 @@ def known(s, sf):
     return in_domain(sessions(s, sf), G.id_map(B.users(s, sf), "user_id"), G.id_map(B.raw_videos(s, sf), "video_id"))
 
 
-@query("edges_interacted", sql("SELECT user_idx AS src, video_idx AS dst, is_rand = 1 AS is_rand, count(*) AS n, CAST(sum(CAST(round(play_ratio * 1000000) AS BIGINT)) AS BIGINT) AS play FROM known GROUP BY 1, 2, 3", "known"))
+@query("edges_interacted", sql("SELECT user_idx AS src, video_idx AS dst, is_rand = 1 AS is_rand, count(*) AS n, CAST(sum(CAST(round(play_ratio * 1000000) AS BIGINT)) AS BIGINT) AS play, CAST(sum(long_view) AS BIGINT) AS long_view, CAST(sum(tab) AS BIGINT) AS tab, round(sum(CASE is_rand WHEN 1 THEN " + str(IPS_WEIGHTS["random"]) + " ELSE " + str(IPS_WEIGHTS["standard"]) + " END), 6)::DOUBLE AS ips FROM known GROUP BY 1, 2, 3", "known"))
 def edges_interacted(s, sf):
     e = G.interacted(known(s, sf))
-    return e.groupBy("src", "dst", "is_rand").agg(F.count("*").alias("n"), F.sum(F.round(F.element_at("attr", 1) * 1_000_000).cast("long")).alias("play"))
+    return e.groupBy("src", "dst", "is_rand").agg(F.count("*").alias("n"), F.sum(F.round(F.element_at("attr", 1) * 1_000_000).cast("long")).alias("play"), F.sum(F.element_at("attr", 2)).cast("long").alias("long_view"), F.sum(F.round(F.element_at("attr", 3) * 14).cast("long")).alias("tab"), F.round(F.sum(F.element_at("attr", 4)), 6).alias("ips"))
 
 
 @query("edges_feedback", sql("SELECT rel, src, dst, count(*) AS n FROM feedback GROUP BY 1, 2, 3", "feedback"))
@@ -151,9 +153,9 @@ def edges_tagged(s, sf):
     return G.tagged_as(v, G.id_map(v, "video_id"), G.category_map(v)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("edges_in_session", sql("SELECT session_id, seq, src, dst FROM knxt", "knxt"))
+@query("edges_in_session", sql("SELECT session_id, seq, src, dst, round(tab / 14, 6) AS tab FROM knxt", "knxt"))
 def edges_in_session(s, sf):
-    return G.in_session(known(s, sf)).select("session_id", "seq", "src", "dst")
+    return G.in_session(known(s, sf)).select("session_id", "seq", "src", "dst", F.round(F.element_at("attr", 1), 6).alias("tab"))
 
 
 NODES = "SELECT 'user' AS name, (SELECT count(*) FROM uid) AS n UNION ALL SELECT 'video', (SELECT count(*) FROM vid) UNION ALL SELECT 'author', (SELECT count(*) FROM aid) UNION ALL SELECT 'category', (SELECT count(*) FROM cid) UNION ALL SELECT 'session', (SELECT max(session_id) + 1 FROM sess)"
@@ -163,7 +165,7 @@ ALL = ("feedback", "followed_authors", "tagged", "knxt")
 
 @query("graph_summary", sql(f"SELECT 'node' AS kind, * FROM ({NODES}) UNION ALL SELECT 'edge', * FROM ({EDGES})", *ALL))
 def graph_summary(s, sf):
-    return G.graph_summary(graph(s, sf))
+    return G.graph_counts(sessions(s, sf), B.users(s, sf), B.videos(s, sf))
 
 
 @query("structural_view", sql(f"SELECT 'node' AS kind, * FROM ({NODES}) WHERE name <> 'session' UNION ALL SELECT 'edge', * FROM ({EDGES}) WHERE name NOT IN ('followed', 'next_in_session')", *ALL))
@@ -184,6 +186,23 @@ def merged_edges(s, sf):
     return G.merged_edges(graph(s, sf)).groupBy("rel_id", "src", "dst").agg(F.count("*").alias("n"))
 
 
+U, V, A, C = (f"(SELECT count(*) FROM {t})" for t in ("uid", "vid", "aid", "cid"))
+
+
+@query("merged_edges_all", sql(f"""SELECT rel_id, src, dst, count(*) AS n FROM (
+    SELECT 0 AS rel_id, user_idx AS src, video_idx + {U} AS dst FROM known UNION ALL SELECT CASE rel WHEN 'clicked' THEN 1 WHEN 'liked' THEN 2 ELSE 5 END, src, dst + {U} FROM feedback WHERE rel <> 'followed' UNION ALL
+    SELECT 6, src, dst + {U} + {V} FROM followed_authors UNION ALL SELECT 7, src + {U}, dst + {U} + {V} FROM made UNION ALL SELECT 8, src + {U}, dst + {U} + {V} + {A} FROM tagged UNION ALL SELECT 9, src + {U}, dst + {U} FROM knxt) GROUP BY 1, 2, 3""", *ALL))
+def merged_edges_all(s, sf):
+    return G.merged_edges(graph(s, sf), list(MERGED_ALL)).groupBy("rel_id", "src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("keep_list", sql("SELECT user_id, video_id, CAST(is_click AS INTEGER) AS is_click, author_id, duration_ms, count(*) AS n FROM log LEFT JOIN authors USING (video_id) GROUP BY ALL", "log", "authors"))
+def keep_list(s, sf):
+    """Of the columns that the sequence model keeps, those that are there."""
+    kept = keep(B.log(s, sf).join(B.authors(s, sf), "video_id", "left"), KEEP).withColumn("is_click", F.col("is_click").cast("int"))
+    return kept.groupBy(*kept.columns).agg(F.count("*").alias("n"))
+
+
 @query("edge_cap", sql("""SELECT rel, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY md5(concat_ws('|', 42, src, dst, seq)), src, dst) AS place FROM (
     SELECT rel, src, dst, -1 AS seq FROM feedback UNION ALL SELECT 'next_in_session', src, dst, seq FROM knxt)) WHERE place <= 300""", "feedback", "knxt"))
 def edge_cap(s, sf):
@@ -210,11 +229,28 @@ def propagate_mean(s, sf):
     return out(P.propagate_mean(B.vectors(s, sf), item_edges(s, sf), WIDTH, layers=1, normalise=False))
 
 
-@query("propagate_mean_layers", None)
+def layer(vectors: str) -> str:
+    """One round over (idx, i, x): own and means by relation, layer norm, ReLU."""
+    return f"""SELECT idx, i, greatest((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5), 0) AS x FROM (SELECT c.idx, c.i, c.x + coalesce(m, 0) AS x FROM {vectors} c LEFT JOIN (
+      SELECT dst, i, sum(m) AS m FROM (SELECT dst, rel, i, avg(x) AS m FROM ({ITEM}) JOIN {vectors} ON idx = src GROUP BY 1, 2, 3) GROUP BY 1, 2) g ON g.dst = c.idx AND g.i = c.i) WINDOW w AS (PARTITION BY idx)"""
+
+
+@query("propagate_mean_layers", sql(f"SELECT * FROM (WITH l1 AS ({layer('comp')}) " + OUT.format(layer("l1")) + ")", "comp", "nxt"))
 def propagate_mean_layers(s, sf):
     return out(P.propagate_mean(B.vectors(s, sf), item_edges(s, sf), WIDTH, layers=2))
 
 
+TURNED = "SELECT m.idx, m.rel, j AS i, sum(x * w) AS x FROM ({}) m JOIN mat ON mat.i = m.i AND k = CASE rel {} END GROUP BY 1, 2, 3"
+OWN = "SELECT idx, j AS i, sum(x * w) AS x FROM comp JOIN mat USING (i) WHERE k = {} GROUP BY 1, 2"
+
+
+@query("propagate_mean_weighted", sql(OUT.format(f"""SELECT c.idx, c.i, c.x + coalesce(m, 0) AS x FROM ({OWN.format(2)}) c LEFT JOIN (
+    SELECT idx, i, sum(x) AS m FROM ({TURNED.format(f"SELECT src AS idx, rel, i, avg(x) AS x FROM ({ITEM}) JOIN comp ON idx = dst GROUP BY 1, 2, 3", "WHEN 'low' THEN 0 WHEN 'high' THEN 1")}) GROUP BY 1, 2) g ON g.idx = c.idx AND g.i = c.i"""), "comp", "nxt", "mat"))
+def propagate_mean_weighted(s, sf):
+    """With a matrix a relation and one for the own vector, against the direction of the edges."""
+    return out(P.propagate_mean(B.vectors(s, sf), item_edges(s, sf), WIDTH, layers=1, normalise=False, weights={"low": B.weights(0), "high": B.weights(1)}, own=B.weights(2), direction="out"))
+
+
 @query("propagate_sum", sql(OUT.format("""SELECT c.idx, c.i, 0.5 * c.x + 0.5 * tanh(c.x + coalesce(m, 0)) AS x FROM comp c LEFT JOIN (
     SELECT dst, i, sum(x) AS m FROM nxt JOIN comp ON idx = src GROUP BY 1, 2) g ON g.dst = c.idx AND g.i = c.i"""), "comp", "nxt"))
 def propagate_sum(s, sf):
@@ -230,12 +266,28 @@ def attention(to: str, other: str, by: str) -> str:
       SELECT {to} AS at, v.i, sum(exp(score) * v.x) / sum(exp(score)) AS m FROM ({scored}) JOIN comp v ON v.idx = {other} GROUP BY 1, 2) g ON g.at = c.idx AND g.i = c.i""")
 
 
-@query("propagate_attention_in", sql(attention("dst", "src", "sqrt(8)"), "comp", "nxt"))
+@query("propagate_attention_in", sql(attention("dst", "src", "sqrt(64)"), "comp", "nxt"))
 def propagate_attention_in(s, sf):
     return out(P.propagate_attention_in(B.vectors(s, sf), item_edges(s, sf), WIDTH))
 
 
-@query("propagate_covisit", sql(attention("dst", "src", "sqrt(8)"), "comp", "nxt"))
+EACH = "SELECT idx, rel, i, x FROM comp, (VALUES ('low'), ('high')) r(rel)"
+
+
+@query("propagate_attention_in_weighted", sql(OUT.format(f"""SELECT c.idx, c.i, c.x + coalesce(m, 0) AS x FROM comp c LEFT JOIN (SELECT dst, v.i, sum(exp(score) * v.x) / sum(exp(score)) AS m FROM (
+    SELECT e.dst, e.src, e.rel, score FROM ({ITEM}) e JOIN (SELECT p.src, p.dst, p.rel, sum(q.x * k.x) / sqrt(64) AS score FROM (SELECT DISTINCT src, dst, rel FROM ({ITEM})) p
+      JOIN ({TURNED.format(EACH, "WHEN 'low' THEN 0 WHEN 'high' THEN 1")}) q ON q.idx = p.dst AND q.rel = p.rel JOIN ({TURNED.format(EACH, "WHEN 'low' THEN 2 WHEN 'high' THEN 3")}) k ON k.idx = p.src AND k.rel = p.rel AND k.i = q.i GROUP BY 1, 2, 3) w
+      ON w.src = e.src AND w.dst = e.dst AND w.rel = e.rel) s JOIN ({TURNED.format(EACH, "WHEN 'low' THEN 4 WHEN 'high' THEN 5")}) v ON v.idx = s.src AND v.rel = s.rel GROUP BY 1, 2) g ON g.dst = c.idx AND g.i = c.i"""), "comp", "nxt", "mat"))
+def propagate_attention_in_weighted(s, sf):
+    q, k, v = ({"low": B.weights(a), "high": B.weights(a + 1)} for a in (0, 2, 4))
+    return out(P.propagate_attention_in(B.vectors(s, sf), item_edges(s, sf), WIDTH, query=q, key=k, value=v))
+
+
+def covisit() -> str:
+    return attention("dst", "src", "sqrt(64)").replace(ITEM, "SELECT DISTINCT src, dst FROM nxt")
+
+
+@query("propagate_covisit", sql(covisit(), "comp", "nxt"))
 def propagate_covisit(s, sf):
     return out(P.propagate_covisit(B.vectors(s, sf), item_edges(s, sf), WIDTH))
 
@@ -245,10 +297,19 @@ def propagate_attention_out(s, sf):
     return out(P.propagate_attention_out(B.vectors(s, sf), item_edges(s, sf), WIDTH, normalise=False))
 
 
+@query("propagate_attention_out_weighted", sql(OUT.format(f"""SELECT idx, i, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS x FROM (SELECT c.idx, c.i, c.x + coalesce(m, 0) AS x FROM comp c LEFT JOIN (
+    SELECT e.src, v.i, sum(exp(score) * v.x) / sum(exp(score)) AS m FROM ({ITEM}) e JOIN (SELECT p.src, p.dst, p.rel, sum(q.x * k.x) AS score FROM (SELECT DISTINCT src, dst, rel FROM ({ITEM})) p
+      JOIN ({TURNED.format(EACH, "WHEN 'low' THEN 0 WHEN 'high' THEN 1")}) q ON q.idx = p.src AND q.rel = p.rel JOIN comp k ON k.idx = p.dst AND k.i = q.i GROUP BY 1, 2, 3) w
+      ON w.src = e.src AND w.dst = e.dst AND w.rel = e.rel JOIN comp v ON v.idx = e.dst GROUP BY 1, 2) g ON g.src = c.idx AND g.i = c.i) WINDOW w AS (PARTITION BY idx)"""), "comp", "nxt", "mat"))
+def propagate_attention_out_weighted(s, sf):
+    """With a matrix a relation, and the layer norm."""
+    return out(P.propagate_attention_out(B.vectors(s, sf), item_edges(s, sf), WIDTH, weights={"low": B.weights(0), "high": B.weights(1)}))
+
+
 READOUT = """SELECT session_id, i, sum(exp(score) * x) / sum(exp(score)) AS att, any_value(lx) AS last FROM (
     SELECT t.session_id, v.i, v.x, l.x AS lx, sum(tanh(l.x + v.x)) OVER (PARTITION BY t.session_id, t.idx) AS score FROM (SELECT DISTINCT session_id, unnest([src, dst]) AS idx FROM nxt) t
       JOIN (SELECT session_id, last(dst ORDER BY seq) AS last FROM nxt GROUP BY 1) z ON z.session_id = t.session_id JOIN comp v ON v.idx = t.idx JOIN comp l ON l.idx = z.last AND l.i = v.i) GROUP BY 1, 2"""
-SESSION_OUT = "SELECT n.session_id, list(round(coalesce({}, 0), 5) + 0.0 ORDER BY n.i) AS emb FROM (SELECT session_id, i FROM (SELECT DISTINCT session_id FROM sess), (SELECT unnest(range(1, 9)) AS i)) n LEFT JOIN ({}) r ON r.session_id = n.session_id AND r.i = n.i GROUP BY 1"
+SESSION_OUT = "SELECT n.session_id, list(round(coalesce({}, 0), 5) + 0.0 ORDER BY n.i) AS emb FROM (SELECT session_id, i FROM (SELECT DISTINCT session_id FROM sess), (SELECT unnest(range(1, 65)) AS i)) n LEFT JOIN ({}) r ON r.session_id = n.session_id AND r.i = n.i GROUP BY 1"
 
 
 def readout(s, sf):
@@ -273,7 +334,7 @@ def user_pairs(s, sf):
 
 HEADS = """SELECT row_key, v.i, v.x * w AS x FROM (
     SELECT row_key, video_id, h, exp(score) / sum(exp(score)) OVER (PARTITION BY row_key) AS w FROM (
-      SELECT row_key, video_id, (a.i - 1) // 4 AS h, sum(a.x * b.x) / 2 AS score FROM log JOIN comp a ON a.idx = user_id JOIN comp b ON b.idx = video_id AND b.i = a.i GROUP BY 1, 2, 3)) JOIN comp v ON v.idx = video_id AND (v.i - 1) // 4 = h"""
+      SELECT row_key, video_id, (a.i - 1) // 32 AS h, sum(a.x * b.x) / sqrt(32) AS score FROM log JOIN comp a ON a.idx = user_id JOIN comp b ON b.idx = video_id AND b.i = a.i GROUP BY 1, 2, 3)) JOIN comp v ON v.idx = video_id AND (v.i - 1) // 32 = h"""
 
 
 @query("align_pairs", sql(f"SELECT row_key, list(round(x, 5) + 0.0 ORDER BY i) AS pair_vector FROM ({HEADS}) GROUP BY 1", "log", "comp"))
@@ -286,23 +347,37 @@ def pair_concat(s, sf):
     return P.concat_pairs(user_pairs(s, sf), ["q", "k"]).select("row_key", rounded(F.col("pair_vector"), 5).alias("pair_vector"))
 
 
-@query("kg_paths", sql("""SELECT row_key, coalesce(a.n, 0) AS same_author, coalesce(c.n, 0) AS same_category FROM log
+KG_PATHS = """SELECT row_key, coalesce(a.n, 0) AS same_author, coalesce(c.n, 0) AS same_category FROM log
     LEFT JOIN (SELECT row_key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT row_key, coalesce(sum(is_click) OVER (PARTITION BY user_id, author_id ORDER BY time_ms, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM log JOIN authors USING (video_id)) GROUP BY 1) a USING (row_key)
-    LEFT JOIN (SELECT row_key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT row_key, coalesce(sum(is_click) OVER (PARTITION BY user_id, tag ORDER BY time_ms, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM log JOIN (SELECT DISTINCT * FROM tags) USING (video_id)) GROUP BY 1) c USING (row_key)""", "log", "authors", "tags"))
+    LEFT JOIN (SELECT row_key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT row_key, coalesce(sum(is_click) OVER (PARTITION BY user_id, tag ORDER BY time_ms, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM log JOIN (SELECT DISTINCT * FROM tags) USING (video_id)) GROUP BY 1) c USING (row_key)"""
+
+
+@query("kg_paths", sql(KG_PATHS, "log", "authors", "tags"))
 def kg_paths(s, sf):
     tags = B.videos(s, sf).select("video_id", F.explode("tag_list").alias("tag"))
     return P.path_counts(B.log(s, sf), B.authors(s, sf), tags)
 
 
-@query("history_pool", sql(f"""SELECT h.row_key, list(round(coalesce(x, 0), 4) + 0.0 ORDER BY h.i) AS pooled FROM (SELECT row_key, i FROM ({HISTORY}), (SELECT unnest(range(1, 9)) AS i) WHERE hist IS NOT NULL) h LEFT JOIN (
+@query("history_pool", sql(f"""SELECT h.row_key, list(round(coalesce(x, 0), 4) + 0.0 ORDER BY h.i) AS pooled FROM (SELECT row_key, i FROM ({HISTORY}), (SELECT unnest(range(1, 65)) AS i) WHERE hist IS NOT NULL) h LEFT JOIN (
     SELECT row_key, v.i, sum(w * v.x) AS x FROM (SELECT row_key, item, video_id FROM (SELECT row_key, video_id, unnest(hist) AS item FROM ({HISTORY}) WHERE hist IS NOT NULL))
-      JOIN (SELECT a.idx AS ia, b.idx AS ib, sum(a.x * b.x) AS w FROM comp a JOIN comp b ON a.i = b.i WHERE a.idx < 100 AND b.idx < 100 GROUP BY 1, 2) ON ia = item AND ib = video_id JOIN comp v ON v.idx = item GROUP BY 1, 2) p ON p.row_key = h.row_key AND p.i = h.i GROUP BY 1""", "log", "comp"))
+      JOIN (SELECT ia, ib, sum(a.x * b.x) AS w FROM (SELECT DISTINCT unnest(hist) AS ia, video_id AS ib FROM ({HISTORY}) WHERE hist IS NOT NULL) JOIN comp a ON a.idx = ia JOIN comp b ON b.idx = ib AND b.i = a.i GROUP BY 1, 2) ON ia = item AND ib = video_id JOIN comp v ON v.idx = item GROUP BY 1, 2) p ON p.row_key = h.row_key AND p.i = h.i GROUP BY 1""", "log", "comp"))
 def history_pool(s, sf):
     return P.history_pool(S.histories(B.log(s, sf)), B.vectors(s, sf), "row_key", "hist", "video_id", WIDTH).select("row_key", rounded(F.col("pooled"), 4).alias("pooled"))
 
 
-@query("project_nodes", None)
+FEATURE_ROWS = """SELECT 'user' AS node_type, u.idx, 0 AS k, f.i, f.x FROM uid u JOIN (
+      SELECT c_custkey AS id, unnest(range(1, 3)) AS i, unnest([CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 3.0 WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END, ln(1 + greatest(c_acctbal, 0))]) AS x FROM customer UNION ALL
+      SELECT c_custkey, j + 2, w FROM customer JOIN mat ON k = 3 AND i = c_nationkey % 5 + 1 AND j <= 8 UNION ALL SELECT c_custkey, j + 10, w FROM customer JOIN mat ON k = 4 AND i = c_custkey % 3 + 1 AND j <= 8) f ON f.id = u.raw_id
+    UNION ALL SELECT 'video', v.idx, 1, f.i, f.x FROM vid v JOIN (SELECT r.video_id AS id, unnest(range(1, 6)) AS i, unnest([CASE WHEN server_height = 0 THEN 1.0 ELSE server_width / server_height END, video_duration / 1000,
+      coalesce(CASE WHEN show_cnt = 0 THEN 0.0 ELSE least(valid_play_cnt / show_cnt, 1) END, 0), coalesce(ln(1 + show_cnt), 0), coalesce(ln(1 + like_cnt), 0)]) AS x FROM raw_videos r LEFT JOIN stats USING (video_id)) f ON f.id = v.raw_id
+    UNION ALL SELECT 'author', idx, 2, 1, 0.0 FROM aid UNION ALL SELECT 'category', idx, 2, 1, 0.0 FROM cid UNION ALL SELECT 'session', unnest(range(0, (SELECT max(session_id) + 1 FROM sess))), 2, 1, 0.0"""
+
+
+@query("project_nodes", sql(f"SELECT node_type, idx, list(round(greatest(x, 0), 5) + 0.0 ORDER BY j) AS emb FROM (SELECT node_type, idx, j, sum(x * w) + CASE WHEN node_type = 'author' THEN 0.25 ELSE 0 END AS x FROM ({FEATURE_ROWS}) f JOIN mat ON mat.k = f.k AND mat.i = f.i GROUP BY 1, 2, 3) GROUP BY 1, 2", "uid", "vid", "aid", "cid", "sess", "stats", "mat"))
 def project_nodes(s, sf):
-    nodes = graph(s, sf).nodes
-    weights = {"user": P.seeded_matrix(4, WIDTH, 1), "video": P.seeded_matrix(5, WIDTH, 2)}
-    return P.project_nodes(nodes, weights)
+    """Nodes of every type; two features of users are codes with tables of eight columns."""
+    none = B.weights(2)[:1]
+    weights = {"user": B.weights(0)[:18], "video": B.weights(1)[:5], "author": none, "category": none, "session": none}
+    lookups = {"user": {2: B.weights(3)[:5, :8], 3: B.weights(4)[:3, :8]}}
+    found = P.project_nodes(graph(s, sf).nodes, weights, {"author": 0.25}, lookups)
+    return found.select("node_type", "idx", rounded(F.col("emb"), 5).alias("emb"))

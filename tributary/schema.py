@@ -1,4 +1,7 @@
-"""Declared schemas, roles of columns and the catalog of relations."""
+"""Declared schemas, roles of columns and the catalog of relations.
+
+Fixed values of the file format: the names of columns, flags and relations.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +21,6 @@ USER_FLAGS = ("is_lowactive_period", "is_live_streamer", "is_video_author")
 ENCRYPTED = tuple(f"onehot_feat{i}" for i in range(18))
 VIDEO_COUNTS = ("show_cnt", "play_cnt", "like_cnt", "follow_cnt", "share_cnt", "collect_cnt", "comment_cnt")
 VIDEO_STATISTICS = ("video_id", "show_cnt", "valid_play_cnt", *VIDEO_COUNTS[1:])
-CATEGORICALS = ("user_active_degree", "is_live_streamer", "is_video_author", "follow_user_num_range", "fans_user_num_range", "friend_user_num_range", "register_days_range", "video_type", "upload_type", "music_type")
 
 #: Columns of the edge table.
 EDGES = "src_type string, rel string, dst_type string, src long, dst long, attr array<double>, is_rand boolean, session_id long, seq long"
@@ -37,4 +39,8 @@ RELATIONS: dict[str, tuple[str, str, bool, bool, str | None]] = {
     "tagged_as": ("video", "category", True, True, None),
     "next_in_session": ("video", "video", False, False, None),
 }
+#: The relations of the whole merged graph, in the order of their numbers.
+MERGED_ALL = ("interacted", "clicked", "liked", "commented", "forwarded", "hated", "follows", "made_by", "tagged_as", "next_in_session")
+#: Columns that rows of the sequence model keep, as far as they are there.
+KEEP = ("user_id", "video_id", "is_click", "hist_video_ids", "timestamp_norm", "user_active_degree", "follow_user_num_range", "fans_user_num_range", "friend_user_num_range", "register_days_range", "author_id", "music_id", "upload_type", "duration_ms")
 NODE_TYPES = ("user", "video", "author", "category", "session")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +17,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(p)
 
 
+def move(spark: SparkSession, pattern: str, place: Callable[[str], str]) -> None:
+    """Move every path that matches to where ``place`` puts it."""
+    for path in glob(spark, pattern):
+        at, system = _system(spark, path)
+        to, _ = _system(spark, place(path))
+        system.mkdirs(to.getParent())
+        system.rename(at, to)
+
+
 def glob(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match, in order; none if the folder is missing."""
     p, system = _system(spark, pattern)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions.derive import aspect_ratio, clipped_ratio, flag, log_count, ordinal, parse_tags, seconds
 from tributary.operators.clean import filter_ads, unite_policies
 from tributary.operators.graph import category_map, id_map
+from tributary.operators.prefix import ordered_prefix
 from tributary.operators.sessions import GAP_MS, sessionize
 from tributary.schema import FLAGS, LOG, USER_COUNTS, VIDEO_COUNTS, VIDEO_STATISTICS
 from tributary.sources.files import exists, glob
@@ -54,7 +55,10 @@ def read_interactions(spark: SparkSession, paths: list[str], random: bool) -> Da
 
 
 def read_user_features(spark: SparkSession, paths: list[str]) -> DataFrame:
-    df = spark.read.option("header", True).option("inferSchema", True).csv(paths)
+    """Names and ranges as text, all other columns as numbers."""
+    df = _csv(spark, paths)
+    text = {"user_active_degree", *(c for c in df.columns if c.endswith("_range"))}
+    df = df.select(*[F.col(c) if c in text else F.col(c).try_cast("int" if c == "user_id" or c.startswith("is_") else "double").alias(c) for c in df.columns])
     if "user_active_degree" in df.columns:
         df = df.withColumn("activity", ordinal("user_active_degree"))
     return df.withColumns({f"log_{c}": log_count(c) for c in USER_COUNTS if c in df.columns})
@@ -94,8 +98,8 @@ class Dataset:
 def load_dataset(spark: SparkSession, folder: str, min_interactions: int = 10, drop_ads: bool = True, gap_ms: int = GAP_MS) -> Dataset:
     """Read, filter, unite, sessionize and number a folder of files.
 
-    Rows have no key of their own, so equal ones are told apart by nothing; time ties follow a hash
-    of the row.
+    Rows have no key of their own: ``row_key`` is the place in the order of time, user and a hash of the row.
+    Equal rows get different keys, and which gets which makes no difference.
     """
     layout = validate_inputs(spark, folder)
     standard, random = (read_interactions(spark, layout[p], p == "random") for p in ("standard", "random"))
@@ -106,7 +110,7 @@ def load_dataset(spark: SparkSession, folder: str, min_interactions: int = 10, d
     else:
         videos = basic
     log = unite_policies(standard, random, min_interactions)
-    log = log.withColumn("row_key", F.xxhash64(*log.columns))
+    log = ordered_prefix(log, [F.col("time_ms"), F.col("user_id"), F.xxhash64(*log.columns)], rank="row_key")
     videos = videos.join(read_video_statistic(spark, layout["video_statistic"]), "video_id", "left")
     users = read_user_features(spark, layout["users"])
     return Dataset(log, sessionize(log, gap_ms), users, videos, id_map(users, "user_id"), id_map(videos, "video_id"), id_map(videos, "author_id"), category_map(videos))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.operators import metrics
+
 METRICS = "split string, loss double, auc double, ap double, logloss double, ndcg10 double, n_samples long, n_pos long"
 HISTORY = f"epoch int, train struct<{METRICS.replace(' ', ':').replace(',:', ',')}>, test struct<{METRICS.replace(' ', ':').replace(',:', ',')}>, lr double, time_s double"
 RUN = r"([^/]+)/[^/]+$"
@@ -41,6 +43,23 @@ def read_predictions(predictions: DataFrame, labels: DataFrame, key: str, label:
     return labels.select(key, F.col(label).alias("label")).join(predictions.select(key, F.col(floats[0]).cast("double").alias("score")), key)
 
 
+def split_metrics(predictions: DataFrame | None, labels: DataFrame, key: str, label: str, log_metrics: DataFrame | None = None) -> DataFrame:
+    """One row (auc, ap, logloss, n_samples, n_pos) of a split.
+
+    From predictions if they fit the labels; else the log's ``auc`` and ``logloss`` (one row) beside the
+    counts of labels; else the counts alone.
+    """
+    counted = metrics.counts(labels, label).select("n_samples", "n_pos")
+    fit = None if predictions is None else read_predictions(predictions, labels, key, label)
+    if fit is not None:
+        parts = (metrics.auc(fit), metrics.average_precision(fit), metrics.log_loss(fit))
+        return parts[0].crossJoin(parts[1]).crossJoin(parts[2]).crossJoin(counted)  # single rows
+    none = F.lit(None).cast("double")
+    if log_metrics is not None:
+        return log_metrics.limit(1).select("auc", none.alias("ap"), "logloss").crossJoin(counted)  # single rows
+    return counted.select(none.alias("auc"), none.alias("ap"), none.alias("logloss"), "n_samples", "n_pos")
+
+
 def write_splits(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """A folder a split."""
     writer = rows.write.mode("overwrite").partitionBy("split")
