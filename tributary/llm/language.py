@@ -14,20 +14,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import free_name, materialise, small_batches
+from tributary.llm.common import free_name, materialise, release, small_batches
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``max_trigrams``: a text's likelihood counts as that of at most so many average trigrams."""
+    """``max_trigrams``: a text's likelihood counts as that of at most so many average trigrams.
+
+    ``dense_entries``, ``broadcast_hosts`` and ``hot_rows`` choose how things are held and joined; no result
+    depends on them.
+    """
 
     max_trigrams: float = 40.0
     hash_bits: int = 16
@@ -36,18 +41,70 @@ class LanguageParams:
     confusion_weight: float = 2.0
     unknown_prior: float = 0.01
     accept: float = 0.5
-    max_languages: int = 256
+    dense_entries: int = 1 << 26
     broadcast_hosts: int = 100_000
+    hot_rows: int = 10_000
 
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log probabilities [bucket, language]; the last language is ``und``, even over all buckets."""
+    """Trigram counts by language, as rows of buckets: those of bucket b are at first[b] : first[b + 1].
+
+    Every bucket counts half a trigram more.  The last language is ``und``, even over all buckets.
+    """
 
     languages: tuple[str, ...]
-    log_p: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    count: np.ndarray
     params: LanguageParams
 
+    @cached_property
+    def totals(self) -> np.ndarray:
+        """Of each language but the last, with the halves."""
+        return np.bincount(self.language, self.count, len(self.languages) - 1) + (1 << self.params.hash_bits) / 2
+
+    @cached_property
+    def gains(self) -> np.ndarray:
+        """What each count adds to the log probability of a bucket without any."""
+        return np.log((self.count + 0.5) / 0.5)
+
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        """Log probabilities [bucket, language], where that many fit."""
+        buckets, n = 1 << self.params.hash_bits, len(self.languages) - 1
+        if buckets * (n + 1) > self.params.dense_entries:
+            return None
+        out = np.tile(np.append(np.log(0.5 / self.totals), -np.log(buckets)), (buckets, 1))
+        out[np.repeat(np.arange(buckets), np.diff(self.first)), self.language] += self.gains
+        return out.astype(np.float32)
+
+    def log_likelihood(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """[text, language]: sums over the trigrams of each text."""
+        n = len(self.languages)
+        out = np.zeros((len(sizes), n))
+        starts, some = np.cumsum(sizes) - sizes, np.flatnonzero(sizes > 0)
+        if not len(some):
+            return out
+        if self.table is not None:
+            out[some] = np.add.reduceat(self.table[codes], starts[some], axis=0, dtype=np.float64)
+            return out
+        many = np.diff(self.first)[codes]
+        at = np.repeat(self.first[codes] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), many)
+        gained = np.bincount(text * n + self.language[at], self.gains[at], out.size).reshape(out.shape)
+        return gained + sizes[:, None] * np.append(np.log(0.5 / self.totals), -self.params.hash_bits * np.log(2))
+
+    def without(self, codes: np.ndarray, language: int) -> float:
+        """Log likelihood of a text's trigrams under a language that has not counted this text."""
+        some, own = np.unique(codes, return_counts=True)
+        count = np.zeros(len(some))
+        for k, b in enumerate(some.tolist()):
+            part = slice(self.first[b], self.first[b + 1])
+            at = np.flatnonzero(self.language[part] == language)
+            count[k] = self.count[part][at[0]] if len(at) else 0
+        return float((own * np.log((np.maximum(count - own, 0) + 0.5) / (self.totals[language] - len(codes)))).sum())
+
 
 # letters and bytes beyond ASCII stay, A-Z in lower case; all else is a space
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -86,26 +143,32 @@ def train(texts: DataFrame, params: LanguageParams = LanguageParams()) -> TextMo
 
     counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "trigrams")
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().limit(params.max_languages + 1).collect())
-    if len(languages) > params.max_languages:
-        raise ValueError(f"more than {params.max_languages} languages")
     found = counts.toArrow()
-    table = np.full((1 << params.hash_bits, len(languages) + 1), 0.5)
-    at = {x: i for i, x in enumerate(languages)}
-    table[found["bucket"].to_numpy(), [at[x] for x in found["lang"].to_pylist()]] += found["n"].to_numpy()
-    table[:, -1] = 1
-    return TextModel((*languages, UNKNOWN), np.log(table / table.sum(0)).astype(np.float32), params)
-
-
-def text_log_likelihood(texts: list[bytes | None], model: TextModel) -> tuple[np.ndarray, np.ndarray]:
-    """Tempered log likelihoods [text, language] and the number of trigrams by text."""
+    release(counts)
+    names = found["lang"].combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    languages = names.dictionary.to_pylist()
+    rank = np.argsort(np.argsort(np.array(languages, object))) if languages else np.empty(0, np.int64)
+    language, bucket = rank[names.indices.to_numpy(zero_copy_only=False)] if languages else np.empty(0, np.int64), found["bucket"].to_numpy()
+    order = np.lexsort((language, bucket))
+    first = np.searchsorted(bucket[order], np.arange((1 << params.hash_bits) + 1))
+    return TextModel((*sorted(languages), UNKNOWN), first, language[order].astype(np.int64), found["n"].to_numpy()[order].astype(float), params)
+
+
+def text_log_likelihood(texts: list[bytes | None], model: TextModel, counted_as: list[str | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tempered log likelihoods [text, language] and the number of trigrams by text.
+
+    ``counted_as`` names the language under which the model has counted each text; where that text is more
+    than a twentieth of its language, its own share is left out.
+    """
     out, sizes = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    index = {x: i for i, x in enumerate(model.languages[:-1])}
     for lo in range(0, len(texts), 200):
         codes, n = _trigrams(texts[lo : lo + 200], model.params.hash_bits)
-        starts = np.cumsum(n) - n
-        some = np.flatnonzero(n > 0)
-        if len(some):
-            out[lo + some] = np.add.reduceat(model.log_p[codes], starts[some], axis=0, dtype=np.float64)
+        out[lo : lo + 200] = model.log_likelihood(codes, n)
+        for k, (name, end) in enumerate(zip(counted_as[lo : lo + 200], np.cumsum(n).tolist(), strict=True) if counted_as else ()):
+            if n[k] and (at := index.get(name)) is not None and 20 * n[k] > model.totals[at] - (1 << model.params.hash_bits) / 2:
+                out[lo + k, at] = model.without(codes[end - n[k] : end], at)
         sizes[lo : lo + 200] = n
     return out * (np.minimum(1, model.params.max_trigrams / np.maximum(sizes, 1)))[:, None], sizes
 
@@ -115,13 +178,32 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def identify(rows: DataFrame, model: TextModel) -> DataFrame:
+def with_sums(rows: DataFrame, sums: DataFrame, what: str, params: LanguageParams) -> DataFrame:
+    """``rows`` with ``sums`` (what, sums, rows) of their host or domain; null without one.
+
+    Up to ``broadcast_hosts`` sums go along with the tasks.  With more, only those with very many rows do
+    (their number is bounded by the rows over ``hot_rows``, which grows with the table), so that no task
+    gets all rows of one.
+    """
+    n = sums.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
+    own = sums.drop("rows")
+    if n["n"] <= params.broadcast_hosts:
+        return rows.join(F.broadcast(own), what, "left")
+    hot_rows = max(params.hot_rows, n["rows"] // params.hot_rows)
+    hot = F.broadcast(sums.where(F.col("rows") > hot_rows).drop("rows"))
+    some, columns = rows.where(F.col(what).isNotNull()), [*rows.columns, f"{what}_sum"]
+    none = rows.where(F.col(what).isNull()).withColumn(f"{what}_sum", F.lit(None).cast("array<double>"))
+    rest = some.join(hot.select(what), what, "left_anti").join(own, what)
+    return none.select(columns).unionByName(some.join(hot, what).select(columns)).unionByName(rest.select(columns))
+
+
+def identify(rows: DataFrame, model: TextModel, counted: bool = False) -> DataFrame:
     """Add ``language``, ``probability`` and ``letters`` (whether the text has a likelihood) to rows of
     (key, text, declared, suffix, host, domain); drops text.
 
     declared, suffix, host and domain may be null: that evidence is then left out.  A text
     without letters has no likelihood; the other evidence decides, and with none it is ``und``.
-    One row per input row.
+    One row per input row.  ``counted``: the model has counted these texts under what they declare.
     """
     params, languages = model.params, model.languages
     n = len(languages)
@@ -130,7 +212,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            like, sizes = text_log_likelihood(batch.column(at).cast(pa.binary()).to_pylist(), model)
+            like, sizes = text_log_likelihood(batch.column(at).cast(pa.binary()).to_pylist(), model, batch.column("declared").to_pylist() if counted else None)
             post = _softmax(like + np.log(prior)) * (sizes > 0)[:, None]
             lists = [pa.ListArray.from_arrays(np.arange(0, (batch.num_rows + 1) * n, n, dtype=np.int32), pa.array(x.ravel())) for x in (like, post)]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *lists], [*(f for f in batch.schema.names if f != "text"), "like", "post"])
@@ -153,10 +235,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     everywhere /= everywhere.sum()
     joined = seen
     for what in ("host", "domain"):
-        by = materialise(seen.where(F.col(what).isNotNull()).groupBy(what).agg(sums.alias(f"{what}_sum")), what)
-        if by.count() <= params.broadcast_hosts:  # else Spark chooses, and the evidence may be shuffled
-            by = F.broadcast(by)
-        joined = joined.join(by, what, "left")
+        by = seen.where(F.col(what).isNotNull()).groupBy(what).agg(sums.alias(f"{what}_sum"), F.count("*").alias("rows"))
+        joined = with_sums(joined, materialise(by, what), what, params)
     index = {x: i for i, x in enumerate([*known, ""])}
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,20 +300,23 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def identify_pages(pages: DataFrame, documents: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
     """page_id, language, probability, accepted, declared, suffix, host of every page.
 
-    The text model is counted over all ``documents`` with text and language.  Null html is an
-    empty page; a null or odd url gives neither suffix nor host; repeated rows each get a row.
+    The text model is counted over all ``documents`` with text and language, however many languages
+    those name.  Null html is an empty page; a null or odd url gives neither suffix nor host; repeated
+    rows each get a row; whole pages are read, however long.  Extra columns are ignored; no pages give no
+    row, and without documents the other evidence decides between no languages: ``und``.
     """
     found = identify(page_evidence(pages), train(documents, params))
     return found.select(F.col("key").alias("page_id"), "language", "probability", ((F.col("language") != UNKNOWN) & (F.col("probability") >= params.accept)).alias("accepted"), "declared", "suffix", "host")
 
 
 def keep_identified(documents: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """Rows of ``documents`` (all columns) whose language is found by ``identify``.
+    """Rows of ``documents`` (all columns) whose language is found by ``identify`` and is not another than declared.
 
     The declared ``lang`` is the markup evidence and ``source`` the host; there is no address and no
-    domain.  A text without letters is rejected whatever is declared.  Where no row declares a language
-    none can be told apart, and every text with letters stays.  Decisions go by a key of what
-    ``identify`` reads, so equal rows share theirs; only the keys of rejected rows move.
+    domain.  The text model has counted the same texts, so a text's own share is left out where it weighs.
+    A text without letters is rejected whatever is declared.  Where no row declares a language none can be
+    told apart, and every text with letters stays.  Decisions go by a key of what ``identify`` reads, so
+    equal rows share theirs; only the keys of rejected rows move.  An empty table stays empty.
     """
     model = train(documents, params)
     mark = free_name(documents, "row_key")
@@ -242,9 +325,10 @@ def keep_identified(documents: DataFrame, params: LanguageParams = LanguageParam
     key = F.concat_ws("-", F.xxhash64(nulls, *read).cast("string"), F.xxhash64(F.lit(1), nulls, *read).cast("string"))
     none = F.lit(None).cast("string")
     rows = small_batches(documents).select(key.alias("key"), "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
-    found = identify(rows, model)
+    found = identify(rows, model, counted=True)
     fails = ~F.col("letters")
     if len(model.languages) > 1:
-        fails |= (F.col("language") == UNKNOWN) | (F.col("probability") < params.accept)
+        other = F.coalesce(F.col("declared") != F.col("language"), F.lit(False))
+        fails |= (F.col("language") == UNKNOWN) | (F.col("probability") < params.accept) | other
     rejected = materialise(found.where(fails).select(F.col("key").alias(mark)).distinct(), "rejected")
     return documents.withColumn(mark, key).join(rejected, mark, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
