@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -49,8 +48,8 @@ class DedupParams:
     percent: int = 85
     bands: int = 40
     rows: int = 8
-    crowd: int = 64
-    block: int = 1024
+    crowd: int = 256
+    block: int = 512
     hot_rows: int = 10_000
 
 
@@ -191,14 +190,6 @@ def confirmed(edges: DataFrame, texts: DataFrame, params: DedupParams) -> DataFr
     return edges.join(texts.withColumnsRenamed({"node": "b", "z": "zb"}), "b").join(texts.withColumnsRenamed({"node": "a", "z": "za"}), "a").select("a", "b", "za", "zb").mapInArrow(verify, "a long, b long")
 
 
-def _possible(x: pd.DataFrame, y: pd.DataFrame, params: DedupParams) -> np.ndarray:
-    """Pairs (row of x, row of y) that sizes and places do not rule out."""
-    nx, ny, px, py = x["n"].to_numpy()[:, None], y["n"].to_numpy(), x["place"].to_numpy()[:, None], y["place"].to_numpy()
-    left = 1 + np.minimum(nx - px, ny - py)
-    ok = (nx * 100 >= ny * params.percent) & (ny * 100 >= nx * params.percent) & (left * (100 + params.percent) >= (nx + ny) * params.percent)
-    return np.argwhere(ok & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()))
-
-
 def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> DataFrame:
     """Every pair (a, b) of nodes (node, c) with different c that can be similar enough, by prefixes.
 
@@ -230,30 +221,23 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> Dat
     members = prefix.groupBy("s").agg(F.count("*").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("most")).where("c0 < c1").select("s", "members", "most")
     prefix = prefix.join(members, "s")
 
-    few = prefix.where(F.col("members") <= params.crowd)
-    x, y = (few.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "c", "n", "place")]) for side in "xy")
-    sized = (F.col("n_x") * 100 >= F.col("n_y") * params.percent) & (F.col("n_y") * 100 >= F.col("n_x") * params.percent)
-    left = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    enough = left * (100 + params.percent) >= (F.col("n_x") + F.col("n_y")) * params.percent
-    light = x.join(y, "s").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & sized & enough).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    def meet(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of different components with equal keys that sizes and places do not rule out."""
+        x, y = (df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "c", "n", "place")]) for df, side in ((rows, "x"), (others, "y")))
+        sized = (F.col("n_x") * 100 >= F.col("n_y") * params.percent) & (F.col("n_y") * 100 >= F.col("n_x") * params.percent)
+        left = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+        enough = left * (100 + params.percent) >= (F.col("n_x") + F.col("n_y")) * params.percent
+        return x.join(y, keys).where((F.col("c_x") != F.col("c_y")) & sized & enough).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
+    few = prefix.where(F.col("members") <= params.crowd)
     # sizes in classes a threshold's ratio wide: only members of one class or of two neighbouring ones can be similar
     size = F.floor(F.ln("n") / float(np.log(100 / params.percent))).cast("int") if params.percent < 100 else F.col("n").cast("int")
-    blocks = F.ceil(F.col("members") / params.block).cast("int")
-    many = prefix.where(F.col("members") > params.crowd).withColumn("size", size).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a member meets its own class and the next one, every block of either
-    roles = many.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("s", "node", "c", "n", "place", "block", "other", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("step", step), ("side", side))]) for step, side in ((0, 0), (0, 1), (1, 0), (1, 1))])).alias("r"), "size")
-    meets = roles.select("s", "node", "c", "n", "place", F.col("r.step").alias("step"), F.col("r.side").alias("side"), (F.col("size") - F.col("r.step") * F.col("r.side")).alias("size"), F.when(F.col("r.side") == 0, F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("r.side") == 0, F.col("other")).otherwise(F.col("block")).alias("j"))
-    meets = meets.where((F.col("step") == 1) | (F.col("i") <= F.col("j")))
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = (rows[rows["side"] == side] for side in (0, 1))
-        found = _possible(x, y, params)
-        a, b = x["node"].to_numpy()[found[:, 0]], y["node"].to_numpy()[found[:, 1]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    heavy = meets.groupBy("s", "step", "size", "i", "j").applyInPandas(pair, "a long, b long")
-    return light.unionByName(heavy).distinct()
+    many = prefix.where(F.col("members") > params.crowd).withColumn("blocks", F.ceil(F.col("members") / params.block).cast("int"))
+    many = many.withColumns({"size": size, "own": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "other": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    each = many.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = each.withColumns({"i": F.col("own"), "j": F.col("other")}).where("step = 1 or i <= j")
+    second = each.withColumns({"i": F.col("other"), "j": F.col("own"), "size": F.col("size") - F.col("step")}).where("step = 1 or i <= j")
+    return meet(few, few, ["s"]).unionByName(meet(first, second, ["s", "step", "size", "i", "j"])).distinct()
 
 
 def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
