@@ -218,8 +218,13 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, params: DedupParams) -> Dat
     prefix = has.join(common, "s").withColumn("place", F.row_number().over(rare_first)).where((F.col("place") <= F.col("n") - least + 1) & (F.col("df") > 1))
     prefix = materialise(prefix.select("s", "node", "c", "n", "place"), "prefix")
     release(whole)
-    members = prefix.groupBy("s").agg(F.count("*").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("n").alias("most")).where("c0 < c1").select("s", "members", "most")
-    prefix = prefix.join(members, "s")
+    members = prefix.groupBy("s").agg(F.count("*").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("s", "members")
+    members = materialise(members, "members")
+    # shingles with a thousandth of all rows are at most a thousand: their rows need no shuffle
+    frequent = max(params.crowd, (members.agg(F.sum("members")).first()[0] or 0) // 1000)
+    hot = F.broadcast(members.where(F.col("members") > frequent))
+    usual = prefix.join(hot.select("s"), "s", "left_anti").join(members.where(F.col("members") <= frequent), "s")
+    prefix = prefix.join(hot, "s").unionByName(usual)
 
     def meet(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
         """Pairs of different components with equal keys that sizes and places do not rule out."""
