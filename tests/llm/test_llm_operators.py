@@ -274,11 +274,46 @@ def test_toxicity_finds_planted_words(spark):
     assert np.mean([got[k] == int(k % 5 == 0) for k in got]) >= 0.98
 
 
+def test_risk_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(4)
+    p, u, prior = rng.random((40, 6)) < 0.5, rng.random((60, 6)) < 0.3, 0.3
+    w, b = rng.normal(0, 1, 6), 0.2
+
+    def risks(w, b):
+        f = lambda x: sum(a * c for a, c in zip(x, w, strict=True)) + b
+        loss = lambda x, y: math.log(1 + math.exp(-y * f(x)))
+        mean = lambda rows, y: sum(loss(x, y) for x in rows) / len(rows)
+        return prior * mean(p, 1), mean(u, -1) - prior * mean(p, -1)
+
+    plus, clean, grad_plus, grad_clean = toxicity.nnpu_parts(p.astype(float), u.astype(float), w, b, prior)
+    assert (plus, clean) == pytest.approx(risks(w, b))
+    for k in range(7):
+        d = np.eye(7)[k] * 1e-5
+        up, down = risks(w + d[:6], b + d[6]), risks(w - d[:6], b - d[6])
+        assert ((up[0] - down[0]) / 2e-5, (up[1] - down[1]) / 2e-5) == pytest.approx((grad_plus[k], grad_clean[k]), abs=1e-6)
+
+
 def test_non_negative_risk_keeps_clean_risk_up():
+    """A plain fit drives the estimate of the clean risk below zero; this one turns back."""
     rng = np.random.default_rng(4)
-    p, u = rng.random((200, 30)) < 0.3, rng.random((400, 30)) < 0.2
-    w, b = toxicity.nnpu_fit(p.astype(np.int8), u.astype(np.int8), 0.4, toxicity.ToxicityParams(epochs=100))
-    assert np.isfinite(w).all() and np.isfinite(b)
+    hidden = rng.random((60, 400)) < 0.5  # more features than rows: anything can be told apart
+    p, u = hidden[:30], np.concatenate([hidden[:20], hidden[30:]])
+    w, b = toxicity.nnpu_fit(p.astype(np.int8), u.astype(np.int8), 0.5, toxicity.ToxicityParams(epochs=400, l2=0))
+    _, clean, _, _ = toxicity.nnpu_parts(p.astype(float), u.astype(float), w, b, 0.5)
+    assert clean > -0.1
+    free = np.zeros(401)
+    for _ in range(400):
+        _, _, one, two = toxicity.nnpu_parts(p.astype(float), u.astype(float), free[:-1], free[-1], 0.5)
+        free -= 0.5 * (one + two)
+    assert toxicity.nnpu_parts(p.astype(float), u.astype(float), free[:-1], free[-1], 0.5)[1] < clean
+
+
+def test_toxicity_of_nothing(odd, documents, labels):
+    none = documents.limit(0)
+    model = toxicity.fit(none, labels.limit(0))
+    assert model.weights == {} and toxicity.toxicity_scores(none, model).collect() == [] and toxicity.keep_clean(none, model).collect() == []
+    assert ids(toxicity.keep_clean(odd, model).collect()) == ids(odd.collect())
+    assert toxicity.fit(none, labels).weights == {}
 
 
 # language

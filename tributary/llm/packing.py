@@ -236,7 +236,8 @@ def pack(documents: DataFrame, params: PackingParams | None = None) -> DataFrame
 
     Null text is empty text: its piece holds the end id alone.  Texts longer than the capacity
     are cut so that only the first piece is shorter.  Rows are packed one by one: repeated rows
-    and null ids are documents of their own.  Extra columns are ignored; no row gives no row.
+    and null ids are documents of their own.  Very long texts give as many pieces as they need.  Equal
+    lengths go in the order of tasks and rows.  Extra columns are ignored; no row gives no row.
     """
     params = params or PackingParams()
     cut = materialise(pieces(documents, params), "pieces")

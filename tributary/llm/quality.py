@@ -137,7 +137,9 @@ def quality_scores(documents: DataFrame, labels: DataFrame, params: QualityParam
     """doc_id, held_out (crc32 of the id modulo 4 is 2), score, predicted (1 if score >= 0.7).
 
     One row per input row; null text is scored as empty text; a null doc_id stays null and
-    counts as crc32 of empty text.  Scores use the text alone.  Extra columns are ignored.
+    counts as crc32 of empty text.  Scores use the text alone, whole however long.  A repeated id is
+    learned from with each of its texts.  Extra columns are ignored; an empty table gives no row, and
+    without labels of both kinds the score is one constant.
     """
     measured = materialise(_measured(documents), "statistics")
     model = fit(measured, labels, params)

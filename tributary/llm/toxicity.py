@@ -84,6 +84,16 @@ def _document_frequencies(rows: DataFrame, params: ToxicityParams) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
+def nnpu_parts(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk on positives, risk on clean text as estimated from both samples, and their gradients by (w, b)."""
+    sp, su = 1 / (1 + np.exp(-(p @ w + b))), 1 / (1 + np.exp(-(u @ w + b)))
+    loss = lambda s: float(np.mean(-np.log(np.maximum(s, 1e-12))))
+    # derivatives of the logistic losses by the decision value
+    g_pos, g_up, g_u = (sp - 1) * prior / len(p), sp * prior / len(p), su / len(u)
+    clean = np.append(u.T @ g_u - p.T @ g_up, g_u.sum() - g_up.sum())
+    return prior * loss(sp), loss(1 - su) - prior * loss(1 - sp), np.append(p.T @ g_pos, g_pos.sum()), clean
+
+
 def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, params: ToxicityParams) -> tuple[np.ndarray, float]:
     """Linear logistic model by Adam on the non-negative risk; returns weights and bias."""
     rng = np.random.default_rng(params.seed)
@@ -94,12 +104,8 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, params:
     for _ in range(params.epochs):
         p = positive[rng.permutation(len(positive))[:2048]].astype(np.float32)
         u = unlabelled[rng.permutation(len(unlabelled))[:4096]].astype(np.float32)
-        sp, su = 1 / (1 + np.exp(-(p @ w + b))), 1 / (1 + np.exp(-(u @ w + b)))
-        clean_risk = np.mean(-np.log1p(-np.minimum(su, 1 - 1e-12))) - prior * np.mean(-np.log1p(-np.minimum(sp, 1 - 1e-12)))
-        # derivatives of the logistic losses by the decision value
-        g_pos, g_up, g_u = (sp - 1) * prior / len(p), sp * prior / len(p), su / len(u)
-        grad_clean = np.append(u.T @ g_u - p.T @ g_up, g_u.sum() - g_up.sum())
-        grad = np.append(p.T @ g_pos, g_pos.sum()) + grad_clean if clean_risk >= 0 else -grad_clean
+        _, clean_risk, grad_positive, grad_clean = nnpu_parts(p, u, w, b, prior)
+        grad = grad_positive + grad_clean if clean_risk >= 0 else -grad_clean
         grad[:-1] += params.l2 * w
         step += 1
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -114,8 +120,10 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
     Positives are labelled 1; unlabelled texts are drawn from all training documents whatever
     their labels.  Both samples are the rows of least id hash, bounded by the parameters, so their
-    ids may be broadcast.  The class prior is the share of 1 among all training labels.  Without a
-    positive row the model scores 0 everywhere.
+    ids may be broadcast.  The class prior is the share of 1 among all training labels, which is all
+    that the labels 0 are used for.  Without a positive row, or with no feature above
+    ``min_evidence``, the model scores 0 everywhere.  Repeated ids count once in the draw and with each of
+    their texts in the fit; null ids take no part; ties in evidence go to the lesser bucket.
     """
     train = lambda df: df.where(F.col("doc_id").isNotNull() & (id_remainder("doc_id", 5) != 0))
     known = train(labels.select("doc_id", "toxic").where("toxic is not null"))
@@ -123,7 +131,14 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
     if not share:
         return ToxicityModel({}, 0.0, params)
     prior = min(share, 0.95)
-    first = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    def first(df: DataFrame, most: int) -> DataFrame:
+        """The ids of least hash; a threshold that a few more than ``most`` pass goes before the sort."""
+        ids, n = df.select("doc_id").distinct(), df.count()
+        if n > 4 * most:
+            ids = ids.where(F.xxhash64("doc_id") < F.lit(int(-(1 << 63) + (2 * most / n) * (1 << 64))))
+        return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
     chosen = first(known.where("toxic = 1"), params.max_positive).withColumn("is_positive", F.lit(1)).unionByName(first(train(documents), params.max_unlabelled).withColumn("is_positive", F.lit(0)))
     chosen = chosen.groupBy("doc_id").agg(F.collect_set("is_positive").alias("kinds"))
     rows = small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.explode("kinds").alias("is_positive"))
@@ -142,13 +157,14 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
         memo = Memo(lambda w: tuple(index[b] for b in feature_buckets(w, params) if b in index))
         for batch in batches:
             found = [sorted({i for w in set(words_of(t)) for i in memo[w]}) for t in _texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["is_positive", "found"])
-
-    table = rows.mapInArrow(vectors, "is_positive int, found array<int>").toArrow()
-    kind, found = table["is_positive"].to_numpy(), table["found"].combine_chunks()
-    dense = np.zeros((len(kind), len(buckets)), np.int8)
-    offsets = found.offsets.to_numpy()
-    dense[np.repeat(np.arange(len(kind)), np.diff(offsets)), found.values.to_numpy()[offsets[0] : offsets[-1]]] = 1
+            bits = np.zeros((len(found), len(buckets)), bool)
+            bits[np.repeat(np.arange(len(found)), [len(x) for x in found]), [i for x in found for i in x]] = True
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())], ["is_positive", "found"])
+
+    table = rows.mapInArrow(vectors, "is_positive int, found binary").toArrow()  # a bit a feature of each sampled row
+    kind = table["is_positive"].to_numpy()
+    packed = np.frombuffer(b"".join(table["found"].to_pylist()), np.uint8).reshape(len(kind), -1)
+    dense = np.unpackbits(packed, axis=1, count=len(buckets)).astype(np.int8)
     order = np.lexsort((*[dense[:, i] for i in range(min(8, dense.shape[1]))], dense.sum(1, dtype=np.int32), kind))  # the same fit whatever the partitioning
     kind, dense = kind[order], dense[order]
     if not (kind == 1).any() or not (kind == 0).any():
@@ -180,7 +196,8 @@ def toxicity_scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out (crc32 of the id modulo 5 is 0), score, predicted (1 if score >= 0.5).
 
     One row per input row.  Null or empty text has no features and gets the base score; a null
-    doc_id stays null and counts as crc32 of empty text.  Extra columns are ignored.
+    doc_id stays null and counts as crc32 of empty text.  Whole texts are read, however long.  Extra
+    columns are ignored; an empty table gives no row.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +210,10 @@ def toxicity_scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Rows of ``documents`` (all columns) that the model does not call toxic; one pass, no shuffle."""
+    """Rows of ``documents`` (all columns) that the model does not call toxic; one pass, no shuffle.
+
+    Null and empty texts have the base score, below 0.5 unless most labels are 1.  An empty table stays empty.
+    """
     mark = free_name(documents, "toxicity_score")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
