@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x``, which is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def matrix(values) -> Column:
     """A small matrix as one constant."""
     return F.from_json(F.lit(json.dumps([[float(v) for v in row] for row in values])), "array<array<double>>")
@@ -23,7 +29,8 @@ def matrix(values) -> Column:
 
 def times(x: Column, values) -> Column:
     """The row vector ``x`` times a matrix, column by column."""
-    return F.transform(matrix(list(zip(*values, strict=True))), lambda column: dot(x, column))
+    columns = matrix(list(zip(*values, strict=True)))
+    return let(x, lambda y: F.transform(columns, lambda column: dot(y, column)))
 
 
 def add(x: Column, y: Column) -> Column:
@@ -40,9 +47,12 @@ def relu(x: Column) -> Column:
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit variance within the vector."""
-    mean = total(x) / F.size(x)
-    variance = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(variance + eps))
+
+    def scaled(apart: Column) -> Column:
+        spread = F.sqrt(total(F.transform(apart, lambda v: v * v)) / F.size(apart) + eps)
+        return let(spread, lambda s: F.transform(apart, lambda v: v / s))
+
+    return let(x, lambda y: let(total(y) / F.size(y), lambda mean: let(F.transform(y, lambda v: v - mean), scaled)))
 
 
 def zeros(width: int) -> Column:

@@ -73,7 +73,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def weights(k: int) -> np.ndarray:
     """The k-th matrix of a fixed rule, which ``mat`` follows in SQL."""
     i, j = np.ogrid[1 : WIDTH + 1, 1 : WIDTH + 1]
-    return ((i * 37 + j * 101 + k * 13) % 41 - 20) / 160
+    return ((i * 37 + j * 101 + k * 13) % 41 - 20) / 159
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,7 @@ BASE = {
     "knxt": """SELECT * FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY time_ms, row_key) AS seq, video_idx AS src, lead(video_idx) OVER (PARTITION BY session_id ORDER BY time_ms, row_key) AS dst, tab FROM (
         SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY time_ms DESC, row_key DESC) AS back FROM known) WHERE back <= 50) WHERE dst IS NOT NULL""",
     "comp": f"SELECT vec_id AS idx, unnest(range(1, {WIDTH + 1})) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings",
-    "mat": f"SELECT k, i, j, ((i * 37 + j * 101 + k * 13) % 41 - 20) / 160 AS w FROM (SELECT unnest(range(0, 6)) AS k), (SELECT unnest(range(1, {WIDTH + 1})) AS i), (SELECT unnest(range(1, {WIDTH + 1})) AS j)",
+    "mat": f"SELECT k, i, j, ((i * 37 + j * 101 + k * 13) % 41 - 20) / 159 AS w FROM (SELECT unnest(range(0, 6)) AS k), (SELECT unnest(range(1, {WIDTH + 1})) AS i), (SELECT unnest(range(1, {WIDTH + 1})) AS j)",
     "pred": """SELECT o_custkey AS user_idx, CAST(l_returnflag = 'R' AS INTEGER) AS label, round((l_discount * 10 + l_tax * 5) / 2, 4) AS score, (l_quantity - 25) / 5 AS logit,
         CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE l_quantity / 3 END AS ips FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "hist": """SELECT run, epoch, epoch % 11 <> 10 AS tested, auc, CASE WHEN NOT (epoch = 3 AND run LIKE '%kg64%') THEN ap END AS ap, logloss, ndcg10 FROM (

@@ -126,7 +126,7 @@ def run_deltas(s, sf):
 
 
 FEATURES = ["play_ratio", "tab", "same_author", "same_category"]
-WEIGHTS, INTERCEPT = [1.25, -0.125, 0.5, -0.0625], -0.75
+WEIGHTS, INTERCEPT = [1.283719371, -0.131173919, 0.471919713, -0.071393717], -0.713919717
 
 
 def model_rows(s, sf):
