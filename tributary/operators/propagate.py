@@ -73,6 +73,15 @@ def propagate_sum(nodes: DataFrame, edges: DataFrame, width: int, steps: int = 1
     return nodes.select("idx", "emb")
 
 
+def _ends(edges: DataFrame, vectors: DataFrame, end: str, weights: Weights | None, name: str) -> DataFrame:
+    """Edges with the vector of one end, times its relation's matrix: a node is turned once a relation, not once an edge."""
+    weights = weights or {}
+    turned = F.array(F.struct(F.lit("").alias("__rel"), F.col("emb").alias(name)), *[F.struct(F.lit(r).alias("__rel"), times(F.col("emb"), w).alias(name)) for r, w in weights.items()])
+    table = vectors.select(F.col("idx").alias(end), F.explode(turned).alias("x")).select(end, "x.*")
+    key = F.when(F.col("rel").isin(list(weights)), F.col("rel")).otherwise("") if weights else F.lit("")
+    return edges.withColumn("__rel", key).join(table, [end, "__rel"]).drop("__rel")
+
+
 def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scope: str, scaled: bool, at: Weights | None = None, far: Weights | None = None, value: Weights | None = None) -> DataFrame:
     """(idx, message): softmax of dot products over the edges that meet in ``to``, weighing the other end.
 
@@ -81,9 +90,11 @@ def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scop
     """
     other = "src" if to == "dst" else "dst"
     vectors = nodes.select("idx", "emb")
-    both = edges.join(vectors.select(F.col("idx").alias("src"), F.col("emb").alias("emb_src")), "src").join(vectors.select(F.col("idx").alias("dst"), F.col("emb").alias("emb_dst")), "dst")
-    score = dot(by_relation(F.col(f"emb_{to}"), at), by_relation(F.col(f"emb_{other}"), far)) / F.lit(float(np.sqrt(width)) if scaled else 1.0)
-    scored = both.select(to, "rel", score.alias("score"), F.col(f"emb_{other}").alias("emb"))
+    both = _ends(_ends(edges.select("rel", "src", "dst"), vectors, to, at, "q"), vectors, other, far, "k")
+    if far:
+        both = both.join(vectors.select(F.col("idx").alias(other), "emb"), other)
+    score = dot(F.col("q"), F.col("k")) / F.lit(float(np.sqrt(width)) if scaled else 1.0)
+    scored = both.select(to, "rel", score.alias("score"), F.col("emb" if far else "k").alias("emb"))
     keys = [to, "rel"] if max_scope == "type" else [to]
     top = scored.groupBy(*keys).agg(F.max("score").alias("top"))
     weighed = scored.join(top, keys).withColumn("w", F.exp(F.col("score") - F.col("top")))
