@@ -123,6 +123,9 @@ def test_stage_rejects_wrong_declarations(spark):
     wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 20 == 0, planted).otherwise(F.col("lang")))
     left = {r.doc_id for r in language.keep_identified(wrong).collect()}
     assert left == {k for k in range(300) if k % 20}
+    # a text that mixes its language with another one stays, whichever prevails
+    mixed = spark.createDataFrame([(1000, f"{WORDS['aa']} {WORDS['bb']} quick brown", "aa", "s"), (1001, f"{WORDS['bb']} {WORDS['cc']}", "bb", "s")], docs.schema)
+    assert {1000, 1001} <= {r.doc_id for r in language.keep_identified(docs.unionByName(mixed)).collect()}
 
 
 def test_stages_of_nothing(spark):

@@ -29,6 +29,8 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageParams:
     """``max_trigrams``: a text's likelihood counts as that of at most so many average trigrams.
+    ``contradiction``: a text is in another language than declared if its trigrams are on average e to that
+    power likelier there; texts that mix the two stay below.
 
     ``dense_entries``, ``broadcast_hosts`` and ``hot_rows`` choose how things are held and joined; no result
     depends on them.
@@ -41,6 +43,7 @@ class LanguageParams:
     confusion_weight: float = 2.0
     unknown_prior: float = 0.01
     accept: float = 0.5
+    contradiction: float = 2.0
     dense_entries: int = 1 << 26
     broadcast_hosts: int = 100_000
     hot_rows: int = 10_000
@@ -198,7 +201,8 @@ def with_sums(rows: DataFrame, sums: DataFrame, what: str, params: LanguageParam
 
 
 def identify(rows: DataFrame, model: TextModel, counted: bool = False) -> DataFrame:
-    """Add ``language``, ``probability`` and ``letters`` (whether the text has a likelihood) to rows of
+    """Add ``language``, ``probability``, ``letters`` (whether the text has a likelihood) and ``apart`` (how much
+    likelier its average trigram is there than in the declared language, as a logarithm) to rows of
     (key, text, declared, suffix, host, domain); drops text.
 
     declared, suffix, host and domain may be null: that evidence is then left out.  A text
@@ -215,11 +219,12 @@ def identify(rows: DataFrame, model: TextModel, counted: bool = False) -> DataFr
             like, sizes = text_log_likelihood(batch.column(at).cast(pa.binary()).to_pylist(), model, batch.column("declared").to_pylist() if counted else None)
             post = _softmax(like + np.log(prior)) * (sizes > 0)[:, None]
             lists = [pa.ListArray.from_arrays(np.arange(0, (batch.num_rows + 1) * n, n, dtype=np.int32), pa.array(x.ravel())) for x in (like, post)]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *lists], [*(f for f in batch.schema.names if f != "text"), "like", "post"])
+            weight = pa.array(np.minimum(sizes, params.max_trigrams).astype(float))
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), weight, *lists], [*(f for f in batch.schema.names if f != "text"), "weight", "like", "post"])
 
     kept = [c for c in ("key", "declared", "suffix", "host", "domain")]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    seen = materialise(rows.select("key", "declared", "suffix", "host", "domain", "text").mapInArrow(read, f"{schema}, like array<double>, post array<double>"), "evidence")
+    seen = materialise(rows.select("key", "declared", "suffix", "host", "domain", "text").mapInArrow(read, f"{schema}, weight double, like array<double>, post array<double>"), "evidence")
     sums = F.array(*[F.sum(F.element_at("post", i + 1)) for i in range(n)])
 
     known = list(languages[:-1])
@@ -260,11 +265,14 @@ def identify(rows: DataFrame, model: TextModel, counted: bool = False) -> DataFr
             final = _softmax(score)
             best = final.argmax(1)
             best[~some] = n - 1
+            rows = np.arange(len(best))
+            said = np.array([index.get(x, -1) if x else -1 for x in c["declared"].to_pylist()], np.int64)
+            apart = np.where(said >= 0, like[rows, best] - like[rows, said], 0) / np.maximum(c["weight"].to_numpy(), 1)
             names = [languages[i] for i in best]
-            yield pa.RecordBatch.from_arrays([c["key"], pa.array(names, pa.string()), pa.array(final[np.arange(len(best)), best]), c["declared"], c["suffix"], c["host"], pa.array(letters)], ["key", "language", "probability", "declared", "suffix", "host", "letters"])
+            yield pa.RecordBatch.from_arrays([c["key"], pa.array(names, pa.string()), pa.array(final[rows, best]), c["declared"], c["suffix"], c["host"], pa.array(letters), pa.array(apart)], ["key", "language", "probability", "declared", "suffix", "host", "letters", "apart"])
 
     key = rows.schema["key"].dataType.simpleString()
-    return joined.mapInArrow(fuse, f"key {key}, language string, probability double, declared string, suffix string, host string, letters boolean")
+    return joined.mapInArrow(fuse, f"key {key}, language string, probability double, declared string, suffix string, host string, letters boolean, apart double")
 
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
@@ -310,7 +318,7 @@ def identify_pages(pages: DataFrame, documents: DataFrame, params: LanguageParam
 
 
 def keep_identified(documents: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """Rows of ``documents`` (all columns) whose language is found by ``identify`` and is not another than declared.
+    """Rows of ``documents`` (all columns) whose language is found by ``identify`` and is not clearly another than declared.
 
     The declared ``lang`` is the markup evidence and ``source`` the host; there is no address and no
     domain.  The text model has counted the same texts, so a text's own share is left out where it weighs.
@@ -328,7 +336,7 @@ def keep_identified(documents: DataFrame, params: LanguageParams = LanguageParam
     found = identify(rows, model, counted=True)
     fails = ~F.col("letters")
     if len(model.languages) > 1:
-        other = F.coalesce(F.col("declared") != F.col("language"), F.lit(False))
+        other = F.coalesce((F.col("declared") != F.col("language")) & (F.col("apart") >= params.contradiction), F.lit(False))
         fails |= (F.col("language") == UNKNOWN) | (F.col("probability") < params.accept) | other
     rejected = materialise(found.where(fails).select(F.col("key").alias(mark)).distinct(), "rejected")
     return documents.withColumn(mark, key).join(rejected, mark, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
