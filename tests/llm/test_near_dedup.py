@@ -54,7 +54,7 @@ def test_blocks_find_what_the_join_finds(spark):
 def test_hot_classes_and_rows_without_class(spark):
     rows = [(k, "the same text as all of these have") for k in range(200)] + [(k, None) for k in range(200, 300)] + [(400, "the same text as all of these have got"), (None, "the same text as all of these have")]
     for hot in (10, 10_000):
-        got = found_by(spark, rows, near_dedup.DedupParams(hot_rows=hot, percent=80)).collect()
+        got = found_by(spark, rows, near_dedup.DedupParams(hot_rows=hot, hub=hot, percent=80)).collect()
         assert len(got) == len(rows)
         assert {r.component_id for r in got if r.doc_id is not None and (r.doc_id < 200 or r.doc_id == 400)} == {0}
         assert all(r.kept and r.component_id == r.doc_id for r in got if r.doc_id is not None and 200 <= r.doc_id < 300)

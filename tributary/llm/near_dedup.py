@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo, materialise, release, small_batches, words_of
+from tributary.llm.common import Memo, join_apart, materialise, release, small_batches, words_of
 from tributary.llm.components import connected_components
 
 
@@ -40,8 +40,9 @@ class DedupParams:
 
     ``bands`` bands of ``rows`` rows; a pair at the threshold stays unseen with probability
     (1 - (percent/100)^rows)^bands: 3e-6 for 85 % and 8 rows, 5e-6 for 80 % and 6 rows.  ``crowd``,
-    ``block`` and ``hot_rows`` place work only: shingles with more members go in blocks, classes with
-    more rows are named without a shuffle of those rows.
+    ``block``, ``hub`` and ``hot_rows`` place work only: shingles with more members go in blocks; classes
+    with more links or in larger components, and classes with more rows, are told apart from the others,
+    without a shuffle of what belongs to them.
     """
 
     words: int = 3
@@ -50,6 +51,7 @@ class DedupParams:
     rows: int = 8
     crowd: int = 256
     block: int = 512
+    hub: int = 1000
     hot_rows: int = 10_000
 
 
@@ -265,7 +267,7 @@ def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -
     texts = materialise(moved_texts(documents, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "t")), "texts")
     links = materialise(confirmed(stars, texts, params), "links")
     release(stars)
-    found = connected_components(links)
+    found = connected_components(links, params.hub)
 
     # what the stars left uncompared: members of different components in one bucket
     placed = shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
@@ -282,7 +284,7 @@ def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -
     more = materialise(more, "links")
     release(shared, texts, crowded, pairs)
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        found = connected_components(links.unionByName(more), params.hub)
     release(links, more)
     return _told(signed, nodes, found, params)
 
@@ -295,22 +297,20 @@ def _repeats(real: DataFrame) -> bool:
 def _told(signed: DataFrame, nodes: DataFrame, found: DataFrame, params: DedupParams) -> DataFrame:
     """Every row with the least doc_id of its class's component.
 
-    Rows without a class need no answer.  Classes with many rows are few (their number is bounded by
-    the rows over ``hot_rows``, and that grows with the table): they are broadcast, and no task gets all
-    rows of one class.
+    Rows without a class need no answer.  Components with many classes and classes with many rows are
+    few, 10,000 at most each, as what counts as many grows with the table.
     """
     whole = nodes.select("class", "n", "doc_id", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(whole.join(least, "component").select("class", "n", "component_id"), "named")
-    hot_rows = max(params.hot_rows, (named.agg(F.sum("n")).first()[0] or 0) // params.hot_rows)
-    hot = F.broadcast(named.where(F.col("n") > hot_rows).select("class", "component_id"))  # at most hot_rows rows
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"))
+    named = join_apart(whole.select("class", "n", "component"), least, "component", "classes", max(params.hub, nodes.count() // 10_000))
+    named = materialise(named.select("class", "n", "component_id"), "named")
+    hot_rows = max(params.hot_rows, (named.agg(F.sum("n")).first()[0] or 0) // 10_000)
     own = signed.select("doc_id", "n_shingles", "class")
     real = own.where("class is not null and doc_id is not null")
     alone = own.where("class is null or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    many = real.join(hot, "class")
-    rest = real.join(hot.select("class"), "class", "left_anti").join(named.where(F.col("n") <= hot_rows).select("class", "component_id"), "class")
+    told = join_apart(real, named, "class", "n", hot_rows)
     columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")]
-    return alone.select(*columns).unionByName(many.select(*columns)).unionByName(rest.select(*columns))
+    return alone.select(*columns).unionByName(told.select(*columns))
 
 
 def keep_one(documents: DataFrame, params: DedupParams = FIVE_WORDS) -> DataFrame:
