@@ -87,17 +87,6 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_apart(rows: DataFrame, answers: DataFrame, key: str, size: str, many: int) -> DataFrame:
-    """``rows`` joined with ``answers``, one row a key, whose column ``size`` says how many rows each key has.
-
-    Keys with more than ``many`` rows are broadcast, so that no task gets all rows of one: ``many`` must
-    grow with the table, so that they stay few.
-    """
-    hot = F.broadcast(answers.where(F.col(size) > many).drop(size))
-    rest = rows.join(hot.select(key), key, "left_anti").join(answers.where(F.col(size) <= many).drop(size), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
 def id_remainder(column: Column | str, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``modulus`` (null id: as empty text)."""
     text = F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))
