@@ -560,8 +560,8 @@ def test_sketches_of_equal_sets_are_equal_and_dense():
         assert len(near_dedup.band_keys(s, params)) == params.bands
 
 
-def test_components_of_paths_and_loops(spark):
-    links = [(k, k + 1) for k in range(50)] + [(60, 60), (70, 71), (72, 71), (71, 70)]
+def test_components_of_paths_loops_and_hubs(spark):
+    links = [(k, k + 1) for k in range(50)] + [(60, 60), (70, 71), (72, 71), (71, 70)] + [(90, k) for k in range(80, 100)] + [(99, 120)]
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {k: 0 for k in range(51)} | {70: 70, 71: 70, 72: 70}
+    assert found == {k: 0 for k in range(51)} | {70: 70, 71: 70, 72: 70} | {k: 80 for k in (*range(80, 100), 120)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
