@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, language, licenses, metric_search, multi_index, near_dedup, packing, pitman_yor, quality, sql, toxicity
+from tributary.llm import bpe, filter_audit, language, licenses, merkle, metric_search, multi_index, near_dedup, packing, pii, pitman_yor, quality, sql, toxicity
 from tributary.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_fifth())
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pitman_yor": op2_pitman_yor,
@@ -62,7 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_personal_data": op13_personal_data,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op5_exact_search": sql.EXACT_SEARCH}
+ORACLE_SQL: dict[str, str] = {"op5_exact_search": sql.EXACT_SEARCH, "op11_merkle_manifest": sql.merkle_manifest(), "op12_filter_audit": sql.filter_audit()}
