@@ -253,9 +253,10 @@ def manifest(documents: DataFrame, tampered: Column | None = None) -> DataFrame:
     Extra columns are ignored; an empty table gives no row.
     """
     spark, nothing = documents.sparkSession, {"other": F.lit(None).cast("binary"), "id": F.lit(None).cast("long")}
-    dealt, ranked = _ranked(leaves(documents, F.lit(False) if tampered is None else tampered), ["id", "digest", "other"])
+    hashed = materialise(leaves(documents, F.lit(False) if tampered is None else tampered), "hashed")  # texts are read once, not again for ranges
+    dealt, ranked = _ranked(hashed, ["id", "digest", "other"])
     stages = _grown(ranked)
-    release(dealt)
+    release(hashed, dealt)
     _, top = _ranked(_roots(stages).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest").withColumns(nothing), ["name"])
     top_stages = _grown(top.drop("name"))
     root = next((bytes(r["digest"]) for r in _roots(top_stages).collect()), b"")  # one row, none of an empty table
