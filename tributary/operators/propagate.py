@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.arrays import add, dot, layer_norm, matrix, relu, scale, times, total, zeros
 from tributary.operators.prefix import written
+from tributary.operators.scan import Running, running
 
 
 def _reduced(how, vector: str, width: int, weight: Column | None = None) -> Column:
@@ -220,14 +221,14 @@ def path_counts(log: DataFrame, authors: DataFrame, tags: DataFrame, time: str =
     """(row_key, same_author, same_category): the user's earlier clicks that share the row's author, or a category.
 
     ``authors`` (video_id, author_id), ``tags`` (video_id, tag).  A click counts once for each shared
-    category.  Earlier means before in (time, key).
+    category.  Earlier means before in (time, key).  Clicks are counted by one scan in the order of user, author
+    (category) and time, so neither a user nor one of its authors is one task.
     """
     clicked = F.coalesce(F.col("is_click").cast("long"), F.lit(0))
 
     def earlier(rows: DataFrame, by: str, name: str) -> DataFrame:
-        w = Window.partitionBy("user_id", by).orderBy(time, key).rowsBetween(Window.unboundedPreceding, -1)
-        seen = rows.withColumn("__seen", F.coalesce(F.sum("__clicked").over(w), F.lit(0)))
-        return seen.groupBy(key).agg(F.sum("__seen").alias(name))
+        seen = running(rows, Running(("user_id", by), (time, key), sums={"__clicked": "__seen"}))
+        return seen.groupBy(key).agg(F.sum(F.col("__seen") - F.col("__clicked")).alias(name))
 
     base = log.select(key, "user_id", "video_id", time, clicked.alias("__clicked"))
     a = earlier(base.join(authors.where("author_id is not null"), "video_id"), "author_id", "same_author")

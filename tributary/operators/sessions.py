@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.prefix import ordered_prefix
+from tributary.operators.scan import Running, running
 
 GAP_MS = 1_800_000
 
@@ -13,16 +14,10 @@ GAP_MS = 1_800_000
 def sessionize(log: DataFrame, gap_ms: int = GAP_MS, time: str = "time_ms", key: str = "row_key") -> DataFrame:
     """Add session_id, 1-based in (user, time) order; a session ends with a gap strictly longer than ``gap_ms``.
 
-    Sessions are numbered within each user and moved up by the sessions of the users before, a
-    prefix over one row a user; ties in time follow the key.
+    Ties in time follow the key.  One scan in order counts the starts of sessions: a user with many rows is
+    spread over partitions.
     """
-    by_user = Window.partitionBy("user_id").orderBy(time, key)
-    before = F.lag(time).over(by_user)
-    new = F.when(before.isNull() | (F.col(time) - before > gap_ms), 1).otherwise(0)
-    numbered = log.withColumn("__new", new).withColumn("__own", F.sum("__new").over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-    users = numbered.groupBy("user_id").agg(F.max("__own").alias("__n"))
-    offsets = ordered_prefix(users, [F.col("user_id").asc_nulls_first()], sums={"__n": "__upto"}).select(F.col("user_id").alias("__user"), (F.col("__upto") - F.col("__n")).alias("__before"))
-    return numbered.join(offsets, F.col("user_id").eqNullSafe(F.col("__user"))).withColumn("session_id", (F.col("__own") + F.col("__before")).cast("long")).drop("__new", "__own", "__user", "__before")
+    return running(log, Running(("user_id",), (time, key), gaps=(time, gap_ms, "session_id")))
 
 
 def session_tail(sessions: DataFrame, most: int = 50, time: str = "time_ms", key: str = "row_key") -> DataFrame:
@@ -45,9 +40,11 @@ def last_items(pairs: DataFrame) -> DataFrame:
 
 
 def histories(log: DataFrame, most: int = 50, item: str = "video_id", time: str = "time_ms", key: str = "row_key") -> DataFrame:
-    """Add hist: the user's up to ``most`` items before the row; rows without any are dropped."""
-    w = Window.partitionBy("user_id").orderBy(time, key).rowsBetween(-most, -1)
-    return log.withColumn("hist", F.collect_list(item).over(w)).where(F.size("hist") > 0)
+    """Add hist: the user's up to ``most`` items before the row; rows without any are dropped.
+
+    The items of a user that lie before a partition's first rows are handed on, at most ``most`` a partition.
+    """
+    return running(log, Running(("user_id",), (time, key), back={item: ("hist", most)})).where(F.size("hist") > 0)
 
 
 def temporal_split(log: DataFrame, test_ratio: float = 0.2, time: str = "time_ms", key: str = "row_key") -> DataFrame:
