@@ -27,12 +27,6 @@ def matrix(values) -> Column:
     return F.from_json(F.lit(json.dumps([[float(v) for v in row] for row in values])), "array<array<double>>")
 
 
-def times(x: Column, values) -> Column:
-    """The row vector ``x`` times a matrix, column by column."""
-    columns = matrix(list(zip(*values, strict=True)))
-    return let(x, lambda y: F.transform(columns, lambda column: dot(y, column)))
-
-
 def add(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: a + b)
 

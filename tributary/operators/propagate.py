@@ -2,6 +2,7 @@
 
 Vectors are arrays of a known ``width``; reductions are one built-in aggregate a dimension, so
 they combine before the shuffle.  Layers are written to the shared folder: lineage stays short.
+Matrix products and softmax states are computed a batch of vectors at a time (``blocks``).
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.arrays import add, dot, layer_norm, matrix, relu, scale, times, total, zeros
+from tributary.functions.arrays import add, dot, layer_norm, matrix, relu, scale, total, zeros
+from tributary.operators.blocks import Weights, softmax_states, softmax_sums, turn
 from tributary.operators.prefix import written
 from tributary.operators.scan import Running, running
 
 
+#: Edges of one node beyond which a join deals them over several tasks.
+HUB_ROWS = 200_000
+
+
 def _reduced(how, vector: str, width: int, weight: Column | None = None) -> Column:
     part = lambda i: F.element_at(vector, i + 1)
     return F.array(*[how(part(i) if weight is None else part(i) * weight) for i in range(width)])
 
 
-Weights = dict[str, np.ndarray]
-
-
 def directed(edges: DataFrame, direction: str) -> DataFrame:
     """``in``: messages go from src to dst; ``out``: from dst to src."""
     if direction == "in":
@@ -30,14 +33,6 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(*[c for c in edges.columns if c not in ("src", "dst")], F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def by_relation(vector: Column, weights: Weights | None, rel: str = "rel") -> Column:
-    """The vector times its relation's matrix; without one it stays."""
-    out = vector
-    for name, values in (weights or {}).items():
-        out = F.when(F.col(rel) == name, times(vector, values)).otherwise(out)
-    return out
-
-
 def propagate_mean(nodes: DataFrame, edges: DataFrame, width: int, layers: int = 2, normalise: bool = True, weights: Weights | None = None, own: np.ndarray | None = None, direction: str = "in") -> DataFrame:
     """(idx, emb): own vector plus, for each relation, the mean of the sources' vectors; then norm and ReLU.
 
@@ -48,10 +43,9 @@ def propagate_mean(nodes: DataFrame, edges: DataFrame, width: int, layers: int =
     for layer in range(layers):
         gathered = edges.join(nodes.withColumnRenamed("idx", "src"), "src")
         sums = gathered.groupBy("dst", "rel").agg(_reduced(F.sum, "emb", width).alias("sum"), F.count("*").alias("n"))
-        means = sums.select("dst", by_relation(F.transform("sum", lambda v: v / F.col("n")), weights).alias("mean"))
+        means = turn(sums.select("dst", "rel", F.transform("sum", lambda v: v / F.col("n")).alias("mean")), "mean", weights)
         message = means.groupBy("dst").agg(_reduced(F.sum, "mean", width).alias("message"))
-        kept = F.col("emb") if own is None else times(F.col("emb"), own)
-        updated = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left").withColumn("emb", add(kept, F.coalesce("message", zeros(width)))).drop("message")
+        updated = turn(nodes, "emb", own).join(message.withColumnRenamed("dst", "idx"), "idx", "left").withColumn("emb", add(F.col("emb"), F.coalesce("message", zeros(width)))).drop("message")
         if normalise:
             updated = updated.withColumn("emb", relu(layer_norm(F.col("emb"))))
         nodes = written(updated, "layer") if layer < layers - 1 else updated
@@ -66,62 +60,73 @@ def propagate_sum(nodes: DataFrame, edges: DataFrame, width: int, steps: int = 1
     edges = directed(edges, direction)
     for step in range(steps):
         message = edges.join(nodes.withColumnRenamed("idx", "src"), "src").groupBy("dst").agg(_reduced(F.sum, "emb", width).alias("message"))
+        message = turn(message, "message", weights)
         joined = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left")
-        told = F.coalesce("message", zeros(width))
-        with_message = add(F.col("emb"), told if weights is None else times(told, weights))
+        with_message = add(F.col("emb"), F.coalesce("message", zeros(width)))
         updated = joined.select("idx", F.zip_with("emb", F.transform(with_message, F.tanh), lambda h, m: h * (1 - gate) + m * gate).alias("emb"))
         nodes = written(updated, "step") if step < steps - 1 else updated
     return nodes.select("idx", "emb")
 
 
-def _ends(edges: DataFrame, vectors: DataFrame, end: str, weights: Weights | None, name: str) -> DataFrame:
-    """Edges with the vector of one end, times its relation's matrix: a node is turned once a relation, not once an edge."""
-    weights = weights or {}
-    turned = F.array(F.struct(F.lit("").alias("__rel"), F.col("emb").alias(name)), *[F.struct(F.lit(r).alias("__rel"), times(F.col("emb"), w).alias(name)) for r, w in weights.items()])
-    table = vectors.select(F.col("idx").alias(end), F.explode(turned).alias("x")).select(end, "x.*")
-    key = F.when(F.col("rel").isin(list(weights)), F.col("rel")).otherwise("") if weights else F.lit("")
-    return edges.withColumn("__rel", key).join(table, [end, "__rel"]).drop("__rel")
+def _hubs(edges: DataFrame, hub_rows: int) -> dict[str, dict[int, int]]:
+    """By end, the nodes with more than ``hub_rows`` edges and the number of parts to deal their edges into.
+
+    At most 10,000 nodes: of larger tables only those with more than a 5,000th of the edges.
+    """
+    ends = edges.select(F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("idx")) for e in ("src", "dst")])).alias("x")).select("x.*")
+    limit = max(hub_rows, edges.count() // 5_000)
+    found = ends.groupBy("end", "idx").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()  # bounded as said above
+    return {e: {r["idx"]: -(-r["n"] // limit) for r in found if r["end"] == e} for e in ("src", "dst")}
+
+
+def _with_end(edges: DataFrame, vectors: DataFrame, end: str, name: str, hubs: dict[int, int]) -> DataFrame:
+    """Edges with the vector of one end; a hub's edges are dealt over its parts, which each hold its vector."""
+    table = vectors.select(F.col("idx").alias(end), F.col("emb").alias(name))
+    if not hubs:
+        return edges.join(table, end)
+    parts = edges.sparkSession.createDataFrame(list(hubs.items()), f"{end} long, __parts int")
+    other = "src" if end == "dst" else "dst"
+    dealt = edges.join(F.broadcast(parts), end, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other, "rel"), F.col("__parts")).cast("int"))).drop("__parts")
+    copies = table.join(F.broadcast(parts), end, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [end, "__part"]).drop("__part")
 
 
-def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scope: str, scaled: bool, at: Weights | None = None, far: Weights | None = None, value: Weights | None = None) -> DataFrame:
+def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scope: str, scaled: bool, at: Weights | None = None, far: Weights | None = None, value: Weights | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(idx, message): softmax of dot products over the edges that meet in ``to``, weighing the other end.
 
     By relation, ``at`` and ``far`` turn the vectors of the two ends before the dot product, ``value`` what is summed.
-    A node's edges combine by relation within each task before they meet.
+    Where both vectors of an edge have met, its task merges it into a state by node and relation (maximum, rescaled
+    sum, rescaled vector); only states move on, and states of a node merge in any order.
     """
     other = "src" if to == "dst" else "dst"
-    vectors = nodes.select("idx", "emb")
-    both = _ends(_ends(edges.select("rel", "src", "dst"), vectors, to, at, "q"), vectors, other, far, "k")
-    if far:
-        both = both.join(vectors.select(F.col("idx").alias(other), "emb"), other)
-    score = dot(F.col("q"), F.col("k")) / F.lit(float(np.sqrt(width)) if scaled else 1.0)
-    scored = both.select(to, "rel", score.alias("score"), F.col("emb" if far else "k").alias("emb"))
-    keys = [to, "rel"] if max_scope == "type" else [to]
-    top = scored.groupBy(*keys).agg(F.max("score").alias("top"))
-    weighed = scored.join(top, keys).withColumn("w", F.exp(F.col("score") - F.col("top")))
-    sums = weighed.groupBy(F.col(to).alias("idx"), "rel").agg(_reduced(F.sum, "emb", width, F.col("w")).alias("summed"), F.sum("w").alias("all"))
-    turned = sums.select("idx", by_relation(F.col("summed"), value).alias("summed"), "all")
-    sums = turned.groupBy("idx").agg(_reduced(F.sum, "summed", width).alias("summed"), F.sum("all").alias("all"))
+    vectors, edges = nodes.select("idx", "emb"), written(edges.select("rel", "src", "dst"), "edges")
+    hubs = _hubs(edges, hub_rows)
+    both = _with_end(_with_end(edges, vectors, other, "v", hubs[other]), vectors, to, "q", hubs[to])
+    identity = np.eye(width)
+    products = {r: np.asarray((at or {}).get(r, identity)) @ np.asarray((far or {}).get(r, identity)).T for r in {**(at or {}), **(far or {})}}
+    states = softmax_states(both.withColumnRenamed(to, "idx"), products, float(np.sqrt(width)) if scaled else 1.0)
+    sums = turn(softmax_sums(states, width, max_scope), "summed", value)
+    sums = sums.groupBy("idx").agg(_reduced(F.sum, "summed", width).alias("summed"), F.sum("all").alias("all"))
     return sums.select("idx", F.transform("summed", lambda v: v / F.col("all")).alias("message"))
 
 
-def propagate_attention_in(nodes: DataFrame, edges: DataFrame, width: int, max_scope: str = "all", query: Weights | None = None, key: Weights | None = None, value: Weights | None = None, direction: str = "in") -> DataFrame:
+def propagate_attention_in(nodes: DataFrame, edges: DataFrame, width: int, max_scope: str = "all", query: Weights | None = None, key: Weights | None = None, value: Weights | None = None, direction: str = "in", hub_rows: int = HUB_ROWS) -> DataFrame:
     """(idx, emb): own vector plus attention over incoming edges, scores scaled by the root of the width.
 
     ``max_scope`` "type" takes the maximum before exp by relation while the denominator stays shared,
     which weighs relations against each other; "all" is the exact softmax.  ``query`` turns the node itself,
     ``key`` and ``value`` its sources, by relation; none: as they are.
     """
-    message = _attention(nodes, directed(edges, direction), width, "dst", max_scope, True, query, key, value)
+    message = _attention(nodes, directed(edges, direction), width, "dst", max_scope, True, query, key, value, hub_rows)
     return nodes.join(message, "idx", "left").select("idx", add(F.col("emb"), F.coalesce("message", zeros(width))).alias("emb"))
 
 
-def propagate_attention_out(nodes: DataFrame, edges: DataFrame, width: int, normalise: bool = True, weights: Weights | None = None) -> DataFrame:
+def propagate_attention_out(nodes: DataFrame, edges: DataFrame, width: int, normalise: bool = True, weights: Weights | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(idx, emb): own vector plus attention over outgoing edges, gathering targets into sources; then norm.
 
     A score is the source times its relation's matrix in ``weights``, dot the target.
     """
-    message = _attention(nodes, edges, width, "src", "all", False, weights)
+    message = _attention(nodes, edges, width, "src", "all", False, weights, hub_rows=hub_rows)
     out = nodes.join(message, "idx", "left").select("idx", add(F.col("emb"), F.coalesce("message", zeros(width))).alias("emb"))
     return out.withColumn("emb", layer_norm(F.col("emb"))) if normalise else out
 
@@ -138,11 +143,11 @@ def session_readout(nodes: DataFrame, pairs: DataFrame, sessions: DataFrame, wid
     An item's score is the sum of tanh(last + item); with ``weights`` (A, B, c) it is c . tanh(last A + item B).
     Sessions without pairs get zeros.
     """
-    items = pairs.select("session_id", F.explode(F.array("src", "dst")).alias("idx")).distinct().join(nodes, "idx")
-    last = pairs.groupBy("session_id").agg(F.max_by("dst", "seq").alias("idx")).join(nodes.withColumnRenamed("emb", "last"), "idx").drop("idx")
-    q, k = (F.col("last"), F.col("emb")) if weights is None else (times(F.col("last"), weights[0]), times(F.col("emb"), weights[1]))
-    bent = F.zip_with(q, k, lambda a, b: F.tanh(a + b))
-    sum_tanh = total(bent) if weights is None else total(times(bent, np.asarray(weights[2]).reshape(-1, 1)))
+    a, b, c = weights or (None, None, None)
+    items = pairs.select("session_id", F.explode(F.array("src", "dst")).alias("idx")).distinct().join(turn(nodes.select("idx", "emb"), "emb", b, "__k"), "idx")
+    last = pairs.groupBy("session_id").agg(F.max_by("dst", "seq").alias("idx")).join(turn(nodes.select("idx", F.col("emb").alias("last")), "last", a, "__q"), "idx").drop("idx")
+    bent = F.zip_with("__q", "__k", lambda x, y: F.tanh(x + y))
+    sum_tanh = total(bent) if c is None else dot(bent, F.array(*[F.lit(float(x)) for x in c]))
     scored = items.join(last, "session_id").withColumn("score", sum_tanh)
     weighed = scored.withColumn("w", F.exp(F.col("score") - F.max("score").over(Window.partitionBy("session_id"))))
     pooled = weighed.groupBy("session_id").agg(_reduced(F.sum, "emb", width, F.col("w")).alias("summed"), F.sum("w").alias("all"), F.first("last").alias("last"))
@@ -184,7 +189,7 @@ def project_nodes(nodes: DataFrame, weights: dict[str, np.ndarray], bias: dict[s
         coded = [F.element_at(matrix(t), (F.greatest(F.least(at(i).cast("int"), F.lit(len(t) - 1)), F.lit(0)) + 1)) for i, t in sorted(tables.items())]
         x = F.concat(F.array(*[F.nanvl(at(i), F.lit(0.0)) for i in plain]), *coded)
         shift = F.array(*[F.lit(float(v)) for v in np.broadcast_to((bias or {}).get(kind, 0.0), np.asarray(values).shape[1])])
-        rows = part.select("node_type", "idx", relu(add(times(x, values), shift)).alias("emb"))
+        rows = turn(part.select("node_type", "idx", x.alias("emb")), "emb", np.asarray(values)).select("node_type", "idx", relu(add(F.col("emb"), shift)).alias("emb"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -202,7 +207,8 @@ def align_pairs(pairs: DataFrame, query: str, key: str, values: list[str], width
     ``weights`` turns the vectors of the columns that it names first; the columns themselves stay.
     """
     used = {c: f"__{c}" for c in dict.fromkeys([query, key, *values])}
-    pairs = pairs.withColumns({new: times(F.col(c), weights[c]) if weights and c in weights else F.col(c) for c, new in used.items()})
+    for c, new in used.items():
+        pairs = turn(pairs, c, (weights or {}).get(c), new)
     query, key, values = used[query], used[key], [used[v] for v in values]
     size = width // heads
     head = lambda c, h: F.slice(c, h * size + 1, size)
@@ -226,15 +232,14 @@ def path_counts(log: DataFrame, authors: DataFrame, tags: DataFrame, time: str =
     """
     clicked = F.coalesce(F.col("is_click").cast("long"), F.lit(0))
 
-    def earlier(rows: DataFrame, by: str, name: str) -> DataFrame:
-        seen = running(rows, Running(("user_id", by), (time, key), sums={"__clicked": "__seen"}))
-        return seen.groupBy(key).agg(F.sum(F.col("__seen") - F.col("__clicked")).alias(name))
-
     base = log.select(key, "user_id", "video_id", time, clicked.alias("__clicked"))
-    a = earlier(base.join(authors.where("author_id is not null"), "video_id"), "author_id", "same_author")
-    c = earlier(base.join(tags.distinct(), "video_id"), "tag", "same_category")
+    shared = authors.where("author_id is not null").select("video_id", F.lit(0).alias("__kind"), F.col("author_id").cast("long").alias("__by"))
+    shared = shared.unionByName(tags.distinct().select("video_id", F.lit(1).alias("__kind"), F.col("tag").cast("long").alias("__by")))
+    seen = running(base.join(shared, "video_id").drop("video_id"), Running(("user_id", "__kind", "__by"), (time, key), sums={"__clicked": "__seen"}))
+    of = lambda kind, name: F.sum(F.when(F.col("__kind") == kind, F.col("__seen") - F.col("__clicked")).otherwise(0)).alias(name)
+    counts = seen.groupBy(key).agg(of(0, "same_author"), of(1, "same_category"))
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    return base.select(key).join(a, key, "left").join(c, key, "left").select(key, zero("same_author"), zero("same_category"))
+    return base.select(key).join(counts, key, "left").select(key, zero("same_author"), zero("same_category"))
 
 
 def history_pool(rows: DataFrame, vectors: DataFrame, key: str, hist: str, target: str, width: int) -> DataFrame:
