@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import blocks
 from tributary.operators import propagate as P
+from tributary.operators.store import find_hubs
 
 WIDTH = 4
 
@@ -90,7 +91,7 @@ def test_attention_of_a_hub(star, hub_rows, scope):
 def test_hub_is_dealt_evenly(spark, star):
     """With its edges dealt over parts no task meets many more of a hub's edges than another."""
     _, edges, nodes, table = star
-    hubs = P._hubs(table, 100)
+    hubs = find_hubs(table, 100)
     assert set(hubs["dst"]) == {0} and hubs["dst"][0] == -(-5998 // 100) and hubs["src"] == {}
     before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     for k, v in zip(before, ("-1", "false", "16"), strict=True):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,20 @@ def turn(df: DataFrame, name: str, weights: np.ndarray | Weights | None, into: s
     return df.mapInArrow(run, schema).select(*[c for c in df.columns if c != into], into)
 
 
+def combine(df: DataFrame, first: str, second: str, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``df`` with column ``first`` replaced by ``how`` of both vector columns, a batch of rows at a time; ``second`` goes."""
+    kept = [f for f in df.schema.fields if f.name not in (first, second)]
+    schema = StructType([*kept, StructField(first, ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = column(how(block(batch.column(first)), block(batch.column(second))))
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], out], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 class _States:
     """Softmax states (maximum, rescaled sum, rescaled vector) by key; merging two of a key is associative."""
 

@@ -11,6 +11,7 @@ from tributary.functions.derive import edge_attributes, ips_weight
 from tributary.operators.clean import in_domain, vector
 from tributary.operators.prefix import ordered_prefix, written
 from tributary.operators.sessions import next_in_session
+from tributary.operators.store import bucket_count, ddl, read_bucketed, write_bucketed
 from tributary.schema import ENCRYPTED, NODE_TYPES, RELATIONS
 
 USER_FEATURES = ("activity", "is_lowactive_period", "is_live_streamer", "is_video_author", "log_follow_user_num", "log_fans_user_num", "log_friend_user_num", "log_register_days", *ENCRYPTED)
@@ -178,18 +179,27 @@ def cap_edges(edges: DataFrame, most: int = 200_000, seed: int = 42) -> DataFram
     return marked.where(place <= limit(upto)).withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= most).drop("__mark", "__place")
 
 
-def save_graph(graph: Graph, path: str) -> None:
-    graph.nodes.write.mode("overwrite").partitionBy("node_type").parquet(f"{path}/nodes")
-    graph.edges.write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+def save_graph(graph: Graph, path: str, buckets: int | None = None) -> None:
+    """Nodes and edges in matching buckets: nodes by (node_type, idx), edges by (src_type, src).
+
+    Joins of saved edges with saved nodes, or with vectors by type and number, leave the edges where they are.
+    """
+    spark = graph.edges.sparkSession
+    n = bucket_count(spark, buckets)
+    write_bucketed(graph.nodes, f"{path}/nodes", ["node_type", "idx"], n)
+    write_bucketed(graph.edges, f"{path}/edges", ["src_type", "src"], n)
+    layout = spark.range(1).select(F.lit(n).alias("buckets"), F.lit(ddl(graph.nodes)).alias("nodes"), F.lit(ddl(graph.edges)).alias("edges"))
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")  # last: a graph without it is not whole
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph:
-    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    (layout,) = spark.read.parquet(f"{path}/layout").collect()  # one row
+    return Graph(read_bucketed(spark, f"{path}/nodes", layout["nodes"], ["node_type", "idx"], layout["buckets"]), read_bucketed(spark, f"{path}/edges", layout["edges"], ["src_type", "src"], layout["buckets"]))
 
 
 def load_or_build(spark: SparkSession, path: str, make, rebuild: bool = False) -> Graph:
     """The saved graph, or the one that ``make`` builds, saved for the next time."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/edges/_SUCCESS")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/layout/_SUCCESS")
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if rebuild or not there:
         save_graph(make(), path)

@@ -7,18 +7,17 @@ Matrix products and softmax states are computed a batch of vectors at a time (``
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.arrays import add, dot, layer_norm, matrix, relu, scale, total, zeros
-from tributary.operators.blocks import Weights, softmax_states, softmax_sums, turn
+from tributary.operators.blocks import Weights, combine, softmax_states, softmax_sums, turn
 from tributary.operators.prefix import written
 from tributary.operators.scan import Running, running
-
-
-#: Edges of one node beyond which a join deals them over several tasks.
-HUB_ROWS = 200_000
+from tributary.operators.store import HUB_ROWS, EdgeStore, copies, dealt, edge_store, find_hubs, join_keys
 
 
 def _reduced(how, vector: str, width: int, weight: Column | None = None) -> Column:
@@ -26,22 +25,23 @@ def _reduced(how, vector: str, width: int, weight: Column | None = None) -> Colu
     return F.array(*[how(part(i) if weight is None else part(i) * weight) for i in range(width)])
 
 
-def directed(edges: DataFrame, direction: str) -> DataFrame:
-    """``in``: messages go from src to dst; ``out``: from dst to src."""
-    if direction == "in":
+def directed(edges: DataFrame | EdgeStore, direction: str) -> DataFrame | EdgeStore:
+    """``in``: messages go from src to dst; ``out``: from dst to src.  A store has the direction it was laid out in."""
+    if direction == "in" or isinstance(edges, EdgeStore):
         return edges
     return edges.select(*[c for c in edges.columns if c not in ("src", "dst")], F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def propagate_mean(nodes: DataFrame, edges: DataFrame, width: int, layers: int = 2, normalise: bool = True, weights: Weights | None = None, own: np.ndarray | None = None, direction: str = "in") -> DataFrame:
+def propagate_mean(nodes: DataFrame, edges: DataFrame | EdgeStore, width: int, layers: int = 2, normalise: bool = True, weights: Weights | None = None, own: np.ndarray | None = None, direction: str = "in") -> DataFrame:
     """(idx, emb): own vector plus, for each relation, the mean of the sources' vectors; then norm and ReLU.
 
     ``nodes`` (idx, emb), ``edges`` (rel, src, dst).  Nodes without edges towards them keep their own part.
     A relation's mean goes through its matrix in ``weights``, the own vector through ``own``; none: as they are.
+    Several layers lay the edges out by source once; then only vectors and sums move.
     """
-    edges = directed(edges, direction)
+    edges = _laid_out(directed(edges, direction), layers)
     for layer in range(layers):
-        gathered = edges.join(nodes.withColumnRenamed("idx", "src"), "src")
+        gathered = _from_sources(edges, nodes)
         sums = gathered.groupBy("dst", "rel").agg(_reduced(F.sum, "emb", width).alias("sum"), F.count("*").alias("n"))
         means = turn(sums.select("dst", "rel", F.transform("sum", lambda v: v / F.col("n")).alias("mean")), "mean", weights)
         message = means.groupBy("dst").agg(_reduced(F.sum, "mean", width).alias("message"))
@@ -52,46 +52,70 @@ def propagate_mean(nodes: DataFrame, edges: DataFrame, width: int, layers: int =
     return nodes.select("idx", "emb")
 
 
-def propagate_sum(nodes: DataFrame, edges: DataFrame, width: int, steps: int = 1, gate: float = 0.5, weights: np.ndarray | None = None, direction: str = "in") -> DataFrame:
-    """(idx, emb): gated update (1 - gate) * own + gate * tanh(own + sum of sources) along directed edges.
+@dataclass(frozen=True)
+class Gates:
+    """Matrices and biases of a gated recurrent update, rows by vector component: message m, own vector h.
 
-    The sum goes through the matrix ``weights``, if given.
+    update = s(m Wz + h Uz + bz), reset = s(m Wr + h Ur + br), candidate = tanh(m Wh + (reset h) Uh + bh) with s the
+    logistic function; the new vector is (1 - update) h + update candidate.
     """
-    edges = directed(edges, direction)
+
+    wz: np.ndarray
+    uz: np.ndarray
+    wr: np.ndarray
+    ur: np.ndarray
+    wh: np.ndarray
+    uh: np.ndarray
+    bz: np.ndarray | float = 0.0
+    br: np.ndarray | float = 0.0
+    bh: np.ndarray | float = 0.0
+
+    def applied(self, h: np.ndarray, m: np.ndarray) -> np.ndarray:
+        logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+        z, r = logistic(m @ self.wz + h @ self.uz + self.bz), logistic(m @ self.wr + h @ self.ur + self.br)
+        return (1 - z) * h + z * np.tanh(m @ self.wh + (r * h) @ self.uh + self.bh)
+
+
+def propagate_sum(nodes: DataFrame, edges: DataFrame | EdgeStore, width: int, steps: int = 1, gate: float | Gates = 0.5, weights: np.ndarray | None = None, direction: str = "in") -> DataFrame:
+    """(idx, emb): gated update of the own vector by the sum of sources along directed edges.
+
+    The sum goes through the matrix ``weights``, if given.  A number as ``gate`` makes it
+    (1 - gate) * own + gate * tanh(own + sum); ``Gates`` give each node an update and a reset gate of its own.
+    Nodes without edges towards them have a sum of zeros.
+    """
+    edges = _laid_out(directed(edges, direction), steps)
     for step in range(steps):
-        message = edges.join(nodes.withColumnRenamed("idx", "src"), "src").groupBy("dst").agg(_reduced(F.sum, "emb", width).alias("message"))
+        message = _from_sources(edges, nodes).groupBy("dst").agg(_reduced(F.sum, "emb", width).alias("message"))
         message = turn(message, "message", weights)
-        joined = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left")
-        with_message = add(F.col("emb"), F.coalesce("message", zeros(width)))
-        updated = joined.select("idx", F.zip_with("emb", F.transform(with_message, F.tanh), lambda h, m: h * (1 - gate) + m * gate).alias("emb"))
+        joined = nodes.join(message.withColumnRenamed("dst", "idx"), "idx", "left").select("idx", "emb", F.coalesce("message", zeros(width)).alias("message"))
+        if isinstance(gate, Gates):
+            updated = combine(joined, "emb", "message", gate.applied)
+        else:
+            bent = F.transform(add(F.col("emb"), F.col("message")), F.tanh)
+            updated = joined.select("idx", F.zip_with("emb", bent, lambda h, m: h * (1 - gate) + m * gate).alias("emb"))
         nodes = written(updated, "step") if step < steps - 1 else updated
     return nodes.select("idx", "emb")
 
 
-def _hubs(edges: DataFrame, hub_rows: int) -> dict[str, dict[int, int]]:
-    """By end, the nodes with more than ``hub_rows`` edges and the number of parts to deal their edges into.
+def _laid_out(edges: DataFrame | EdgeStore, layers: int) -> DataFrame | EdgeStore:
+    if layers < 2 or isinstance(edges, EdgeStore):
+        return edges
+    return edge_store(edges.select(*[c for c in edges.columns if c in ("rel", "src", "dst")]), "src")
+
 
-    At most 10,000 nodes: of larger tables only those with more than a 5,000th of the edges.
-    """
-    ends = edges.select(F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("idx")) for e in ("src", "dst")])).alias("x")).select("x.*")
-    limit = max(hub_rows, edges.count() // 5_000)
-    found = ends.groupBy("end", "idx").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()  # bounded as said above
-    return {e: {r["idx"]: -(-r["n"] // limit) for r in found if r["end"] == e} for e in ("src", "dst")}
+def _from_sources(edges: DataFrame | EdgeStore, nodes: DataFrame) -> DataFrame:
+    """Edges with the vector of their source."""
+    if isinstance(edges, EdgeStore):
+        return edges.with_vectors(nodes.select("idx", "emb"), "emb")
+    return edges.join(nodes.withColumnRenamed("idx", "src"), "src")
 
 
 def _with_end(edges: DataFrame, vectors: DataFrame, end: str, name: str, hubs: dict[int, int]) -> DataFrame:
     """Edges with the vector of one end; a hub's edges are dealt over its parts, which each hold its vector."""
-    table = vectors.select(F.col("idx").alias(end), F.col("emb").alias(name))
-    if not hubs:
-        return edges.join(table, end)
-    parts = edges.sparkSession.createDataFrame(list(hubs.items()), f"{end} long, __parts int")
-    other = "src" if end == "dst" else "dst"
-    dealt = edges.join(F.broadcast(parts), end, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other, "rel"), F.col("__parts")).cast("int"))).drop("__parts")
-    copies = table.join(F.broadcast(parts), end, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    return dealt.join(copies, [end, "__part"]).drop("__part")
+    return dealt(edges, end, hubs).join(copies(vectors, end, name, hubs), join_keys(end, hubs)).drop("__part")
 
 
-def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scope: str, scaled: bool, at: Weights | None = None, far: Weights | None = None, value: Weights | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
+def _attention(nodes: DataFrame, edges: DataFrame | EdgeStore, width: int, to: str, max_scope: str, scaled: bool, at: Weights | None = None, far: Weights | None = None, value: Weights | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(idx, message): softmax of dot products over the edges that meet in ``to``, weighing the other end.
 
     By relation, ``at`` and ``far`` turn the vectors of the two ends before the dot product, ``value`` what is summed.
@@ -99,9 +123,16 @@ def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scop
     sum, rescaled vector); only states move on, and states of a node merge in any order.
     """
     other = "src" if to == "dst" else "dst"
-    vectors, edges = nodes.select("idx", "emb"), written(edges.select("rel", "src", "dst"), "edges")
-    hubs = _hubs(edges, hub_rows)
-    both = _with_end(_with_end(edges, vectors, other, "v", hubs[other]), vectors, to, "q", hubs[to])
+    vectors = nodes.select("idx", "emb")
+    if isinstance(edges, EdgeStore):
+        if edges.end != other:
+            raise ValueError(f"attention gathers from {other}: the edges must lie by that end, not by {edges.end}")
+        hubs, far_side = find_hubs(edges.edges, hub_rows, (to,)), edges.with_vectors(vectors, "v")
+    else:
+        edges = written(edges.select("rel", "src", "dst"), "edges")
+        hubs = find_hubs(edges, hub_rows)
+        far_side = _with_end(edges, vectors, other, "v", hubs[other])
+    both = _with_end(far_side.select("rel", "src", "dst", "v"), vectors, to, "q", hubs[to])
     identity = np.eye(width)
     products = {r: np.asarray((at or {}).get(r, identity)) @ np.asarray((far or {}).get(r, identity)).T for r in {**(at or {}), **(far or {})}}
     states = softmax_states(both.withColumnRenamed(to, "idx"), products, float(np.sqrt(width)) if scaled else 1.0)
@@ -110,18 +141,19 @@ def _attention(nodes: DataFrame, edges: DataFrame, width: int, to: str, max_scop
     return sums.select("idx", F.transform("summed", lambda v: v / F.col("all")).alias("message"))
 
 
-def propagate_attention_in(nodes: DataFrame, edges: DataFrame, width: int, max_scope: str = "all", query: Weights | None = None, key: Weights | None = None, value: Weights | None = None, direction: str = "in", hub_rows: int = HUB_ROWS) -> DataFrame:
+def propagate_attention_in(nodes: DataFrame, edges: DataFrame | EdgeStore, width: int, max_scope: str = "all", query: Weights | None = None, key: Weights | None = None, value: Weights | None = None, direction: str = "in", hub_rows: int = HUB_ROWS) -> DataFrame:
     """(idx, emb): own vector plus attention over incoming edges, scores scaled by the root of the width.
 
     ``max_scope`` "type" takes the maximum before exp by relation while the denominator stays shared,
     which weighs relations against each other; "all" is the exact softmax.  ``query`` turns the node itself,
-    ``key`` and ``value`` its sources, by relation; none: as they are.
+    ``key`` and ``value`` its sources, by relation; none: as they are.  Several layers over one ``edge_store`` of
+    the sources move its edges with their sources' vectors only, never to meet those.
     """
     message = _attention(nodes, directed(edges, direction), width, "dst", max_scope, True, query, key, value, hub_rows)
     return nodes.join(message, "idx", "left").select("idx", add(F.col("emb"), F.coalesce("message", zeros(width))).alias("emb"))
 
 
-def propagate_attention_out(nodes: DataFrame, edges: DataFrame, width: int, normalise: bool = True, weights: Weights | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
+def propagate_attention_out(nodes: DataFrame, edges: DataFrame | EdgeStore, width: int, normalise: bool = True, weights: Weights | None = None, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(idx, emb): own vector plus attention over outgoing edges, gathering targets into sources; then norm.
 
     A score is the source times its relation's matrix in ``weights``, dot the target.

@@ -257,6 +257,27 @@ def propagate_sum(s, sf):
     return out(P.propagate_sum(B.vectors(s, sf), item_edges(s, sf), WIDTH))
 
 
+@query("propagate_sum_layers", sql("SELECT * FROM (WITH s1 AS ({0}) ".format("""SELECT c.idx, c.i, 0.5 * c.x + 0.5 * tanh(c.x + coalesce(m, 0)) AS x FROM comp c LEFT JOIN (
+    SELECT dst, i, sum(x) AS m FROM nxt JOIN comp ON idx = src GROUP BY 1, 2) g ON g.dst = c.idx AND g.i = c.i""") + OUT.format("""SELECT c.idx, c.i, 0.5 * c.x + 0.5 * tanh(c.x + coalesce(m, 0)) AS x FROM s1 c LEFT JOIN (
+    SELECT dst, i, sum(x) AS m FROM nxt JOIN s1 ON idx = src GROUP BY 1, 2) g ON g.dst = c.idx AND g.i = c.i""") + ")", "comp", "nxt"))
+def propagate_sum_layers(s, sf):
+    """Two steps over edges that are laid out by their source once."""
+    return out(P.propagate_sum(B.vectors(s, sf), item_edges(s, sf), WIDTH, steps=2))
+
+
+GATED = """WITH hm AS (SELECT c.idx, c.i, c.x AS h, coalesce(m, 0) AS m FROM comp c LEFT JOIN (SELECT dst, i, sum(x) AS m FROM nxt JOIN comp ON idx = src GROUP BY 1, 2) g ON g.dst = c.idx AND g.i = c.i),
+  w AS (SELECT i, j, max(w) FILTER (k = 0) AS wz, max(w) FILTER (k = 1) AS uz, max(w) FILTER (k = 2) AS wr, max(w) FILTER (k = 3) AS ur, max(w) FILTER (k = 4) AS wh, max(w) FILTER (k = 5) AS uh FROM mat GROUP BY 1, 2),
+  turned AS (SELECT idx, j AS i, 1 / (1 + exp(-sum(m * wz + h * uz))) AS z, 1 / (1 + exp(-sum(m * wr + h * ur))) AS r, sum(m * wh) AS c FROM hm JOIN w USING (i) GROUP BY 1, 2),
+  kept AS (SELECT idx, j AS i, sum(r * h * uh) AS u FROM turned JOIN hm USING (idx, i) JOIN w USING (i) GROUP BY 1, 2)
+  SELECT idx, i, (1 - z) * h + z * tanh(c + u) AS x FROM turned JOIN hm USING (idx, i) JOIN kept USING (idx, i)"""
+
+
+@query("propagate_sum_gated", sql(OUT.format(GATED), "comp", "nxt", "mat"))
+def propagate_sum_gated(s, sf):
+    """With an update and a reset gate of each node, from matrices."""
+    return out(P.propagate_sum(B.vectors(s, sf), item_edges(s, sf), WIDTH, gate=P.Gates(*[B.weights(k) for k in range(6)])))
+
+
 SCORED = "SELECT e.*, (SELECT 1) AS one, w.score FROM (SELECT *, row_number() OVER () AS e FROM ({item})) e JOIN (SELECT src AS ws, dst AS wd, sum(a.x * b.x) / {by} AS score FROM (SELECT DISTINCT src, dst FROM nxt) JOIN comp a ON a.idx = src JOIN comp b ON b.idx = dst AND b.i = a.i GROUP BY 1, 2) w ON ws = src AND wd = dst"
 
 
