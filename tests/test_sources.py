@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.sources import logs, runs
+from tributary.sources.quarantine import duplicates, unique
 from tributary.streaming import session_windows
 
 HEAD = "user_id,video_id,date,time_ms,is_click,is_like,play_time_ms,duration_ms,is_rand,tab"
@@ -94,3 +95,47 @@ def test_streamed_sessions_equal_the_batch_rule(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted((r.user_id, r.n) for r in spark.table("sessions_out").collect())
     assert got == [(1, 1), (1, 2)]  # user 2's is still open
+
+
+def test_repeated_keys_fail_with_the_key(spark, folder):
+    """A video in two statistics parts would double its node; the join names it instead."""
+    (folder / "video_features_statistic_1k_2.csv").write_text("video_id,show_cnt,valid_play_cnt,counts,play_progress\n10,4,1,9,9\n")
+    with pytest.raises(Exception, match="video statistics: video_id 10 has 2 rows"):
+        logs.load_dataset(spark, str(folder)).videos.collect()
+    (folder / "video_features_statistic_1k_2.csv").write_text("video_id,show_cnt,valid_play_cnt,counts,play_progress\n13,4,1,9,9\n")
+    assert logs.load_dataset(spark, str(folder)).videos.count() == 2
+    (folder / "user_features_1k.csv").write_text("user_id,user_active_degree\n1,full_active\n1,other\n")
+    with pytest.raises(Exception, match="user features: user_id 1 has 2 rows"):
+        logs.load_dataset(spark, str(folder)).users.collect()
+
+
+def test_unique(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (None, "b"), (None, "c")], "k int, v string")
+    assert sorted(map(tuple, unique(df, "k", "t").collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    twice = df.unionByName(df)
+    assert sorted(map(tuple, duplicates(twice, "k").collect())) == [(1, 2), (2, 2)]
+    with pytest.raises(Exception, match="t: k [12] has 2 rows"):
+        unique(twice, "k", "t").collect()
+    joined = unique(df, "k", "t").join(spark.createDataFrame([(1,)], "k int"), "k")
+    assert [tuple(r) for r in joined.collect()] == [(1, "a")]
+
+
+def test_rejected_values_and_lines(spark, folder):
+    bad = folder / "log_standard_2_1k.csv"
+    bad.write_text("\n".join([HEAD, "1,10,20220421,soon,1,,500,1000,0,3", "1,10,20220421,5", "1,10,20220421,5,1,,500,1000,0,3,9", "x,10,20220421,5,1,,5e2,1000,0,300"]))
+    out = folder / "bad"
+    logs.load_dataset(spark, str(folder), bad_records=str(out))
+    found = {(r.role, r.file, r.column, r.reason): r.n for r in logs.check_inputs(spark, str(folder)).collect()}
+    name = "log_standard_2_1k.csv"
+    assert found == {("standard", name, "time_ms", "value"): 1, ("standard", name, "user_id", "value"): 1, ("standard", name, "tab", "value"): 1, ("standard", name, None, "line"): 2}
+    rows = spark.read.json(f"{out}/role=standard").collect()
+    assert len(rows) == 4 and {r.line for r in rows if "line" in r and r.line} == {"1,10,20220421,5", "1,10,20220421,5,1,,500,1000,0,3,9"}
+    assert any("soon" in r.fields and r.columns == ["time_ms"] for r in rows)
+
+
+def test_unreadable_histories_keep_their_text(spark, tmp_path):
+    for run, text in (("a", '[{"epoch": 1}]'), ("b", "no json {"), ("c", "[]")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "history.json").write_text(text)
+    found = {r.run: (r.readable, r.text) for r in runs.read_run_histories(spark, str(tmp_path)).collect()}
+    assert found == {"a": (True, None), "b": (False, "no json {")}

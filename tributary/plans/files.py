@@ -149,6 +149,49 @@ def files_prediction_fallbacks(s, sf):
 POSITION = "SELECT *, CASE WHEN place <= (SELECT floor(count(*) * 0.8) FROM log) THEN 'train' WHEN place <= (SELECT floor(count(*) * 0.9) FROM log) THEN 'valid' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY CAST(user_id AS VARCHAR), time_ms, row_key) AS place FROM log)"
 
 
+def damaged_files(s: SparkSession, sf: str) -> str:
+    """``as_files`` with two more standard periods and other users, in which values and lines are broken by rule."""
+    root, log = as_files(s, sf), log_columns(s, sf).where("is_rand = 0")
+    names = [c for c in log.columns if c != "row_key"]
+    key, text = F.col("row_key"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    broken = {"time_ms": F.when(key % 11 == 3, "soon"), "play_time_ms": F.when(key % 13 == 5, "1 500"), "tab": F.when(key % 17 == 2, "999")}
+    fields = [F.coalesce(broken[c], text(c)) if c in broken else text(c) for c in names]
+    line = F.when(key % 19 == 4, F.concat_ws(",", *fields[:4])).when(key % 19 == 5, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields))
+    head = s.range(1).select(F.lit(",".join(names)).alias("value"))
+    for part in range(2):
+        lines = log.where(key % 2 == part).select(line.alias("value"))
+        # a file a task has its own header
+        lines.coalesce(1).union(head).repartition(1).sortWithinPartitions(F.col("value").startswith("user_id").desc()).write.text(f"{root}/log_standard_{part + 3}_1k.csv")
+    c = B.read(s, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.when(F.col("c_custkey") % 5 == 1, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("fans_user_num"))
+    c.write.mode("overwrite").option("header", True).csv(f"{root}/user_features_1k.csv")
+    return root
+
+
+REJECTS = """SELECT 'standard' AS role, CASE row_key % 2 WHEN 0 THEN 'log_standard_3_1k.csv' ELSE 'log_standard_4_1k.csv' END AS file, "column", reason, count(*) AS n FROM (
+    SELECT row_key, unnest([CASE WHEN row_key % 11 = 3 THEN 'time_ms' END, CASE WHEN row_key % 13 = 5 AND row_key % 19 <> 4 THEN 'play_time_ms' END, CASE WHEN row_key % 17 = 2 AND row_key % 19 <> 4 THEN 'tab' END]) AS "column", 'value' AS reason FROM log WHERE is_rand = 0)
+    WHERE "column" IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'standard', CASE row_key % 2 WHEN 0 THEN 'log_standard_3_1k.csv' ELSE 'log_standard_4_1k.csv' END, NULL, 'line', count(*) FROM log WHERE is_rand = 0 AND row_key % 19 IN (4, 5) GROUP BY ALL
+  UNION ALL SELECT 'users', 'user_features_1k.csv', 'fans_user_num', 'value', count(*) FROM customer WHERE c_custkey % 5 = 1 HAVING count(*) > 0"""
+
+
+@query("files_rejects", sql(REJECTS, "log"))
+def files_rejects(s, sf):
+    """Bad values and lines of the wrong length by file and column."""
+    return logs.check_inputs(s, damaged_files(s, sf))
+
+
+@query("files_bad_histories", sql("SELECT run, CASE WHEN run LIKE '%_ips1_%' THEN 'no json ' || run END AS text, run NOT LIKE '%_ips1_%' AS readable, count(*) AS n FROM (SELECT run, epoch FROM hist WHERE run NOT LIKE '%_ips1_%' UNION ALL SELECT DISTINCT run, 0 FROM hist WHERE run LIKE '%_ips1_%') GROUP BY ALL", "hist"))
+def files_bad_histories(s, sf):
+    """Histories of which some are no JSON: those keep their text."""
+    root, h = folder(s, "histories"), B.history(s, sf)
+    good = h.where("run not like '%\\_ips1\\_%'").groupBy("run").agg(F.to_json(F.array_sort(F.collect_list(F.struct("epoch", "test")))).alias("value"))
+    bad = h.where("run like '%\\_ips1\\_%'").select("run").distinct().withColumn("value", F.concat(F.lit("no json "), "run"))
+    good.unionByName(bad).repartition(1, "run").write.option("lineSep", "\x1e").partitionBy("run").text(f"{root}-made")
+    move(s, f"{root}-made/run=*/part-*", lambda path: f"{root}/{path.split('/run=')[1].split('/')[0]}/history.json")  # as many as runs
+    found = runs.read_run_histories(s, root)
+    return found.groupBy("run", F.rtrim(F.col("text"), F.lit("\x1e")).alias("text"), "readable").agg(F.count("*").alias("n"))
+
+
 @query("files_splits", sql(f"SELECT split, row_key FROM ({POSITION})", "log"))
 def files_splits(s, sf):
     at = folder(s, "splits")

@@ -14,13 +14,14 @@ NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 
 
 def read_run_histories(spark: SparkSession, folder: str, name: str = "history.json") -> DataFrame:
-    """(run, epoch, train, test, lr, time_s, readable): one row an epoch, runs named by their folder.
+    """(run, epoch, train, test, lr, time_s, readable, text): one row an epoch, runs named by their folder.
 
-    A file that is no JSON gives one row with ``readable`` false.
+    A file that is no JSON, or an entry without an epoch, gives a row with ``readable`` false; the file's ``text`` stays
+    with it if it is no JSON.
     """
-    df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(HISTORY).json(f"{folder}/*/{name}")
+    df = spark.read.options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="text").schema(f"{HISTORY}, text string").json(f"{folder}/*/{name}")
     run = F.regexp_extract(F.input_file_name(), RUN, 1)
-    return df.select(run.alias("run"), "epoch", "train", "test", "lr", "time_s", F.col("epoch").isNotNull().alias("readable"))
+    return df.select(run.alias("run"), "epoch", "train", "test", "lr", "time_s", F.col("epoch").isNotNull().alias("readable"), "text")
 
 
 def read_training_logs(spark: SparkSession, folder: str, known: DataFrame | None = None, marker: str = "Test evaluation") -> DataFrame:
