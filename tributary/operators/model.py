@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +31,52 @@ def coefficients(model: Model) -> tuple[list[float], float]:
     return [float(x) for x in head.coefficients], float(head.intercept)
 
 
+@dataclass(frozen=True)
+class Optimum:
+    """First and second derivatives of the mean weighted log loss in the weights, then the intercept."""
+
+    gradient: np.ndarray
+    hessian: np.ndarray
+
+    @property
+    def reached(self) -> bool:
+        """Whether a Newton step would change nothing that counts: the loss could fall by less than 1e-18."""
+        return float(self.gradient @ np.linalg.lstsq(self.hessian, self.gradient, rcond=None)[0]) < 2e-18
+
+
+def optimality(rows: DataFrame, features: list[str], weights: list[float], intercept: float, label: str = "is_click", weight: str | None = "ips") -> Optimum:
+    """How far a logistic head is from the best one of its rows: one pass, sums by the size of the head.
+
+    A missing feature counts as 0, as in ``linear_score``; rows without a label or weight have none.
+    """
+    x = [*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], F.lit(1.0)]
+    w, d = F.col(weight).cast("double") if weight else F.lit(1.0), len(x)
+    scored = linear_score(rows, features, weights, intercept).select(*[v.alias(f"x{i}") for i, v in enumerate(x)], w.alias("w"), F.col(label).cast("double").alias("y"), F.col("score").alias("p"))
+    scored = scored.where(F.col("w").isNotNull() & F.col("y").isNotNull())
+    first = [F.sum(F.col("w") * (F.col("p") - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(d)]
+    second = [F.sum(F.col("w") * F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+    found = scored.agg(F.sum("w").alias("all"), *first, *second).first()
+    if not found["all"]:
+        raise ValueError("no row has a label and a weight")
+    hessian = np.array([[found[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    return Optimum(np.array([found[f"g{i}"] for i in range(d)]) / found["all"], hessian / found["all"])
+
+
+def refine(rows: DataFrame, features: list[str], weights: list[float], intercept: float, label: str = "is_click", weight: str | None = "ips", steps: int = 20) -> tuple[list[float], float]:
+    """The best logistic head of the rows, by Newton steps from one that is near it, such as a fitted one.
+
+    ``rows`` are read once a step: write them first if they are costly.  Raises if the optimum is not reached, as
+    with classes that a plane separates, which have none.
+    """
+    at = np.array([*weights, intercept], float)
+    for _ in range(steps):
+        here = optimality(rows, features, at[:-1].tolist(), float(at[-1]), label, weight)
+        if here.reached:
+            return at[:-1].tolist(), float(at[-1])
+        at = at - np.linalg.lstsq(here.hessian, here.gradient, rcond=None)[0]
+    raise ValueError(f"no optimum after {steps} steps; the gradient is {here.gradient.tolist()}")
+
+
 def linear_score(rows: DataFrame, features: list[str], weights: list[float], intercept: float) -> DataFrame:
     """Add logit and probability of a click from given weights; a missing feature counts as 0."""
     z = F.lit(float(intercept))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tributary.operators import metrics as M
 from tributary.operators import model as L
 from tributary.operators import runs as R
+from tributary.operators.prefix import written
 from tributary.plans import bind as B
 from tributary.plans.bind import sql
 from tributary.plans.graph import KG_PATHS
@@ -144,8 +145,43 @@ def click_scores_given(s, sf):
     return r6(L.linear_score(model_rows(s, sf), FEATURES, WEIGHTS, INTERCEPT).select("row_key", "is_click", "logit", "score"))
 
 
-@query("click_model_scores", None)
+def fitted_sql(steps: int = 9) -> str:
+    """Newton's method written out: derivatives by one aggregate a step, the linear system by elimination."""
+    from tributary.functions.derive import IPS_WEIGHTS
+
+    d = range(len(FEATURES) + 1)
+    z = " + ".join(f"b{i} * x{i}" for i in d)
+    ctes = [f"base AS MATERIALIZED (SELECT row_key, CAST(is_click AS DOUBLE) AS y, CASE WHEN is_rand = 1 THEN {IPS_WEIGHTS['random']} ELSE {IPS_WEIGHTS['standard']} END AS w, " + ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(FEATURES)) + f", 1.0::DOUBLE AS x{len(FEATURES)} FROM ({KG_PATHS}) JOIN log USING (row_key))"]
+    ctes.append("at0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in d) + ")")
+    for n in range(steps):
+        sums = [f"sum(w * p * (1 - p) * x{i} * x{j}) AS a{i}_{j}" for i in d for j in d] + [f"sum(w * (y - p) * x{i}) AS a{i}_{len(d)}" for i in d]
+        ctes.append(f"e{n}_0 AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM base, at{n}))")
+        for k in d:
+            cells = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in d for j in range(len(d) + 1)]
+            ctes.append(f"e{n}_{k + 1} AS MATERIALIZED (SELECT {', '.join(cells)} FROM e{n}_{k})")
+        ctes.append(f"at{n + 1} AS MATERIALIZED (SELECT " + ", ".join(f"b{i} + a{i}_{len(d)} AS b{i}" for i in d) + f" FROM at{n}, e{n}_{len(d)})")
+    return "WITH " + ", ".join(ctes) + f" SELECT row_key, CAST(y AS TINYINT) AS is_click, round(z, 6) AS logit, round(1 / (1 + exp(-z)), 6) AS score FROM (SELECT *, {z} AS z FROM base, at{steps})"
+
+
+@query("click_model_scores", sql(f"SELECT * FROM ({fitted_sql()})", "log", "authors", "tags"))
 def click_model_scores(s, sf):
-    """Probability of a click of every interaction, from a weighted logistic head on log and path features."""
-    rows = model_rows(s, sf)
-    return L.score(L.train_click_model(rows, FEATURES, maxIter=20), rows, FEATURES).select("row_key", "is_click", "logit", "score")
+    """Probability of a click of every interaction, from the best weighted logistic head on log and path features."""
+    rows = written(model_rows(s, sf).select("row_key", "is_click", "ips", *FEATURES), "rows")
+    fitted = L.coefficients(L.train_click_model(rows, FEATURES, maxIter=20))
+    return r6(L.linear_score(rows, FEATURES, *L.refine(rows, FEATURES, *fitted)).select("row_key", "is_click", "logit", "score"))
+
+
+@query("clamped_index", sql("SELECT row_key, greatest(0, least(video_id, 49)) AS video_idx, greatest(0, least(user_id - 20, 99)) AS user_idx FROM log", "log"))
+def clamped_index(s, sf):
+    """Indexes held within tables of 50 and 100 rows."""
+    from tributary.functions.derive import clamp
+
+    return B.log(s, sf).select("row_key", clamp("video_id", 50).alias("video_idx"), clamp(F.col("user_id") - 20, 100).alias("user_idx"))
+
+
+@query("uniform_weights", sql("SELECT is_rand, 1.0::DOUBLE AS weight, count(*) AS n FROM log GROUP BY 1", "log"))
+def uniform_weights(s, sf):
+    """Both policies weigh 1 where weighting is off."""
+    from tributary.functions.derive import ips_weight
+
+    return B.log(s, sf).groupBy("is_rand", ips_weight("is_rand", enabled=False).alias("weight")).agg(F.count("*").alias("n"))

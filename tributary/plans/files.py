@@ -40,23 +40,23 @@ def log_columns(s: SparkSession, sf: str) -> DataFrame:
     return e.select("row_key", "user_id", "video_id", F.lit("20220421").alias("date"), "time_ms", "is_click", F.when(F.col("row_key") % 5 != 0, F.col("is_like")).alias("is_like"), "is_follow", "is_hate", "long_view", "play_time_ms", "duration_ms", "tab", "is_rand")
 
 
-def as_files(s: SparkSession, sf: str) -> str:
-    """A folder of the log format: two standard periods, random rows, users, videos, statistics.
+def as_files(s: SparkSession, sf: str, size: str = "1k") -> str:
+    """A folder of the log format and one of its sizes: two standard periods, random rows, users, videos, statistics.
 
     The second standard period holds its first half again, as whole periods may repeat.
     """
     root, log = folder(s, "files"), log_columns(s, sf)
     put = lambda df, name: df.write.option("header", True).csv(f"{root}/{name}")
     standard = log.where("is_rand = 0")
-    put(standard.where("row_key % 2 = 0").drop("row_key"), "log_standard_1_1k.csv")
+    put(standard.where("row_key % 2 = 0").drop("row_key"), f"log_standard_1_{size}.csv")
     odd = standard.where("row_key % 2 = 1")
-    put(odd.unionByName(odd.where("row_key % 4 = 1")).drop("row_key"), "log_standard_2_1k.csv")
-    put(log.where("is_rand = 1").withColumn("is_rand", F.lit(0)).drop("row_key"), "log_random_1_1k.csv")  # the file decides, not the column
+    put(odd.unionByName(odd.where("row_key % 4 = 1")).drop("row_key"), f"log_standard_2_{size}.csv")
+    put(log.where("is_rand = 1").withColumn("is_rand", F.lit(0)).drop("row_key"), f"log_random_1_{size}.csv")  # the file decides, not the column
     c = B.read(s, sf, "customer")
-    put(c.select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 != 3, F.element_at(F.array(F.lit("full_active"), F.lit("high_active"), F.lit("middle_active")), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("user_active_degree"), F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast("long").alias("fans_user_num")), "user_features_1k.csv")
+    put(c.select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 != 3, F.element_at(F.array(F.lit("full_active"), F.lit("high_active"), F.lit("middle_active")), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("user_active_degree"), F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast("long").alias("fans_user_num")), f"user_features_{size}.csv")
     v = B.raw_videos(s, sf).join(B.authors(s, sf), "video_id", "left")
-    put(v.select("video_id", "author_id", "video_type", F.when(F.col("video_id") % 7 != 0, F.col("video_duration")).alias("video_duration"), "server_width", "server_height", "tag"), "video_features_basic_1k.csv")
-    put(B.statistics(s, sf).withColumn("play_progress", F.lit(0.5)), "video_features_statistic_1k.csv")
+    put(v.select("video_id", "author_id", "video_type", F.when(F.col("video_id") % 7 != 0, F.col("video_duration")).alias("video_duration"), "server_width", "server_height", "tag"), f"video_features_basic_{size}.csv")
+    put(B.statistics(s, sf).withColumn("play_progress", F.lit(0.5)), f"video_features_statistic_{size}.csv")
     return root
 
 
@@ -91,6 +91,15 @@ def files_users(s, sf):
     return d.users.select(F.col("user_id").cast("long").alias("user_id"), F.col("activity").cast("int").alias("activity"), F.round("log_fans_user_num", 6).alias("log_fans"))
 
 
+@query("files_users_larger", sql("SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS activity FROM customer"))
+def files_users_larger(s, sf):
+    """A folder with files of both sizes: the larger set is the one that is read."""
+    root = as_files(s, sf, "27k")
+    s.range(3).select((-F.col("id") - 1).alias("user_id"), F.lit("full_active").alias("user_active_degree")).write.option("header", True).csv(f"{root}/user_features_1k.csv")
+    d = logs.load_dataset(s, root)
+    return d.users.select(F.col("user_id").cast("long").alias("user_id"), F.col("activity").cast("int").alias("activity"))
+
+
 @query("files_videos", sql("""SELECT v.video_id, a.author_id, CASE WHEN video_id % 9 <> 0 THEN len(tags) ELSE 0 END AS tags, round(coalesce(CASE WHEN show_cnt = 0 THEN 0 ELSE least(valid_play_cnt / show_cnt, 1) END, 0), 6) AS cvr, round(coalesce(ln(1 + show_cnt), 0), 6) AS log_show,
     round(CASE WHEN video_id % 7 <> 0 THEN video_duration / 1000.0 ELSE 0 END, 6) AS duration FROM raw_videos v LEFT JOIN stats USING (video_id) LEFT JOIN authors a USING (video_id) WHERE video_type = 'NORMAL'""", "raw_videos", "stats", "authors"))
 def files_videos(s, sf):
