@@ -138,7 +138,8 @@ def quality_scores(documents: DataFrame, labels: DataFrame, params: QualityParam
 
     One row per input row; null text is scored as empty text; a null doc_id stays null and
     counts as crc32 of empty text.  Scores use the text alone, whole however long.  A repeated id is
-    learned from with each of its texts.  Extra columns are ignored; an empty table gives no row, and
+    learned from with each of its texts, a label row as often as it is given, so that a document labelled both
+    0 and 1 speaks for both classes alike.  Extra columns are ignored; an empty table gives no row, and
     without labels of both kinds the score is one constant.
     """
     measured = materialise(_measured(documents), "statistics")

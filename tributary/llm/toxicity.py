@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Memo, free_name, id_remainder, small_batches, words_of
+from tributary.llm.common import Memo, free_name, id_remainder, materialise, release, small_batches, words_of
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,8 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
     their labels.  Both samples are the rows of least id hash, bounded by the parameters, so their
     ids may be broadcast.  The class prior is the share of 1 among all training labels, which is all
     that the labels 0 are used for.  Without a positive row, or with no feature above
-    ``min_evidence``, the model scores 0 everywhere.  Repeated ids count once in the draw and with each of
+    ``min_evidence``, the model scores 0 everywhere.  A label row counts in the prior as often as it is given; an id
+    with labels 1 and 0 is a positive.  Repeated ids count once in the draw and with each of
     their texts in the fit; null ids take no part; ties in evidence go to the lesser bucket.
     """
     train = lambda df: df.where(F.col("doc_id").isNotNull() & (id_remainder("doc_id", 5) != 0))
@@ -141,8 +142,16 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
     chosen = first(known.where("toxic = 1"), params.max_positive).withColumn("is_positive", F.lit(1)).unionByName(first(train(documents), params.max_unlabelled).withColumn("is_positive", F.lit(0)))
     chosen = chosen.groupBy("doc_id").agg(F.collect_set("is_positive").alias("kinds"))
-    rows = small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.explode("kinds").alias("is_positive"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.explode("kinds").alias("is_positive"))
+    rows = small_batches(materialise(rows.repartition(documents.sparkSession.sparkContext.defaultParallelism), "sample"))  # three looks at the sample, one at the documents
+    try:
+        return _from_sample(rows, prior, params)
+    finally:
+        release(rows)
 
+
+def _from_sample(rows: DataFrame, prior: float, params: ToxicityParams) -> ToxicityModel:
+    """The model of sampled rows (text, is_positive)."""
     sizes = {r["is_positive"]: r["n"] for r in rows.groupBy("is_positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     rate_p, rate_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
