@@ -22,7 +22,7 @@ def test_stages_act_and_the_last_packs_what_is_left(spark):
 
 
 def test_every_operator_has_one_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_dedup", "packing"]
 
 
