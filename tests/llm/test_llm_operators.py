@@ -400,7 +400,7 @@ def test_tree_search_skips_pages_on_clustered_data():
     best = metric_search.Best(np.array([-1]), 10, np.int64)
     query = np.append(points[7, :-1], 0)
     radius = metric_search._distances(points, points[0]).max()
-    computed = metric_search.search(root, points[0], radius, 0, query, float((query**2).sum() + r2), 1e-3, best)
+    computed = metric_search.search(root, points[0], radius, query[None], np.array([(query**2).sum() + r2]), 1e-3, best)
     s = points[:, :-1].astype(np.int64) @ query[:-1].astype(np.int64)
     assert best.ids[0].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
     assert computed < 2500

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import metric_search, multi_index
+from tributary.llm import metric_search, multi_index, vectors
 
 
 def table(spark, x, ids=None):
@@ -97,6 +97,45 @@ def test_a_crowded_cell_is_dealt_over_parts(spark):
         assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [k for k in range(21) if k != q][:20]
 
 
+def test_a_walk_is_its_last_sum():
+    """The cells whose sums do not exceed the cutoff are those that the heap met."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        a, b, sizes = rng.normal(0, 1, 9), rng.normal(0, 1, 7), rng.integers(0, 4, 63)
+        met = multi_index.cells_met(a, b, sizes, 30)
+        sums = (a[:, None] + b).ravel()
+        assert sorted(met) == np.flatnonzero((sums <= multi_index.cutoff(a, b, sizes, 30)) & (sizes > 0)).tolist()
+
+
+def test_blocks_of_queries_walk_like_single_ones():
+    rng = np.random.default_rng(9)
+    points = np.c_[np.floor(rng.normal(0, 40, (1500, 5))), np.zeros(1500)]
+    points[700:900] = points[3]  # copies tie
+    r2 = (points**2).sum(1).max()
+    points[:, -1] = np.sqrt(r2 - (points[:, :-1] ** 2).sum(1))
+    pages = metric_search.build(np.arange(1500), points, points[0], metric_search.MTreeParams(page=20, fanout=6))
+    queries = points[:50].copy()
+    queries[:, -1] = 0
+    best = metric_search.Best(np.arange(50), 10, np.int64)
+    metric_search.search(pages, points[0], metric_search._distances(points, points[0]).max(), queries, (queries**2).sum(1) + r2, 1e-3, best)
+    v = points[:, :-1].astype(np.int64)
+    for q in range(50):
+        s = v @ v[q]
+        assert best.ids[q].tolist() == [k for k in np.lexsort((np.arange(1500), -s)) if k != q][:10]
+
+
+@pytest.mark.parametrize("counts", [(1, 1), (9, 2), (33, 40), (1000, 2000)])
+def test_tiles_bound_both_sides(counts):
+    parts, blocks = counts
+    for tasks in (1, 16, 500):
+        rows, columns = vectors.tile_counts(parts, blocks, 1 << 21, 1 << 17, tasks, 8 << 20)
+        assert 1 <= rows <= parts and 1 <= columns <= blocks
+        assert -(-parts // rows) <= 4 and -(-blocks // columns) <= 64
+        assert rows * columns >= min(tasks, parts * blocks) // 2
+    first, many, n = vectors.shared_out(np.array([0, 3, 50, 0, 2, 9]), 10)
+    assert many.tolist() == [1, 1, 5, 1, 1, 1] and n == int((first + many).max()) and len(set(range(int(first[2]), int(first[2]) + 5)) & set(first[[0, 1, 3, 4, 5]].tolist())) == 0
+
+
 def test_searches_of_nothing_and_without_queries(spark):
     none = table(spark, np.ones((3, 4)), [1, 2, 3])
     for f in (metric_search.top_inner_products, multi_index.approximate_neighbours):

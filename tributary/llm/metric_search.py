@@ -10,7 +10,8 @@ out by the triangle inequality before any vector is touched.
 At scale the table is dealt by the nearest of a bounded set of routing vectors, which are the
 roots' children; a part beyond ``tree_rows`` rows is dealt on by id, so copies cannot pile up.
 Trees are built once, written as rows of pages (one a node), and searched by blocks of queries;
-a block goes only to the roots whose balls its queries can still reach.
+a block goes only to the roots whose balls its queries can still reach.  Several trees and several
+blocks meet in one task, so vectors move once a tile and not once a pair of block and tree.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import materialise
-from tributary.llm.vectors import Best, bounded_sample, doubles, matched, one_by_id, padded, ranked
+from tributary.llm.vectors import Best, bounded_sample, doubles, numbered, one_by_id, padded, ranked, shared_out, tile_counts, tiled
 
 
 @dataclass(frozen=True)
 class MTreeParams:
-    """``roots`` bounds the routing vectors of the top level, ``seed_rows`` the sample that they come from."""
+    """``roots`` bounds the routing vectors of the top level.  Searches start from bounds that seeds give: a sample
+    of ``roots`` rows, or of a sixteenth of the table if that is more, up to ``seed_rows``."""
 
     k: int = 10
     scale: int = 1024
@@ -94,48 +96,60 @@ def build(ids: np.ndarray, points: np.ndarray, own: np.ndarray, params: MTreePar
     return pages
 
 
-#: Below this bound of |q| |v| inner products stay exact in 64-bit integers.
-_SMALL = 2.0**62
+#: Below these bounds of |q| |v| inner products stay exact in doubles and in 64-bit integers.
+_WHOLE, _SMALL = 2.0**52, 2.0**62
 
 
-def integer_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; those beyond 64 bits become the end of that range."""
-    size = np.sqrt((query**2).sum() * (vectors**2).sum(1).max(initial=0))
-    if size < _SMALL and np.abs(query).max(initial=0) < _SMALL and np.abs(vectors).max(initial=0) < _SMALL:
-        return vectors.astype(np.int64) @ query.astype(np.int64)
-    whole = [int(x) for x in query.tolist()]
-    sums = [sum(int(x) * y for x, y in zip(v, whole, strict=True)) for v in vectors.tolist()]
-    return np.array([min(max(x, -(1 << 63) + 1), (1 << 63) - 1) for x in sums], np.int64)
+def integer_products(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact integer inner products [query, vector]; those beyond 64 bits become the end of that range."""
+    size = np.sqrt((queries**2).sum(1).max(initial=0) * (vectors**2).sum(1).max(initial=0))
+    if size < _WHOLE:  # no sum of any terms is rounded
+        return (queries @ vectors.T).astype(np.int64)
+    if size < _SMALL and np.abs(queries).max(initial=0) < _SMALL and np.abs(vectors).max(initial=0) < _SMALL:
+        return queries.astype(np.int64) @ vectors.astype(np.int64).T
+    left, right = ([[int(x) for x in v] for v in m.tolist()] for m in (queries, vectors))
+    clip = lambda x: min(max(x, -(1 << 63) + 1), (1 << 63) - 1)
+    return np.array([[clip(sum(x * y for x, y in zip(q, v, strict=True))) for v in right] for q in left], np.int64)
 
 
-def search(pages: list[Page], own: np.ndarray, own_radius: float, row: int, query: np.ndarray, reach2: float, slack: float, best: Best) -> int:
-    """Best-first search for one query of ``best``; returns how many distances were computed.
+def search(pages: list[Page], own: np.ndarray, own_radius: float, queries: np.ndarray, reach2: np.ndarray, slack: float, best: Best) -> int:
+    """Best-first search for the queries of ``best``; returns how many distances were computed.
 
-    ``reach2`` is |q|^2 + R^2, so squared distance = reach2 - 2 * score.  A page is skipped only
-    if its bound lies beyond the k-th score by more than rounding.
+    A page is read once for all queries that may need it, pages in the order of their least bound.
+    ``reach2`` is |q|^2 + R^2, so squared distance = reach2 - 2 * score.  A page is skipped for a query
+    only if its bound lies beyond the query's k-th score by more than rounding.
     """
-    limit = lambda: np.sqrt(max(reach2 - 2.0 * float(best.scores[row, -1]), 0.0)) + slack if best.scores[row, -1] != best.least else np.inf
-    start = np.sqrt(((own - query) ** 2).sum())
-    heap, serial, computed = [(max(start - own_radius, 0.0), 0, start, 0)], 0, 1
+
+    def limits(rows: np.ndarray) -> np.ndarray:
+        least = best.scores[rows, -1]
+        far = np.sqrt(np.maximum(reach2[rows] - 2.0 * least.astype(np.float64), 0)) + slack
+        return np.where(least == best.least, np.inf, far)
+
+    start = _distances(queries, own)
+    low = np.maximum(start - own_radius, 0)
+    heap, serial, computed = [(float(low.min()), 0, 0, np.arange(len(queries)), start, low)], 0, len(queries)
     while heap:
-        bound, _, distance, number = heapq.heappop(heap)
-        far, node = limit(), pages[number]
-        if bound > far:
-            break
+        _, _, number, rows, distance, low = heapq.heappop(heap)
+        far, node = limits(rows), pages[number]
+        still = low <= far
+        rows, distance, far = rows[still], distance[still], far[still]
         # what parent distances alone rule out
-        live = np.flatnonzero(np.abs(distance - node.parent) - node.radii <= far)
-        if not len(live):
+        live = np.abs(distance[:, None] - node.parent) - node.radii <= far[:, None]
+        some, columns = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
+        if not len(some):
             continue
-        computed += len(live)
+        rows, live, far = rows[some], live[np.ix_(some, columns)], far[some]
+        computed += len(rows) * len(columns)
         if not len(node.children):
-            best.add(np.array([row]), integer_products(node.routing[live, :-1], query[:-1])[None], node.ids[live])
+            best.add(rows, integer_products(node.routing[columns, :-1], queries[rows, :-1]), node.ids[columns])
             continue
-        d = _distances(node.routing[live], query)
-        for c, dc in zip(live, d, strict=True):
-            low = max(dc - node.radii[c], 0.0)
-            if low <= far:
+        d = np.stack([_distances(queries[rows], node.routing[c]) for c in columns], 1)
+        low = np.maximum(d - node.radii[columns], 0)
+        for k, c in enumerate(columns):
+            wanted = live[:, k] & (low[:, k] <= far)
+            if wanted.any():
                 serial += 1
-                heapq.heappush(heap, (low, serial, dc, int(node.children[c])))
+                heapq.heappush(heap, (float(low[wanted, k].min()), serial, int(node.children[c]), rows[wanted], d[wanted, k], low[wanted, k]))
     return computed
 
 
@@ -166,7 +180,7 @@ def top_inner_products(vectors: DataFrame, params: MTreeParams = MTreeParams())
         p[:, -1] = np.sqrt(np.maximum(r2 - (p[:, :-1] ** 2).sum(1), 0))
         return p
 
-    sample = bounded_sample(whole, facts["n"], params.seed_rows)  # seeds bounds and roots
+    sample = bounded_sample(whole, facts["n"], min(params.seed_rows, max(params.roots, facts["n"] // 16)))  # seeds bounds and roots
     seeds, seed_ids = points_of(padded(sample["v"].combine_chunks(), width, np.float64)), sample["vec_id"].to_numpy()
     roots = seeds[: params.roots]
 
@@ -178,10 +192,11 @@ def top_inner_products(vectors: DataFrame, params: MTreeParams = MTreeParams())
             yield batch.append_column("root", pa.array(near.astype(np.int32))).append_column("far", pa.array(far))
 
     dealt = materialise(whole.mapInArrow(deal, "vec_id long, v array<double>, root int, far double"), "dealt")
-    by_root = {r["root"]: r for r in dealt.groupBy("root").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}  # at most ``roots`` rows
-    radius, many, first, parts = np.zeros(len(roots)), np.zeros(len(roots), int), np.zeros(len(roots), int), 0
+    counted = dealt.groupBy("root").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.count_if(asks).alias("asking"))
+    by_root = {r["root"]: r for r in counted.collect()}  # at most ``roots`` rows
+    radius, many, first, asking, parts = np.zeros(len(roots)), np.zeros(len(roots), int), np.zeros(len(roots), int), np.zeros(len(roots), int), 0
     for k, r in sorted(by_root.items()):
-        radius[k], many[k], first[k] = r["radius"], -(-r["n"] // params.tree_rows), parts
+        radius[k], many[k], first[k], asking[k] = r["radius"], -(-r["n"] // params.tree_rows), parts, r["asking"]
         parts += int(many[k])
     places = F.create_map(*[F.lit(int(x)) for k in by_root for x in (k, many[k])])
     firsts = F.create_map(*[F.lit(int(x)) for k in by_root for x in (k, first[k])])
@@ -194,47 +209,43 @@ def top_inner_products(vectors: DataFrame, params: MTreeParams = MTreeParams())
 
     trees = materialise(dealt.withColumn("part", part).repartition(parts, "part").groupBy("part").applyInPandas(load, f"part int, root int, radius double, pages {PAGES}"), "trees")
     slack = 1e-6 * max(np.sqrt(r2), 1)
-    blocks = -(-facts["queries"] // params.block)
+    block, blocks_of, blocks = shared_out(asking, params.block)  # queries near each other share a block
 
     def start(ids: np.ndarray, queries: np.ndarray) -> Best:
         """Bounds from the seeds: their k-th score less one, no result."""
         seeded = Best(ids, params.k, np.int64)
-        for row, q in enumerate(queries):
-            seeded.add(np.array([row]), integer_products(seeds[:, :-1], q[:-1])[None], seed_ids)
+        seeded.add(np.arange(len(ids)), integer_products(seeds[:, :-1], queries[:, :-1]), seed_ids)
         seeded.scores[:] = np.where(seeded.scores[:, -1:] == seeded.least, seeded.least, seeded.scores[:, -1:] - 1)
         seeded.ids[:] = np.iinfo(np.int64).max
         return seeded
 
     def reach(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """A block of queries, once for each part of a root that any of them can reach."""
+        """A block of queries, their first bounds and the parts of the roots that any of them can reach."""
         q = points_of(doubles(rows["v"], width))
         q[:, -1] = 0
-        best = start(rows["vec_id"].to_numpy(), q)
-        least = best.scores[:, -1]
+        least = start(rows["vec_id"].to_numpy(), q).scores[:, -1]
         reach2 = (q**2).sum(1) + r2
-        far = np.where(least == best.least, np.inf, np.sqrt(np.maximum(reach2 - 2.0 * least, 0)) + slack)
-        met = [k for k in by_root if (np.sqrt(((roots[k] - q) ** 2).sum(1)) - radius[k] <= far).any()]
-        out = [(int(key[0]), int(first[k] + j), rows["vec_id"].tolist(), q.tobytes(), least.tolist()) for k in met for j in range(many[k])]
-        return pd.DataFrame(out, columns=["block", "part", "query_ids", "queries", "least"])
-
-    asked = whole.where(asks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    reached = materialise(asked.groupBy("block").applyInPandas(reach, "block int, part int, query_ids array<long>, queries binary, least array<long>"), "reached")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pages = None, []
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                if (at := row.column("part")[0].as_py()) != held:  # rows come sorted by part
-                    held, pages = at, [Page.of(x, width + 1) for x in row.column("pages")[0].as_py()]
-                root, radius = roots[row.column("root")[0].as_py()], row.column("radius")[0].as_py()
-                q = np.frombuffer(row.column("queries")[0].as_py()).reshape(-1, width + 1)
-                best = Best(row.column("query_ids").flatten().to_numpy(), params.k, np.int64)
-                best.scores[:] = row.column("least").flatten().to_numpy()[:, None]
-                reach2 = (q**2).sum(1) + r2
-                for n in range(len(q)):
-                    search(pages, root, radius, n, q[n], reach2[n], slack, best)
-                yield best.batch()
-
-    pairs = matched(trees, reached, parts, blocks)
-    return ranked(pairs.mapInArrow(find, "query_id long, vec_id long, score long"), params.k)
+        far = np.where(least == np.iinfo(np.int64).min, np.inf, np.sqrt(np.maximum(reach2 - 2.0 * least, 0)) + slack)
+        met = [k for k in by_root if (_distances(q, roots[k]) - radius[k] <= far).any()]
+        parts = [int(first[k] + j) for k in met for j in range(many[k])]
+        return pd.DataFrame({"block": [int(key[0])], "parts": [parts], "ids": [rows["vec_id"].tolist()], "queries": [q.tobytes()], "least": [least.tolist()]})
+
+    asked = numbered(dealt.where(asks), "root", block, blocks_of, "block").repartition(blocks, "block")
+    reached = materialise(asked.groupBy("block").applyInPandas(reach, "block int, parts array<int>, ids array<long>, queries binary, least array<long>"), "reached")
+
+    def find(tile: pa.Table, asking: pa.Table) -> pa.Table:
+        trees = [(r["root"], r["radius"], [Page.of(x, width + 1) for x in r["pages"]]) for r in tile.select(["root", "radius", "pages"]).to_pylist()]
+        found = []
+        for row in asking.select(["ids", "queries", "least"]).to_pylist() if trees else []:
+            q = np.frombuffer(row["queries"]).reshape(-1, width + 1)
+            reach2, centre = (q**2).sum(1) + r2, q.mean(0)
+            found.append(Best(np.array(row["ids"]), params.k, np.int64))
+            found[-1].scores[:] = np.array(row["least"])[:, None]
+            for root, ball, pages in sorted(trees, key=lambda t: np.sqrt(((roots[t[0]] - centre) ** 2).sum()) - t[1]):
+                search(pages, roots[root], ball, q, reach2, slack, found[-1])
+        return Best.table(found, np.int64)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    tree_bytes = 8 * (width + 3) * min(params.tree_rows, int(max(r["n"] for r in by_root.values())))
+    counts = tile_counts(parts, blocks, tree_bytes, 8 * (width + 1) * params.block, tasks)
+    return ranked(tiled(trees, reached, counts, parts, blocks, find, "query_id long, vec_id long, score long"), params.k)

@@ -4,7 +4,8 @@ The halves of the vectors are quantised apart, each by its own codebook, so K ce
 give K^2 cells.  A query meets cells in the order of a sum over its halves, walked with a heap,
 until the cells met hold enough entries; those entries are ranked by the true inner product.
 A half's term is the inner product with the centroid plus ``spread`` standard deviations of what
-the centroid's members may add to it, so that cells with long vectors come early.
+the centroid's members may add to it, so that cells with long vectors come early.  A walk ends at a
+sum; that sum is all that is kept of it, since a cell was met if its own sum is not greater.
 
 Codebooks are fitted on a bounded sample; every row is indexed.  How many entries are enough is
 measured: for a bounded sample of queries all rows are ranked, and the depth of the walk at which
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import materialise
-from tributary.llm.vectors import Best, bounded_sample, doubles, matched, one_by_id, padded, ranked
+from tributary.llm.vectors import Best, bounded_sample, doubles, numbered, one_by_id, padded, ranked, shared_out, tile_counts, tiled
 
 
 @dataclass(frozen=True)
@@ -115,13 +116,19 @@ def depth_of(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, cells: np
     return met[cells]
 
 
-def rerank(best: Best, queries: np.ndarray, entries: np.ndarray, names: np.ndarray, visits: np.ndarray | None = None) -> None:
-    """Rank entries by inner product for the queries whose cells they lie in (bit rows by entry; none: for all).
+def cutoff(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> float:
+    """The sum at which a walk ends."""
+    last = cells_met(first, second, sizes, wanted)[-1]
+    return first[last // len(second)] + second[last % len(second)]
+
+
+def rerank(best: Best, queries: np.ndarray, entries: np.ndarray, names: np.ndarray, met: np.ndarray | None = None) -> None:
+    """Rank entries by inner product for the queries that met their cells ([query, entry]; none: all did).
 
     One matrix product finds the pairs that can still matter; their scores are then summed in one
     order for every pair, so that copies tie exactly.
     """
-    met = np.ones((len(queries), len(entries)), bool) if visits is None else np.unpackbits(visits, axis=1, bitorder="little", count=len(queries)).astype(bool).T
+    met = np.ones((len(queries), len(entries)), bool) if met is None else met
     asked = np.flatnonzero(met.any(1))
     if not len(asked):
         return
@@ -164,32 +171,25 @@ def approximate_neighbours(vectors: DataFrame, params: MultiIndexParams = MultiI
             yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
 
     placed = materialise(whole.mapInArrow(quantise, "vec_id long, v array<double>, cell int"), "placed")
-    sizes = np.zeros(len(one.centroids) * second, np.int64)
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most max_centroids^2 rows
-        sizes[r["cell"]] = r["n"]
-
-    # neighbouring cells share a part; a crowded cell is dealt over parts of its own
-    lone = sizes > params.part_rows
-    begin = np.cumsum(np.where(lone, 0, sizes)) - 1
-    part = np.maximum(begin, 0) // params.part_rows
-    many = np.where(lone, -(-sizes // params.part_rows), 1)
-    first = int(part.max()) + 1
-    part = np.where(lone, first + np.cumsum(np.where(lone, many, 0)) - many, part)
-    parts = int((part + many).max())
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, names = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            yield batch.append_column("part", pa.array((part[cell] + names % many[cell]).astype(np.int32)))
+    sizes, asking = np.zeros((2, len(one.centroids) * second), np.int64)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(asks).alias("asking")).collect():  # at most max_centroids^2 rows
+        sizes[r["cell"]], asking[r["cell"]] = r["n"], r["asking"]
+
+    # neighbouring cells share a part, their queries a block; a crowded cell is dealt over parts of its own
+    part, many, parts = shared_out(sizes, params.part_rows)
+    block, blocks_of, blocks = shared_out(asking, params.block)
 
     def stack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
         entries = doubles(rows["v"], width)
         return pd.DataFrame({"part": [key[0]], "names": [rows["vec_id"].tolist()], "cells": [rows["cell"].tolist()], "entries": [entries.tobytes()]})
 
-    dealt = placed.mapInArrow(pack, "vec_id long, v array<double>, cell int, part int").repartition(parts, "part")
+    dealt = numbered(placed, "cell", part, many, "part").repartition(parts, "part")
     index = materialise(dealt.groupBy("part").applyInPandas(stack, "part int, names array<long>, cells array<int>, entries binary"), "index")
 
+    def terms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return one.dissimilarity(x[:, :half], params.spread), two.dissimilarity(x[:, half:], params.spread)
+
     def depths() -> np.ndarray:
         """Depths at which walks of sampled queries meet their true neighbours."""
         chosen = bounded_sample(whole.where(asks), facts["queries"], params.calibration)
@@ -206,44 +206,41 @@ def approximate_neighbours(vectors: DataFrame, params: MultiIndexParams = MultiI
 
         found = index.mapInArrow(look, "query_id long, vec_id long, score double, cell int")
         true = ranked(found, params.k, "cell").toPandas()  # at most calibration * k rows
-        a, b = one.dissimilarity(x[:, :half], params.spread), two.dissimilarity(x[:, half:], params.spread)
+        a, b = terms(x)
         at = {q: i for i, q in enumerate(ids.tolist())}
         return np.concatenate([np.zeros(0, np.int64), *(depth_of(a[at[q]], b[at[q]], sizes, g["cell"].to_numpy()) for q, g in true.groupby("query_id"))])
 
     measured = depths()
     wanted = max(int(np.quantile(measured, params.target)) if len(measured) else n, params.k + 1)
-    blocks = -(-facts["queries"] // params.block)
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """A block's visits to every part that it meets, one bit a query by cell."""
-        x = doubles(rows["v"], width)
-        a, b = one.dissimilarity(x[:, :half], params.spread), two.dissimilarity(x[:, half:], params.spread)
-        visits = np.zeros((len(sizes), (len(x) + 7) // 8), np.uint8)
-        for row, (p, q) in enumerate(zip(a, b, strict=True)):
-            visits[cells_met(p, q, sizes, wanted), row // 8] |= np.uint8(1 << row % 8)
-        met, out = np.flatnonzero(visits.any(1)), []
-        of = np.concatenate([np.c_[part[met[many[met] > j]] + j, met[many[met] > j]] for j in range(int(many[met].max(initial=0)))])
-        for p in np.unique(of[:, 0]).tolist():
-            cells = np.sort(of[of[:, 0] == p, 1])
-            out.append((int(key[0]), int(p), rows["vec_id"].tolist(), x.tobytes(), cells.astype(np.int32).tolist(), visits[cells].tobytes()))
-        return pd.DataFrame(out, columns=["block", "part", "ids", "queries", "met", "visits"])
-
-    asked = whole.where(asks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    walked = materialise(asked.groupBy("block").applyInPandas(walk, "block int, part int, ids array<long>, queries binary, met array<int>, visits binary"), "walked")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                ids = np.array(row["ids"])
-                x, entries = (np.frombuffer(row[c]).reshape(-1, width) for c in ("queries", "entries"))
-                met, cells = np.array(row["met"]), np.array(row["cells"])
-                at = np.minimum(np.searchsorted(met, cells), len(met) - 1)
-                some = np.flatnonzero(met[at] == cells)
-                visits = np.frombuffer(row["visits"], np.uint8).reshape(len(met), -1)
-                best = Best(ids, params.k, np.float64)
-                rerank(best, x, entries[some], np.array(row["names"])[some], visits[at[some]])
-                yield best.batch()
-
-    pairs = matched(index, walked, parts, blocks)
-    return ranked(pairs.mapInArrow(find, "query_id long, vec_id long, score double"), params.k)
+        """A block's vectors, the sums where their walks end and the parts that any of them meets."""
+        x, met = doubles(rows["v"], width), np.zeros(len(sizes), bool)
+        a, b = terms(x)
+        ends = np.array([cutoff(p, q, sizes, wanted) for p, q in zip(a, b, strict=True)])
+        for p, q, end in zip(a, b, ends, strict=True):
+            met |= (p[:, None] + q <= end).ravel()
+        cells = np.flatnonzero(met & (sizes > 0))
+        asked = np.unique(np.concatenate([part[cells[many[cells] > j]] + j for j in range(int(many[cells].max()))]))
+        return pd.DataFrame({"block": [int(key[0])], "parts": [asked.tolist()], "ids": [rows["vec_id"].tolist()], "queries": [x.tobytes()], "ends": [ends.tobytes()]})
+
+    asked = numbered(placed.where(asks), "cell", block, blocks_of, "block").repartition(blocks, "block")
+    walked = materialise(asked.groupBy("block").applyInPandas(walk, "block int, parts array<int>, ids array<long>, queries binary, ends binary"), "walked")
+
+    def find(tile: pa.Table, asking: pa.Table) -> pa.Table:
+        held, found = [], []
+        for row in tile.select(["names", "cells", "entries"]).to_pylist():
+            held.append((np.array(row["names"]), np.array(row["cells"]), np.frombuffer(row["entries"]).reshape(-1, width)))
+        for row in asking.select(["ids", "queries", "ends"]).to_pylist() if held else []:
+            x, ends = np.frombuffer(row["queries"]).reshape(-1, width), np.frombuffer(row["ends"])
+            a, b = terms(x)
+            found.append(Best(np.array(row["ids"]), params.k, np.float64))
+            for names, cells, entries in held:
+                met = a[:, cells // second] + b[:, cells % second] <= ends[:, None]
+                some = met.any(0)
+                rerank(found[-1], x, entries[some], names[some], met[:, some])
+        return Best.table(found, np.float64)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    counts = tile_counts(parts, blocks, 8 * width * params.part_rows, 8 * width * params.block, tasks)
+    return ranked(tiled(index, walked, counts, parts, blocks, find, "query_id long, vec_id long, score double"), params.k)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INFINITE = float("inf")
 
@@ -49,17 +52,54 @@ def bounded_sample(rows: DataFrame, n: int, most: int) -> pa.Table:
     return rows.orderBy(mark, "vec_id").limit(most).toArrow()
 
 
-def matched(parts: DataFrame, blocks: DataFrame, n_parts: int, n_blocks: int, lane_blocks: int = 64) -> DataFrame:
-    """Rows of ``parts`` (part, ...) beside the rows of ``blocks`` (block, part, ...) that ask them.
+def shared_out(sizes: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first, many, n): cells in their order share parts of about ``per`` rows; a crowded one has ``many`` of its own."""
+    lone = sizes > per
+    begin = np.cumsum(np.where(lone, 0, sizes)) - 1
+    first = np.maximum(begin, 0) // per
+    many = np.where(lone, -(-sizes // per), 1)
+    after = int(first.max()) + 1
+    first = np.where(lone, after + np.cumsum(np.where(lone, many, 0)) - many, first)
+    return first, many, int((first + many).max())
+
+
+def numbered(rows: DataFrame, cell: str, first: np.ndarray, many: np.ndarray, name: str) -> DataFrame:
+    """Add the part ``name`` that ``shared_out`` gives a row of ``cell``; a crowded cell is dealt by the hash of the id."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, mark = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (cell, "__mark"))
+            yield batch.append_column(name, pa.array((first[at] + mark % many[at]).astype(np.int32)))
+
+    marked = rows.withColumn("__mark", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)))
+    schema = T.StructType([*marked.schema.fields, T.StructField(name, T.IntegerType())])
+    return marked.mapInArrow(add, schema).drop("__mark")
 
-    A part that many blocks ask is repeated in lanes of ``lane_blocks`` blocks, so no task meets more.
+
+def tile_counts(n_parts: int, n_blocks: int, part_bytes: int, block_bytes: int, tasks: int, most_bytes: int = 48 << 20) -> tuple[int, int]:
+    """(rows, columns) of the grid of tiles: no side of a tile beyond ``most_bytes`` (or one part or block), ``tasks`` tiles
+    if there are so many.  The index moves once a column, the queries once a row."""
+    rows = -(-n_parts // max(1, most_bytes // part_bytes))
+    columns = -(-n_blocks // max(1, most_bytes // block_bytes))
+    rows = min(n_parts, max(rows, -(-tasks // columns)))
+    return rows, min(n_blocks, max(columns, -(-tasks // rows)))
+
+
+def tiled(index: DataFrame, blocks: DataFrame, counts: tuple[int, int], n_parts: int, n_blocks: int, find: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``find`` over tiles of index rows (part, ...) and query rows (block, parts, ...), ``parts`` being those a block asks.
+
+    A tile meets in one task and holds each part and each block once, so what moves is the index once a column of
+    tiles and the queries once a row; tiles that no block asks do not exist.
     """
-    lanes = -(-n_blocks // lane_blocks)
-    spark = parts.sparkSession
-    tasks = min(n_parts * lanes, max(2 * spark.sparkContext.defaultParallelism, n_parts * lanes // 4))
-    left = parts.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(tasks, "part", "lane")
-    right = blocks.withColumn("lane", F.col("block") % lanes).repartition(tasks, "part", "lane")
-    return left.hint("merge").join(right, ["part", "lane"])
+    rows, columns = counts
+    par = index.sparkSession.sparkContext.defaultParallelism
+    tasks = min(rows * columns, max(4 * par, rows * columns // 4))
+    right = blocks.withColumn("__column", F.expr(f"CAST(block * {columns}L DIV {n_blocks} AS INT)"))
+    right = right.withColumn("__row", F.explode(F.array_distinct(F.expr(f"transform(parts, p -> CAST(p * {rows}L DIV {n_parts} AS INT))")))).drop("parts")
+    tiles = right.select("__row", "__column").distinct().toDF("__row", "__at")
+    left = index.withColumn("__row", F.expr(f"CAST(part * {rows}L DIV {n_parts} AS INT)")).join(tiles, "__row").withColumnRenamed("__at", "__column")
+    left, right = (x.repartition(tasks, "__row", "__column").groupBy("__row", "__column") for x in (left, right))
+    return left.cogroup(right).applyInArrow(find, schema)
 
 
 class Best:
@@ -101,6 +141,12 @@ class Best:
         best = place < self.k
         self.scores[rows[best], place[best]], self.ids[rows[best], place[best]] = scores[best], ids[best]
 
+    @staticmethod
+    def table(found: list[Best], dtype: type) -> pa.Table:
+        """query_id, vec_id, score of several blocks."""
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.from_numpy_dtype(dtype))])
+        return pa.Table.from_batches([b.batch() for b in found], schema)
+
     def batch(self) -> pa.RecordBatch:
         row, column = np.nonzero(self.ids != np.iinfo(np.int64).max)
         return pa.RecordBatch.from_arrays([pa.array(self.queries[row]), pa.array(self.ids[row, column]), pa.array(self.scores[row, column])], ["query_id", "vec_id", "score"])
