@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.streaming.numbered import PROVIDER, numbered_sessions
+
+__all__ = ["PROVIDER", "numbered_sessions", "session_windows"]
+
 
 def session_windows(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time: str = "ts") -> DataFrame:
     """(user_id, started, ended, n): sessions of a stream of rows, closed once the watermark has passed them.
