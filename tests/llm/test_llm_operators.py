@@ -191,6 +191,22 @@ def test_licences_are_told_apart():
     assert names(both) == {"MPL-2.0-header", "LGPL-3.0-only-tag"}
 
 
+def test_licence_texts_old_tags_and_negated_notices():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LicenseParams())
+    names = lambda text: {m[0] for m in scanner.scan(text.encode())}
+    assert names("x = 1  # SPDX-License-Identifier: GPL-3.0\n") == {"GPL-3.0-tag"}
+    assert names("Licensed under CC BY-SA 3.0.") == {"CC-BY-SA-3.0-notice"}
+    assert names("Released under the BSD License.") == {"BSD-notice"}
+    for text in ("Not released under the MIT License.", "This is no longer released under the MIT License", "It is not Licensed under the Apache License, Version 2.0.", "licensed, but not under CC BY 4.0"):
+        assert names(text) == set(), text
+    # a negated notice does not hide a true one, and words further off negate nothing
+    assert [m[3] for m in scanner.scan(b"Not released under the MIT License. Released under the MIT License.")] == [36]
+    assert names("Do not panic, friends. Released under the MIT License.") == {"MIT-notice"}
+    opening = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n" + licenses.TEMPLATES["Apache-2.0-text"]
+    assert "Apache-2.0-text" in names(opening)
+    assert names(licenses.TEMPLATES["GPL-3.0-text"].replace("Inc.", "Inc. <https://fsf.org/>")) == {"GPL-3.0-text"}
+
+
 def test_fingerprints_meet_every_match():
     """A match that lacks as many words as it may still holds a winnowed word, whichever it lacks."""
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.LicenseParams())

@@ -9,7 +9,8 @@ a diagonal.  The region is aligned with the whole template in a band around that
 report gives the matched coverage of the template and the span in the document.
 
 Some words tell one licence from another, such as a name or a version.  A match must hold those of
-its template, and none that makes it another licence.
+its template, and none that makes it another licence.  A short notice that is negated ("not released
+under") is none.  Long licences are known by their opening, which every copy of the text holds.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ _GNU_NAMES = {"GPL": "General Public License", "LGPL": "Lesser General Public Li
 _CC_KINDS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
 _CC_NAMES = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 _SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "MPL-2.0", "EPL-2.0", "EUPL-1.2", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
+_SPDX_OLD = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+_FSF_TERMS = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_CC_VERSIONS = {"3.0": "Unported", "4.0": "International"}
 
 TEMPLATES: dict[str, str] = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -56,15 +60,27 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     **{f"{short}-{version}-notice": f"This work is licensed under the GNU {name}, version {version.removesuffix('.0')}." for short, version, name in [(s, v, n) for s, n in _GNU_NAMES.items() for v in (("2.1", "3.0") if s == "LGPL" else ("3.0",) if s == "AGPL" else ("2.0", "3.0"))]},
     **{f"{short}-{version}-header": _GNU_HEADER.format(work="This library" if short == "LGPL" else "This program", name=name, version=version.removesuffix(".0")) for short, version, name in [(s, v, n) for s, n in _GNU_NAMES.items() for v in (("2.1", "3.0") if s == "LGPL" else ("3.0",) if s == "AGPL" else ("2.0", "3.0"))]},
-    **{f"CC-{kind}-4.0-notice": f"Licensed under CC {kind} 4.0." for kind in _CC_KINDS},
-    **{f"CC-{kind}-4.0-name": f"This work is licensed under a Creative Commons {_CC_NAMES[kind]} 4.0 International License." for kind in _CC_KINDS},
-    **{f"{name}-tag": f"SPDX-License-Identifier: {name}" for name in _SPDX},
+    **{f"CC-{kind}-{v}-notice": f"Licensed under CC {kind} {v}." for kind in _CC_KINDS for v in _CC_VERSIONS},
+    **{f"CC-{kind}-{v}-name": f"This work is licensed under a Creative Commons {_CC_NAMES[kind]} {v} {scope} License." for kind in _CC_KINDS for v, scope in _CC_VERSIONS.items()},
+    **{f"{name}-tag": f"SPDX-License-Identifier: {name}" for name in (*_SPDX, *_SPDX_OLD)},
+    "BSD-notice": "Released under the BSD License.",
+    # how whole licence texts begin
+    "Apache-2.0-text": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    "GPL-2.0-text": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_FSF_TERMS} Preamble The licenses for most software are designed to take away your freedom to share and change it.",
+    "GPL-3.0-text": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF_TERMS} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "LGPL-3.0-text": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF_TERMS} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "AGPL-3.0-text": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_FSF_TERMS} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "EPL-2.0-text": "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
 }
 
 # Words that tell one licence from another; a match needs those of its template.
-DECIDING = frozenset("apache mit mozilla eclipse boost eupl gnu cc creative neither lesser affero by by-sa by-nd by-nc by-nc-sa by-nc-nd attribution attribution-sharealike attribution-noderivatives attribution-noncommercial attribution-noncommercial-sharealike attribution-noncommercial-noderivatives 1.0 1.2 2 2.0 2.1 3 4.0".encode().split())
+DECIDING = frozenset("apache mit bsd mozilla eclipse boost eupl gnu cc creative neither lesser affero by by-sa by-nd by-nc by-nc-sa by-nc-nd attribution attribution-sharealike attribution-noderivatives attribution-noncommercial attribution-noncommercial-sharealike attribution-noncommercial-noderivatives 1.0 1.2 2 2.0 2.1 3 3.0 4.0".encode().split())
 # Words that make what holds them another licence than a template without them.
 OTHERWISE = frozenset("lesser affero neither".encode().split())
+# Words that turn a short notice into its opposite.
+NEGATING = frozenset("not never without isn".encode().split())
+_NO_LONGER = (b"no", b"longer")
 
 
 @dataclass(frozen=True)
@@ -168,6 +184,13 @@ class Scanner:
         have = set(part)
         return self.deciding[t] <= have and not (have & OTHERWISE) - self.deciding[t]
 
+    def denied(self, t: int, words: list[bytes], first: int, last: int) -> bool:
+        """Whether a short notice at words[first:last + 1] is negated inside or by the two words before it."""
+        if len(self.texts[t]) > self.params.short or not self.deciding[t]:
+            return False
+        near = words[max(first - 2, 0) : last + 1]
+        return not NEGATING.isdisjoint(near) or _NO_LONGER in zip(near, near[1:])
+
     def scan(self, text: bytes | None) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched tokens, first byte, byte after the last) of every match, by place."""
         words, spans = tokens(text)
@@ -195,6 +218,8 @@ class Scanner:
                 matched, first, last = through(template, words, i, j, free, band)
                 if matched >= self.least[t] and self.decided(t, words[first : last + 1]):
                     taken.insert(k, (first, last))
+                    if self.denied(t, words, first, last):
+                        continue
                     out.append((self.names[t], matched / size, matched, spans[first][0], spans[last][1]))
         return sorted(out, key=lambda m: (m[3], m[0]))
 
