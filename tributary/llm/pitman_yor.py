@@ -411,8 +411,9 @@ def assembled(group: pd.DataFrame, tokens: int) -> pd.DataFrame:
 def hot_contexts(source: DataFrame, rows: int, buckets: int, params: PitmanYorParams) -> dict[int, int]:
     """Hashes of words with more than an eighth of a bucket's tokens, and over how many buckets to deal them.
 
-    Looked up in a thousandth of the rows, 4000 at least: it only places work, no result depends on
-    it.  There are at most 8 such words a bucket.
+    Looked up in a thousandth of the rows, 4000 at least.  There are at most 8 such words a bucket.
+    They keep the seating of the burn-in, so which words these are moves single scores (by up to 2 %
+    between bucketings, measured; the mean hardly).
     """
     step = max(1, rows // max(4000, rows // 1000))
     part = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
