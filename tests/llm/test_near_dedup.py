@@ -75,6 +75,23 @@ def test_candidate_pairs_of_a_template_grow_in_proportion(spark):
     assert pairs(600) <= 2.5 * pairs(300) + 10
 
 
+def test_ids_with_two_texts_link_two_classes_once(spark):
+    """Hundreds of ids have the same two texts, and hundreds the first alone."""
+    one, two = "the one text that most of these rows have", "quite another text of which there are fewer"
+    rows = [(k, t) for k in range(300) for t in (one, two)] + [(k, one) for k in range(300, 600)] + [(700, two), (800, "a third one which stands alone here")]
+    real = near_dedup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.DedupParams())
+    assert near_dedup._named_twice(real).count() == 1
+    got = {r.doc_id: r.component_id for r in found_by(spark, rows).collect()}
+    assert got == {**dict.fromkeys([*range(600), 700], 0), 800: 800}
+
+
+def test_filter_of_texts_loses_none_and_grows(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    wanted = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("node"), "doc_id", F.xxhash64("text").alias("t"))
+    for size in (1 << 25, 64):  # 512 bits for 1000 rows: all pass, and the join decides
+        assert sorted(r.node for r in near_dedup.moved_texts(docs, wanted, size).select("node").collect()) == list(range(0, 3000, 3))
+
+
 def test_keep_one_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, `odd name` string")
     assert near_dedup.keep_one(none).collect() == [] and near_dedup.keep_one(none).columns == none.columns

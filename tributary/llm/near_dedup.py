@@ -137,13 +137,14 @@ def sketches(documents: DataFrame, params: DedupParams) -> DataFrame:
     return small_batches(documents).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, n_shingles long, class binary, bands array<long>")
 
 
-def moved_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+def moved_texts(documents: DataFrame, wanted: DataFrame, filter_bytes: int = 1 << 25) -> DataFrame:
     """(node, z): the compressed text of each wanted (node, doc_id, t), one row a node.
 
-    A Bloom filter of fixed size goes to the scan first, so that few texts but the wanted are
-    shuffled; with more rows than it can tell apart it lets more through, never fewer.
+    A Bloom filter goes to the scan first, so that few texts but the wanted are shuffled.  It has 16 bits
+    or more a wanted row (about 2 % of the others pass) up to ``filter_bytes``; with more rows than
+    that can tell apart it lets more through, never fewer.
     """
-    words = 1 << 17  # of 64 bits: 1 MB
+    words = 1 << min(max(17, (wanted.count() // 4).bit_length()), (filter_bytes // 8).bit_length() - 1)  # of 64 bits
     place = lambda salt: F.pmod(F.xxhash64("doc_id", "t", F.lit(salt)), F.lit(words * 64))
     bits = wanted.select(F.explode(F.array(place(1), place(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
     found = bits.toArrow()
@@ -273,23 +274,25 @@ def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -
     crowded = materialise(placed.join(mixed, "key").select("node", "c").distinct(), "crowded")
     pairs = materialise(prefix_pairs(crowded, texts, params), "pairs")
     more = confirmed(pairs, texts, params)
-    # the classes of one doc_id, linked to the least of them
-    named = real.select("doc_id", "class").join(nodes.select("class", "node"), "class") if _repeats(real) else None
-    if named is not None:
-        named = materialise(named.select("doc_id", "node").distinct(), "named")
-        least = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
-        more = more.unionByName(named.join(least, "doc_id").where("a != node").select("a", F.col("node").alias("b")))
+    named = materialise(_named_twice(real), "named")
+    if not named.isEmpty():
+        a, b = (nodes.select(F.col("class").alias(f"class_{x}"), F.col("node").alias(x)) for x in "ab")
+        more = more.unionByName(named.join(a, "class_a").join(b, "class_b").select("a", "b"))
     more = materialise(more, "links")
-    release(shared, texts, crowded, pairs)
+    release(shared, texts, crowded, pairs, named)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     release(links, more)
     return _told(signed, nodes, found, params)
 
 
-def _repeats(real: DataFrame) -> bool:
-    """Whether a doc_id has several texts."""
-    return not real.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 < t1").isEmpty()
+def _named_twice(real: DataFrame) -> DataFrame:
+    """(class_a, class_b): classes of one doc_id, each with the least of them; one row however many ids share the two.
+
+    Rows of ids with one text go before anything is joined, and copies of a text before their class is.
+    """
+    twice = real.groupBy("doc_id").agg(F.min("class").alias("class_a"), F.max("class").alias("last")).where("class_a < last").select("doc_id", "class_a")
+    return real.select("doc_id", "class").distinct().join(twice, "doc_id").where("class != class_a").select("class_a", F.col("class").alias("class_b")).distinct()
 
 
 def _told(signed: DataFrame, nodes: DataFrame, found: DataFrame, params: DedupParams) -> DataFrame:
