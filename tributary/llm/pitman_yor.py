@@ -8,8 +8,10 @@ the known words, with a share for all unknown ones together.
 Seatings are kept as numbers of tables by (context, word), drawn from their exact conditional
 through generalised Stirling numbers.  Given the parent's probabilities context restaurants are
 independent, so each is swept where it lies; tables by word are then added up over all contexts,
-the parent is seated anew, and sweeps go on under it.  Predictive probabilities are averaged over
-the last sweeps.
+the parent is seated anew, the strength of the contexts is drawn, and sweeps go on under both.
+Predictive probabilities are averaged over the last sweeps.  A context that lies in several buckets is swept
+like others: its buckets add up its tables after every sweep.  Every draw comes from the hashes of
+its words and the number of the sweep, so no score depends on buckets, chunks or parallelism.
 
 Where the work is:
 1. A chunk of documents deals its tokens over buckets of contexts, in one pass over the input.
@@ -18,14 +20,16 @@ Where the work is:
    joins with it move the other side only).
 3. Buckets ask the parts that own words for counts and for the parent's seating, before the first
    sweep and after the last one under the first seating.
-4. Buckets add up the scores of each document's tokens; a chunk's sums meet its ids.
+4. Pairs of shared contexts with several customers are written apart (``shared``), and each sweep of them
+   is a pass over that table; a sum a context comes back.
+5. Buckets add up the scores of each document's tokens; a chunk's sums meet its ids.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -48,12 +52,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class PitmanYorParams:
     """``unknown`` is the share of the base that unknown words have together; discounts are estimated from
-    counts of counts, strengths are given.  ``burn_in`` sweeps are under the first seating of the parent,
+    counts of counts.  ``strength`` is that of the contexts during the burn-in; with ``sample_strength`` it is then
+    drawn given the seating, from the values of ``strengths``, all as likely before.  ``burn_in`` sweeps are under the first seating of the parent,
     ``averaged`` ones under the second.  ``contexts`` above 0 folds the words before into so many
     restaurants.  A bucket holds about ``bucket_bytes`` of text, a chunk ``chunk_bytes``."""
 
     contexts: int = 0
     strength: float = 1.0
+    sample_strength: bool = True
     root_strength: float = 1.0
     unknown: float = 0.5
     burn_in: int = 2
@@ -141,21 +147,42 @@ def large_tables(customers: np.ndarray, log_open: np.ndarray, discount: float) -
     return mean, mean * np.maximum(1 - first * first / (f * second), 0)
 
 
-def _drawn(logs: np.ndarray, log_open: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Numbers t from 1 with weights exp(logs[t - 1] + log_open t)."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers, finalised (rounds of xor-shift and multiply)."""
+    h = (h ^ (h >> np.uint64(31))) * _ODD
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(32))
+
+
+def keys_of(context: np.ndarray | np.uint64, word: np.ndarray, sweep: int, seed: int) -> np.ndarray:
+    """A key for each pair of hashes in a sweep: what all its draws come from."""
+    with np.errstate(over="ignore"):
+        start = np.uint64(seed) * np.uint64(0x165667B19E3779F9) + np.uint64(sweep + 1) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed(mixed(word ^ start) + context * _ODD)
+
+
+def uniform(keys: np.ndarray, number: int) -> np.ndarray:
+    """The ``number``-th draw of each key, within (0, 1)."""
+    return ((mixed(keys ^ np.uint64((number * 0xA0761D6478BD642F) % (1 << 64))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _drawn(logs: np.ndarray, log_open: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Numbers t from 1 with weights exp(logs[t - 1] + log_open t), by draws from (0, 1)."""
     t = np.arange(1, len(logs) + 1)
     weight = logs + log_open[:, None] * t
     weight = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
-    return 1 + (weight < rng.random(len(log_open))[:, None] * weight[:, -1:]).sum(1)
+    return 1 + (weight < draw[:, None] * weight[:, -1:]).sum(1)
 
 
-def draw_tables(customers: np.ndarray, log_open: np.ndarray, discount: float, params: PitmanYorParams, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of dishes with ``customers``, each new table weighing exp(log_open).
+def draw_tables(customers: np.ndarray, log_open: np.ndarray, discount: float, params: PitmanYorParams, keys: np.ndarray | np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes with ``customers``, each new table weighing exp(log_open), by a key each.
 
     Exact up to ``exact`` customers.  Beyond: where tables are few, by the exact weights of one of the two
-    nearest sizes of a grid that ends at 64 times ``exact``; where they are many, a binomial with the mean
-    and variance of ``large_tables``.
+    nearest sizes of a grid that ends at 64 times ``exact``; where they are many, a rounded normal with the
+    mean and variance of ``large_tables``.
     """
+    if isinstance(keys, np.random.Generator):
+        keys = keys.integers(0, 1 << 64, len(customers), dtype=np.uint64)
     tables = np.minimum(customers, 1).astype(np.int64)
     logs = _log_stirling(params.exact, discount)
     order = np.argsort(customers, kind="stable")
@@ -165,7 +192,7 @@ def draw_tables(customers: np.ndarray, log_open: np.ndarray, discount: float, pa
             step = max(1, 2_000_000 // c)
             for s in range(lo, hi, step):
                 rows = order[s : min(s + step, hi)]
-                tables[rows] = _drawn(logs[c, 1 : c + 1], log_open[rows], rng)
+                tables[rows] = _drawn(logs[c, 1 : c + 1], log_open[rows], uniform(keys[rows], 1))
     many = np.flatnonzero(customers > params.exact)
     if not len(many):
         return tables
@@ -173,20 +200,48 @@ def draw_tables(customers: np.ndarray, log_open: np.ndarray, discount: float, pa
     few = mean < params.exact / 4
     steps = 24
     place = np.minimum(np.log2(customers[many[few]] / params.exact) * 4, steps)
-    place = np.floor(place + rng.random(len(place))).astype(int).clip(0, steps)
+    place = np.floor(place + uniform(keys[many[few]], 2)).astype(int).clip(0, steps)
     for k in np.unique(place).tolist():
         rows = many[few][place == k]
         grid = _log_stirling_grid(params.exact, steps, 2 * params.exact, discount)
         for s in range(0, len(rows), 4000):
             part = rows[s : s + 4000]
-            tables[part] = np.minimum(_drawn(grid[k, 1:], log_open[part], rng), customers[part])
+            tables[part] = np.minimum(_drawn(grid[k, 1:], log_open[part], uniform(keys[part], 1)), customers[part])
     rows, mean, variance = many[~few], mean[~few], variance[~few]
-    p = np.clip(1 - variance / mean, 1e-3, 1)
-    trials = np.maximum(np.rint(mean / p), 1).astype(np.int64)
-    tables[rows] = np.clip(rng.binomial(trials, np.minimum(mean / trials, 1)), 1, customers[rows])
+    normal = np.sqrt(-2 * np.log(uniform(keys[rows], 1))) * np.cos(2 * np.pi * uniform(keys[rows], 2))
+    tables[rows] = np.clip(np.rint(mean + np.sqrt(variance) * normal), 1, customers[rows])
     return tables
 
 
+def strengths(discount: float) -> np.ndarray:
+    """Strengths that the contexts may have: tenths of the discount below 0, and fourths of a power of ten above."""
+    return np.concatenate([-discount * np.arange(0.9, 0.05, -0.1), 10.0 ** np.arange(-3, 3.1, 0.25)])
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function, by Stirling's series from x + 8 on."""
+    less = sum(np.log(x + k) for k in range(8))
+    x = x + 8
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 - (1 / 30 - 1 / (105 * x * x)) / (x * x)) / (12 * x) - less
+
+
+def strength_evidence(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """log probability of seatings by strength, but for what does not depend on it, for all of ``strengths``.
+
+    A restaurant with c customers at t tables has (s + d)(s + 2d)...(s + (t-1)d) / ((s + 1)...(s + c-1)).
+    """
+    sat = customers > 0
+    both, many = np.unique(np.stack([customers[sat], tables[sat]]).astype(np.int64), axis=1, return_counts=True)
+    c, t = both[0].astype(float), both[1].astype(float)
+    rising = lambda x, n: _log_gamma(x + n) - _log_gamma(np.float64(x))
+    return np.array([(many * (rising(s / discount + 1, t - 1) - rising(s + 1, c - 1))).sum() for s in strengths(discount)])
+
+
+def drawn_strength(evidence: np.ndarray, discount: float, seed: int) -> float:
+    weight = np.exp(evidence - evidence.max()).cumsum()
+    return float(strengths(discount)[int((weight < np.random.default_rng(seed).random() * weight[-1]).sum())])
+
+
 @dataclass(frozen=True)
 class Root:
     """Sums over the parent restaurant, and over the training."""
@@ -197,6 +252,7 @@ class Root:
     tokens: int
     discount: float
     root_discount: float
+    strength: float = 1.0  # of the contexts
 
     def opening(self, params: PitmanYorParams) -> float:
         """The weight of a new table in the parent."""
@@ -207,6 +263,12 @@ class Root:
         return (np.maximum(customers - self.root_discount * tables, 0) + self.opening(params) * base) / (params.root_strength + self.customers)
 
 
+def swept(count: np.ndarray, taken: np.ndarray, parent: np.ndarray, context: np.ndarray, word: np.ndarray, number: int, root: Root, params: PitmanYorParams) -> np.ndarray:
+    """Tables of pairs in sweep ``number``: by customers, tables of the context, the parent's probability, and hashes."""
+    log_open = np.log((root.strength + root.discount * taken) * parent)
+    return draw_tables(count, log_open, root.discount, params, keys_of(context, word, number, params.seed))
+
+
 @dataclass
 class Bucket:
     """Pairs of a bucket: word, context and training count; ``hot``: the contexts that other buckets share."""
@@ -217,41 +279,43 @@ class Bucket:
     contexts: int
     hot: np.ndarray  # places of the shared contexts
     hot_customers: np.ndarray  # in all buckets
+    word_hash: np.ndarray
+    context_hash: np.ndarray
 
     def customers(self) -> np.ndarray:
         out = np.bincount(self.context, self.count, self.contexts)
         out[self.hot] = self.hot_customers
         return out
 
-    def sweep(self, tables: np.ndarray, parent: np.ndarray, hot_tables: np.ndarray, frozen: bool, root: Root, params: PitmanYorParams, rng: np.random.Generator) -> np.ndarray:
-        """Seat every pair with more than one customer anew; ``frozen``: not those of shared contexts."""
-        taken = np.bincount(self.context, tables, self.contexts)
-        taken[self.hot] = hot_tables
-        moves = self.count > 1
-        if frozen:
-            shared = np.zeros(self.contexts, bool)
-            shared[self.hot] = True
-            moves &= ~shared[self.context]
-        rows = np.flatnonzero(moves)
-        log_open = np.log((params.strength + root.discount * taken[self.context[rows]]) * parent[self.word[rows]])
+    def taken(self, tables: np.ndarray, hot_tables: np.ndarray) -> np.ndarray:
+        """Tables of each context, those of shared ones as told."""
+        out = np.bincount(self.context, tables, self.contexts)
+        out[self.hot] = hot_tables
+        return out
+
+    def sweep(self, tables: np.ndarray, parent: np.ndarray, hot_tables: np.ndarray, number: int, root: Root, params: PitmanYorParams) -> np.ndarray:
+        """Seat every pair with more than one customer anew; ``hot_tables``: of shared contexts, after the last sweep."""
+        rows = np.flatnonzero(self.count > 1)
+        context, word = self.context[rows], self.word[rows]
         out = tables.copy()
-        out[rows] = draw_tables(self.count[rows], log_open, root.discount, params, rng)
+        out[rows] = swept(self.count[rows], self.taken(tables, hot_tables)[context], parent[word], self.context_hash[context], self.word_hash[word], number, root, params)
         return out
 
-    def burnt_in(self, parent: np.ndarray, hot_types: np.ndarray, root: Root, bucket: int, params: PitmanYorParams) -> np.ndarray:
-        """Tables after the sweeps under the first seating of the parent; first: one table a pair."""
+    def burnt_in(self, parent: np.ndarray, hot_tables: list[np.ndarray], root: Root, params: PitmanYorParams) -> np.ndarray:
+        """Tables after the sweeps under the first seating of the parent; first: one table a pair.
+
+        ``hot_tables``: of the shared contexts, before each sweep.
+        """
         tables = np.minimum(self.count, 1)
-        for sweep in range(params.burn_in):
-            tables = self.sweep(tables, parent, hot_types, False, root, params, np.random.default_rng([params.seed, bucket, sweep]))
+        for number in range(params.burn_in):
+            tables = self.sweep(tables, parent, hot_tables[number], number, root, params)
         return tables
 
-    def predictive(self, tables: np.ndarray, parent: np.ndarray, hot_tables: np.ndarray, root: Root, params: PitmanYorParams) -> np.ndarray:
+    def predictive(self, tables: np.ndarray, parent: np.ndarray, hot_tables: np.ndarray, root: Root) -> np.ndarray:
         """Probability of each pair's word after its context: seated customers, then the parent's share."""
-        taken = np.bincount(self.context, tables, self.contexts)
-        taken[self.hot] = hot_tables
-        seats = (params.strength + self.customers())[self.context]
+        seats = (root.strength + self.customers())[self.context]
         own = np.maximum(self.count - root.discount * tables, 0)
-        return (own + (params.strength + root.discount * taken)[self.context] * parent[self.word]) / seats
+        return (own + (root.strength + root.discount * self.taken(tables, hot_tables))[self.context] * parent[self.word]) / seats
 
 
 def share(once: int, twice: int) -> float:
@@ -281,7 +345,7 @@ def dealt(name: int, keys: list, texts: list[bytes], buckets: int, hot: dict[int
 
 
 ASKED = "bucket int, chunk long, words binary, contexts binary, word_at binary, context_at binary, each binary, about binary"
-STATE = "bucket int, n_words long, n_contexts long, pairs binary, counts binary, once long, twice long, hot_at array<long>, hot array<long>, hot_customers array<long>, hot_types array<long>, parts array<int>, words array<binary>, word_counts array<binary>, word_types array<binary>, chunks array<long>, each array<binary>, pairs_of array<binary>, abouts array<struct<chunk: bigint, about: binary>>"
+STATE = "bucket int, n_words long, n_contexts long, contexts binary, pairs binary, counts binary, once long, twice long, hot_at array<long>, hot array<long>, hot_customers array<long>, hot_types array<long>, parts array<int>, words array<binary>, word_counts array<binary>, word_types array<binary>, chunks array<long>, each array<binary>, pairs_of array<binary>, abouts array<struct<chunk: bigint, about: binary>>"
 
 
 def part_of(words: np.ndarray, parts: int) -> np.ndarray:
@@ -316,7 +380,7 @@ def gathered(group: pd.DataFrame, parts: int, hot: dict[int, int]) -> dict:
     names, starts = np.unique(part, return_index=True)
     cut = lambda x: np.split(x, starts[1:]) if len(starts) else []
     return {
-        "n_words": len(words), "n_contexts": len(contexts), "pairs": rising(pairs), "counts": squeezed(count), "once": int((count == 1).sum()), "twice": int((count == 2).sum()),
+        "n_words": len(words), "n_contexts": len(contexts), "contexts": rising(contexts), "pairs": rising(pairs), "counts": squeezed(count), "once": int((count == 1).sum()), "twice": int((count == 2).sum()),
         "hot_at": shared.tolist(), "hot": contexts[shared].view(np.int64).tolist(),
         "hot_customers": np.bincount(context, count, len(contexts))[shared].astype(int).tolist(), "hot_types": np.bincount(context, np.minimum(count, 1), len(contexts))[shared].astype(int).tolist(),
         "parts": names.tolist(), "words": [rising(x) for x in cut(words)], "word_counts": [squeezed(x) for x in cut(of_word)], "word_types": [squeezed(x) for x in cut(types)],
@@ -344,10 +408,11 @@ def seated_words(group: pd.DataFrame, root: Root, params: PitmanYorParams) -> pd
     """Seat the parent's customers of a part: the tables that each word has over all contexts."""
     by_bucket = [risen(x).astype(np.int64) for x in group["at"]]
     at = np.concatenate(by_bucket)
+    salts = np.zeros(at.max() + 1, np.uint64)
+    salts[at] = np.concatenate([widened(x) for x in group["salts"]])
     customers = np.bincount(at, np.concatenate([widened(x) for x in group["tables"]])).astype(np.int64)
     base = root.opening(params) * (1 - params.unknown) / max(root.words, 1)
-    rng = np.random.default_rng([params.seed, int(group["part"].iloc[0]), 1 << 20])
-    tables = draw_tables(customers, np.full(len(customers), np.log(base)), root.root_discount, params, rng)
+    tables = draw_tables(customers, np.full(len(customers), np.log(base)), root.root_discount, params, keys_of(np.uint64(1), salts, -1, params.seed))
     rows = [(b, p, squeezed(customers[x]), squeezed(tables[x]), None) for b, p, x in zip(group["bucket"], group["part"], by_bucket, strict=True)]
     return pd.DataFrame([*rows, (-1, group["part"].iloc[0], None, None, [int(customers.sum()), int(tables.sum())])], columns=["bucket", "part", "customers", "tables", "sums"])
 
@@ -362,23 +427,62 @@ class Opened:
     asks: np.ndarray  # words whose seating can move
     at: list[np.ndarray]  # places in their parts
     parts: list[int]
-    hot_types: np.ndarray
 
     @classmethod
-    def of(cls, row: dict, hot: dict[int, tuple[int, int]]) -> Opened:
+    def of(cls, row: dict, hot: dict[int, int]) -> Opened:
+        """``hot``: customers of the shared contexts."""
         told = sorted(row["told"] or [], key=lambda x: x["part"])
         keys = risen(row["pairs"]).astype(np.int64)
         context, word = np.divmod(keys, max(row["n_words"], 1))
-        shared = np.array([hot[x] for x in row["hot"]], np.int64).reshape(-1, 2)
-        pairs = Bucket(word, context, widened(row["counts"]).astype(np.int64), row["n_contexts"], np.array(row["hot_at"], np.int64), shared[:, 0])
+        hashes = np.concatenate([np.empty(0, np.uint64), *map(risen, row["words"])])
+        pairs = Bucket(word, context, widened(row["counts"]).astype(np.int64), row["n_contexts"], np.array(row["hot_at"], np.int64), valued(row["hot"], hot), hashes, risen(row["contexts"]))
         join = lambda k: np.concatenate([np.empty(0, np.int64), *(widened(x[k]).astype(np.int64) for x in told)])
         counts = join("counts")
-        return cls(pairs, counts, join("types"), counts > 1, [risen(x["at"]).astype(np.int64) for x in told], [x["part"] for x in told], shared[:, 1])
+        return cls(pairs, counts, join("types"), counts > 1, [risen(x["at"]).astype(np.int64) for x in told], [x["part"] for x in told])
 
     def first_parent(self, root: Root, params: PitmanYorParams) -> np.ndarray:
         """Under one table a word."""
         return root.probability(self.types, np.minimum(self.types, 1), self.counts > 0, params)
 
+    def shared(self, row: dict) -> tuple:
+        """A row of SHARED: the pairs of shared contexts whose tables can move, and how many others there are."""
+        b = self.pairs
+        of = np.full(b.contexts, -1)
+        of[b.hot] = np.arange(len(b.hot))
+        of = of[b.context]
+        moves = (of >= 0) & (b.count > 1)
+        words, at = np.unique(b.word[moves], return_inverse=True)
+        still = np.bincount(of[(of >= 0) & (b.count == 1)], minlength=len(b.hot))
+        asked = np.cumsum(self.asks)[words] - 1
+        return (row["bucket"], row["hot"], still.tolist(), squeezed(of[moves]), squeezed(b.count[moves]), squeezed(at), squeezed(b.word_hash[words], "<u8"), squeezed(self.types[words]), rising(asked))
+
+
+SHARED = "bucket int, hot array<long>, still array<long>, of binary, count binary, word binary, hashes binary, types binary, asked binary"
+
+
+def valued(names: list[int], values: dict[int, int]) -> np.ndarray:
+    return np.array([values[x] for x in names], np.int64)
+
+
+def seats_of(row: dict, what: str) -> np.ndarray:
+    """``what`` (customers or tables in the parent) of the asked words of a bucket."""
+    return np.concatenate([np.empty(0, np.int64), *(widened(x[what]).astype(np.int64) for x in sorted(row["seated"] or [], key=lambda x: x["part"]))])
+
+
+def swept_shared(row: dict, before: dict[int, int], number: int, root: Root, params: PitmanYorParams) -> np.ndarray:
+    """Tables of the shared contexts of a row of SHARED after sweep ``number``, in this bucket."""
+    of, count, at, hashes = widened(row["of"]).astype(np.int64), widened(row["count"]).astype(np.int64), widened(row["word"]), widened(row["hashes"], "<u8")
+    if number < params.burn_in:
+        customers = widened(row["types"]).astype(np.int64)
+        tables = np.minimum(customers, 1)
+    else:
+        asked = risen(row["asked"]).astype(np.int64)
+        customers, tables = (seats_of(row, what)[asked] for what in ("customers", "tables"))
+    parent = root.probability(customers, tables, np.ones(len(hashes), bool), params)
+    context = np.array(row["hot"], np.int64).view(np.uint64)
+    moved = swept(count, valued(row["hot"], before)[of], parent[at], context[of], hashes[at], number, root, params)
+    return np.bincount(of, moved, len(context)).astype(np.int64) + np.array(row["still"], np.int64)
+
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
@@ -412,8 +516,7 @@ def hot_contexts(source: DataFrame, rows: int, buckets: int, params: PitmanYorPa
     """Hashes of words with more than an eighth of a bucket's tokens, and over how many buckets to deal them.
 
     Looked up in a thousandth of the rows, 4000 at least.  There are at most 8 such words a bucket.
-    They keep the seating of the burn-in, so which words these are moves single scores (by up to 2 %
-    between bucketings, measured; the mean hardly).
+    Their tables are added up over their buckets after every sweep, so no score depends on which they are.
     """
     step = max(1, rows // max(4000, rows // 1000))
     part = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
@@ -474,55 +577,92 @@ def score_documents(documents: DataFrame, params: PitmanYorParams = PitmanYorPar
     pairs = state.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).first()
     root = Root(float(x["2"] or 0), float(x["0"] or 0), int(x["0"] or 0), int(x["1"] or 0), share(pairs["once"], pairs["twice"]), share(x["3"] or 0, x["4"] or 0))
     zipped = state.select(F.explode(F.arrays_zip("hot", "hot_customers", "hot_types")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_customers").alias("c"), F.sum("x.hot_types").alias("t"))
-    shared = {r["hot"]: (r["c"], r["t"]) for r in zipped.collect()}  # as many as ``hot`` has
+    met = zipped.collect()  # as many as ``hot`` has
+    shared = {r["hot"]: r["c"] for r in met}
+    totals = [{r["hot"]: r["t"] for r in met}]  # tables of the shared contexts, before the first sweep and after each
 
     def by_bucket(replies: DataFrame, name: str, *columns: str) -> DataFrame:
         """One row a bucket, dealt as the state is."""
         return replies.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("part", *columns)).alias(name))
 
-    small = ["bucket", "n_words", "n_contexts", "pairs", "counts", "hot_at", "hot"]
+    small = ["bucket", "n_words", "n_contexts", "contexts", "words", "pairs", "counts", "hot_at", "hot"]
     first = by_bucket(told, "told", "at", "counts", "types")
+    apart = None
+    if shared:
+
+        def part_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 6)
+            for row in rows_of(batches):
+                out = Opened.of(row, shared).shared(row)
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in SHARED.split(", ")])
+
+        apart = materialise_bucketed(state.where("size(hot) > 0").select(*small).join(first, "bucket").mapInArrow(part_off, SHARED), "shared", "bucket", buckets)
+
+    def swept_once(rows: DataFrame, number: int, root: Root) -> dict[int, int]:
+        """Tables of the shared contexts after sweep ``number``, over all buckets."""
+        before = totals[-1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(row["hot"], pa.int64()), pa.array(swept_shared(row, before, number, root, params))], ["hot", "t"])
+
+        return {r["hot"]: r["t"] for r in rows.mapInArrow(run, "hot long, t long").groupBy("hot").agg(F.sum("t").alias("t")).collect()}
+
+    if apart is not None:
+        for number in range(params.burn_in):
+            totals.append(swept_once(apart, number, root))
+    burning = totals if shared else [{}] * (params.burn_in + 1)
 
     def burn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             o = Opened.of(row, shared)
-            tables = o.pairs.burnt_in(o.first_parent(root, params), o.hot_types, root, row["bucket"], params)
+            tables = o.pairs.burnt_in(o.first_parent(root, params), [valued(row["hot"], x) for x in burning], root, params)
             of_word = np.bincount(o.pairs.word, tables, row["n_words"])
-            taken = np.bincount(o.pairs.context, tables, row["n_contexts"])[o.pairs.hot].astype(np.int64)
             out, lo = [], 0
             for part, at in zip(o.parts, o.at, strict=True):
-                asks = o.asks[lo : lo + len(at)]
+                asks, here = o.asks[lo : lo + len(at)], slice(lo, lo + len(at))
                 if asks.any():
-                    out.append((row["bucket"], part, rising(at[asks]), squeezed(of_word[lo : lo + len(at)][asks]), None, None))
+                    out.append((row["bucket"], part, rising(at[asks]), squeezed(of_word[here][asks]), squeezed(o.pairs.word_hash[here][asks] & np.uint64(0xFFFFFFFF)), None))
                 lo += len(at)
-            out.append((row["bucket"], -1, None, None, row["hot"], taken.tolist()))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "part", "at", "tables", "hot", "taken"])
-
-    burnt = materialise(state.select(*small).join(first, "bucket").mapInArrow(burn, "bucket int, part int, at binary, tables binary, hot array<long>, taken array<long>"), "burnt")
-    zipped = burnt.where("part < 0").select(F.explode(F.arrays_zip("hot", "taken")).alias("x")).groupBy("x.hot").agg(F.sum("x.taken").alias("t"))
-    shared_tables = {r["hot"]: r["t"] for r in zipped.collect()}
+            own = np.ones(row["n_contexts"], bool)
+            own[o.pairs.hot] = False
+            customers, taken = (np.bincount(o.pairs.context, x, row["n_contexts"])[own] for x in (o.pairs.count, tables))
+            out.append((row["bucket"], -1, None, None, None, strength_evidence(customers, taken, root.discount).tolist()))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "part", "at", "tables", "salts", "evidence"])
+
+    burnt = materialise(state.select(*small).join(first, "bucket").mapInArrow(burn, "bucket int, part int, at binary, tables binary, salts binary, evidence array<double>"), "burnt")
+    strength = params.strength
+    if params.sample_strength:
+        found = burnt.where("part < 0").select(*[F.sum(F.col("evidence")[k]).alias(str(k)) for k in range(len(strengths(root.discount)))]).first()
+        evidence = np.array([x or 0.0 for x in found]) + strength_evidence(*(np.array([x[h] for h in shared], np.int64) for x in (shared, burning[-1])), root.discount)
+        strength = drawn_strength(evidence, root.discount, params.seed)
     seated = materialise(burnt.where("part >= 0").repartition(parts, "part").groupBy("part").applyInPandas(lambda g: seated_words(g, root, params), SEATED), "seated")
     release(burnt)
     y = seated.where("bucket < 0").select(*[F.sum(F.col("sums")[k]).alias(str(k)) for k in range(2)]).first()
     once = int(x["5"] or 0)  # words with one customer have one table in one context, and one in the parent
-    after = Root(float((y["0"] or 0) + once), float((y["1"] or 0) + once), root.words, root.tokens, root.discount, root.root_discount)
+    after = replace(root, customers=float((y["0"] or 0) + once), tables=float((y["1"] or 0) + once), strength=strength)
     second = by_bucket(seated, "seated", "customers", "tables")
+    if apart is not None:
+        met = materialise_bucketed(apart.join(second, "bucket"), "shared_seated", "bucket", buckets)
+        release(apart)
+        for sweep in range(params.averaged):
+            totals.append(swept_once(met, params.burn_in + sweep, after))
+        release(met)
+    steps = totals if shared else [{}] * (params.burn_in + params.averaged + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            o, b = Opened.of(row, shared), row["bucket"]
-            tables = o.pairs.burnt_in(o.first_parent(root, params), o.hot_types, root, b, params)
+            o = Opened.of(row, shared)
+            hot_tables = [valued(row["hot"], x) for x in steps]
+            tables = o.pairs.burnt_in(o.first_parent(root, params), hot_tables, root, params)
             customers, own = np.minimum(o.counts, 1), np.minimum(o.counts, 1)
-            seats = sorted(row["seated"] or [], key=lambda s: s["part"])
-            for what, into in (("customers", customers), ("tables", own)):
-                into[o.asks] = np.concatenate([np.empty(0, np.int64), *(widened(s[what]).astype(np.int64) for s in seats)])
+            customers[o.asks], own[o.asks] = seats_of(row, "customers"), seats_of(row, "tables")
             parent = after.probability(customers, own, o.counts > 0, params)
-            hot_tables = np.array([shared_tables[h] for h in row["hot"]], np.int64)
             p = np.zeros(len(tables))
-            for sweep in range(params.averaged):
-                tables = o.pairs.sweep(tables, parent, hot_tables, True, after, params, np.random.default_rng([params.seed, b, params.burn_in + sweep]))
-                p += o.pairs.predictive(tables, parent, hot_tables, after, params)
+            for number in range(params.burn_in, params.burn_in + params.averaged):
+                tables = o.pairs.sweep(tables, parent, hot_tables[number], number, after, params)
+                p += o.pairs.predictive(tables, parent, hot_tables[number + 1], after)
             logs = -np.log10(p / params.averaged)
             base = -np.log10((o.counts + 0.1) / (after.tokens + 0.1 * (after.words + 1)))[o.pairs.word]
             known = (o.counts > 0)[o.pairs.word]
