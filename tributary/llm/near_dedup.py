@@ -274,24 +274,27 @@ def near_duplicates(documents: DataFrame, params: DedupParams = DedupParams()) -
     crowded = materialise(placed.join(mixed, "key").select("node", "c").distinct(), "crowded")
     pairs = materialise(prefix_pairs(crowded, texts, params), "pairs")
     more = confirmed(pairs, texts, params)
-    named = materialise(_named_twice(real), "named")
-    if not named.isEmpty():
+    named = _named_twice(real)
+    if named is not None:
         a, b = (nodes.select(F.col("class").alias(f"class_{x}"), F.col("node").alias(x)) for x in "ab")
         more = more.unionByName(named.join(a, "class_a").join(b, "class_b").select("a", "b"))
     more = materialise(more, "links")
-    release(shared, texts, crowded, pairs, named)
+    release(shared, texts, crowded, pairs)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     release(links, more)
     return _told(signed, nodes, found, params)
 
 
-def _named_twice(real: DataFrame) -> DataFrame:
+def _named_twice(real: DataFrame) -> DataFrame | None:
     """(class_a, class_b): classes of one doc_id, each with the least of them; one row however many ids share the two.
 
-    Rows of ids with one text go before anything is joined, and copies of a text before their class is.
+    None where every id has one text.  Rows of ids with one text go before anything is joined, and copies of a text before their class is.
     """
     twice = real.groupBy("doc_id").agg(F.min("class").alias("class_a"), F.max("class").alias("last")).where("class_a < last").select("doc_id", "class_a")
+    twice = materialise(twice, "twice")
+    if twice.isEmpty():
+        return None
     return real.select("doc_id", "class").distinct().join(twice, "doc_id").where("class != class_a").select("class_a", F.col("class").alias("class_b")).distinct()
 
 
