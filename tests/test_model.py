@@ -49,6 +49,31 @@ def test_fitted_head_is_refined_to_the_optimum(data):
     assert flat[0][:2] == pytest.approx(weights, abs=1e-7)
 
 
+def test_refined_heads_do_not_depend_on_the_start(data):
+    """A start whose loss cannot fall by what counts still differs from the best head by more than rounding."""
+    *_, rows = data
+    best = L.refine(rows, NAMES, [0.0, 0.0], 0.0)
+    near = [best[0][0] + 1e-9, best[0][1]], best[1] - 1e-9
+    assert L.optimality(rows, NAMES, *near).reached
+    found = L.refine(rows, NAMES, *near)
+    assert [*found[0], found[1]] == pytest.approx([*best[0], best[1]], rel=0, abs=1e-13)
+
+
+def test_fitted_scores_equal_sql_to_the_last_digit(spark):
+    """At this size the fit itself is near enough to end the refinement at once."""
+    import duckdb
+
+    from tributary.plans import ORACLE_SQL, QUERIES
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("events", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = {k: v for k, *v in con.execute(ORACLE_SQL["click_model_scores"]).fetchall()}
+    got = {k: v for k, *v in QUERIES["click_model_scores"](spark, sf).select("row_key", "is_click", "logit", "score").collect()}
+    assert len(want) == 10000 and got.keys() == want.keys()
+    assert [(k, got[k], want[k]) for k in want if got[k] != want[k]] == []
+
+
 def test_separated_classes_have_no_optimum(spark):
     rows = spark.createDataFrame([(float(k), 0.0, int(k > 3), 1.0) for k in range(8)], "a double, b double, is_click int, ips double")
     with pytest.raises(ValueError, match="no optimum"):
