@@ -50,6 +50,22 @@ def test_running_equals_windows(small, keys, n, most):
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+@pytest.mark.parametrize("n, most, rows", [(0, 4, 5), (1, 4, 5), (13, 4, 5), (200, 4, 5), (200, 50, 5), (200, 50, 1), (200, 7, 1000)])
+def test_blocks_tell_all_lists(small, n, most, rows):
+    """A block's first list and its rows give every row's list, nulls included."""
+    df = log(small, n, n + most)
+    got = running(df, Running(("user_id",), ("time_ms", "row_key"), back={"video_id": ("hist", most)}, blocks=("block", rows))).collect()
+    want = {r.row_key: [x.video_id for x in r.hist] for r in by_windows(df.withColumn("video_id", F.struct("video_id")), ("user_id",), 500, most).collect()}
+    places, before, seen = [], None, {}
+    for r in sorted(got, key=lambda r: (r.block, r.block_at)):
+        assert r.block_at == (0 if before is None or before.block != r.block else before.block_at + 1) < rows and (not r.hist or r.block_at == 0)
+        places = list(r.hist) if r.block_at == 0 else places
+        seen[r.row_key] = places[len(places) - r.hist_size :]
+        places.append(r.video_id)
+        before = r
+    assert seen == want
+
+
 def test_repeated_rows(small):
     """Equal rows follow each other: each has its own place."""
     df = small.createDataFrame([(1, 1, 7, 10, 1, "a")] * 40, "row_key long, user_id long, video_id long, time_ms long, is_click int, kind string")

@@ -23,6 +23,15 @@ def column(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * width), pa.array(values.ravel()))
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half away from zero, no negative zero; without the decimal that ``F.round`` makes of each value."""
+    y = x * 10.0**digits
+    whole = np.trunc(y)
+    with np.errstate(invalid="ignore"):  # infinities stay
+        near = (whole + np.copysign(np.abs(y - whole) >= 0.5, y)) / 10.0**digits
+    return np.where(np.isfinite(y), near, x) + 0.0
+
+
 def _turned(values: pa.Array, weights: np.ndarray | Weights, rel: pa.Array | None) -> pa.Array:
     """Each row times the matrix, or times its relation's matrix; rows of other relations and nulls stay."""
     if values.null_count or (rel is not None and rel.null_count):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,10 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut in the lineage that survives executors."""
+@contextmanager
+def _own_shuffles_only(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def written(df: DataFrame, label: str, keep_shuffles: bool = True) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut in the lineage that survives executors.
+
+    Without ``keep_shuffles`` the shuffle files that this took go at once, not when the driver forgets them.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with nullcontext() if keep_shuffles else _own_shuffles_only(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,18 +7,26 @@ Matrix products and softmax states are computed a batch of vectors at a time (``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tributary.functions.arrays import add, dot, layer_norm, matrix, relu, scale, total, zeros
-from tributary.operators.blocks import Weights, combine, softmax_states, softmax_sums, turn
+from tributary.operators.blocks import Weights, column, combine, rounded, softmax_states, softmax_sums, turn
 from tributary.operators.prefix import written
 from tributary.operators.scan import Running, running
 from tributary.operators.store import HUB_ROWS, EdgeStore, copies, dealt, edge_store, find_hubs, join_keys
 
+#: Places of histories whose vectors meet in one call, and that one matrix product spans.
+BLOCK, SPAN = 1 << 14, 256
+
 
 def _reduced(how, vector: str, width: int, weight: Column | None = None) -> Column:
     part = lambda i: F.element_at(vector, i + 1)
@@ -275,8 +283,92 @@ def path_counts(log: DataFrame, authors: DataFrame, tags: DataFrame, time: str =
 
 
 def history_pool(rows: DataFrame, vectors: DataFrame, key: str, hist: str, target: str, width: int) -> DataFrame:
-    """(key, pooled): history vectors weighed by their dot product with the target's, not normalised."""
-    items = rows.select(key, F.col(target).alias("__target"), F.posexplode(hist).alias("pos", "__item"))
-    joined = items.join(vectors.select(F.col("idx").alias("__item"), F.col("emb").alias("v")), "__item").join(vectors.select(F.col("idx").alias("__target"), F.col("emb").alias("t")), "__target")
-    pooled = joined.withColumn("__w", dot(F.col("v"), F.col("t"))).groupBy(key).agg(_reduced(F.sum, "v", width, F.col("__w")).alias("pooled"))
-    return rows.select(key).join(pooled, key, "left").select(key, F.coalesce("pooled", zeros(width)).alias("pooled"))
+    """(key, pooled): history vectors weighed by their dot product with the target's, not normalised.
+
+    A row for each of ``rows``, zeros where nothing has a vector.  Blocks of whole lists are numbered and written once.
+    """
+    listed = rows.select(F.col(key).alias("key"), F.col(target).alias("item"), F.col(hist).alias("hist")).withColumn("hist", F.coalesce("hist", F.array().cast(rows.schema[hist].dataType)))
+    listed = listed.withColumn("size", F.size("hist"))
+    schema = StructType([*listed.schema.fields, StructField("block", LongType()), StructField("at", IntegerType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, places, row = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            upto = places + np.cumsum(batch.column("size").to_numpy() + 1)
+            at = row + np.arange(batch.num_rows, dtype="i4")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((part << 32) + upto // BLOCK), pa.array(at)], schema.names)
+            places, row = int(upto[-1]) if len(upto) else places, row + batch.num_rows
+
+    blocks = written(listed.mapInArrow(number, schema), "lists")
+    return pooled_blocks(blocks, vectors, width).select(F.col("key").alias(key), "pooled")
+
+
+def history_pool_of_log(log: DataFrame, vectors: DataFrame, width: int, most: int = 50, item: str = "video_id", user: str = "user_id", time: str = "time_ms", key: str = "row_key", digits: int | None = None) -> DataFrame:
+    """``history_pool`` of each row's item and the user's up to ``most`` rows before; users' first rows are dropped.
+
+    The lists are never built: rows lie in blocks in the order of user and time, and a block's rows tell them.
+    ``digits``: round to so many.
+    """
+    rows = log.select(F.col(key).alias("key"), F.col(item).alias("item"), user, time)
+    rows = running(rows, Running((user,), (time, "key"), back={"item": ("hist", most)}, blocks=("block", BLOCK)))
+    rows = rows.select("key", "item", "hist", F.col("hist_size").alias("size"), "block", F.col("block_at").alias("at"))
+    return pooled_blocks(rows, vectors, width, digits).where("size > 0").select(F.col("key").alias(key), "pooled")
+
+
+def pooled_blocks(rows: DataFrame, vectors: DataFrame, width: int, digits: int | None = None) -> DataFrame:
+    """(key, size, pooled) of ``rows`` (key, item, hist, size, block, at), which should be read from files.
+
+    The places of a block are, in the order of ``at``, each row's ``hist`` and then its ``item``; a row's list is the
+    ``size`` places before its item.  A block meets each vector that it names once, however many lists that is in.
+    Null components count as 0, vectors of one idx are added up (as a join of components would).
+    """
+    named = rows.select(F.col("block").alias("met_in"), F.explode(F.concat(F.array("item"), "hist")).alias("idx")).where("idx is not null").distinct()
+    met = named.join(vectors.where("emb is not null").select("idx", "emb"), "idx")
+    schema = StructType([rows.schema["key"], rows.schema["size"], StructField("pooled", ArrayType(DoubleType()))])
+
+    def pool(block: pa.Table, found: pa.Table) -> pa.Table:
+        block = block.take(np.argsort(block["at"].to_numpy())).combine_chunks()
+        known = found["idx"].unique().cast(block.schema.field("item").type) if found.num_rows else pa.array([], block.schema.field("item").type)
+        code = lambda c: pc.fill_null(pc.index_in(c, known, skip_nulls=True), -1).to_numpy().astype("i8")
+        table = np.zeros((len(known) + 1, width))  # the last row: items without a vector
+        if found.num_rows:
+            codes = code(found["idx"].cast(known.type))
+            order = np.argsort(codes, kind="stable")
+            values = pc.fill_null(found["emb"].combine_chunks().flatten().cast(pa.float64()), 0).to_numpy().reshape(-1, width)
+            table[:-1] = np.add.reduceat(values[order], np.searchsorted(codes[order], np.arange(len(known))))
+        hist, item, size = block["hist"].combine_chunks(), block["item"], block["size"].to_numpy()
+        given = pc.list_value_length(hist).to_numpy()
+        ends = np.cumsum(given) + np.arange(len(size))
+        places = np.full(len(size) + int(given.sum()), -1)
+        places[ends] = targets = code(item)
+        own = np.ones(len(places), bool)
+        own[ends] = False
+        places[own] = code(hist.flatten())
+        pooled = _windows(table, places, ends - size, ends, targets)
+        return pa.table([block["key"], block["size"], column(pooled if digits is None else rounded(pooled, digits))], names=schema.names)
+
+    return rows.groupBy("block").cogroup(met.groupBy("met_in")).applyInArrow(pool, schema)
+
+
+def _windows(table: np.ndarray, places: np.ndarray, start: np.ndarray, end: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """For each row the vectors of places[start:end], weighed by their dot product with the target's, and added up.
+
+    ``places`` and ``targets`` point into ``table``, whose last row (-1) stands for none.  Neither start nor end falls.
+    """
+    out = np.zeros((len(targets), table.shape[1]))
+    finite = np.isfinite(table).all()
+    first = 0
+    while first < len(targets):
+        last = max(first + 1, int(np.searchsorted(end, start[first] + SPAN, "right"))) if finite else first + 1
+        low, high = start[first], end[last - 1]
+        near, at = places[low:high], np.arange(low, high)
+        if finite:
+            vectors = table[near]
+            weights = table[targets[first:last]] @ vectors.T
+            weights[(at < start[first:last, None]) | (at >= end[first:last, None])] = 0
+            out[first:last] = weights @ vectors
+        elif targets[first] >= 0:  # 0 times infinity is no 0: only what is in the list
+            vectors = table[near[near >= 0]]
+            out[first] = (vectors @ table[targets[first]]) @ vectors
+        first = last
+    return out

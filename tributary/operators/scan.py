@@ -30,6 +30,9 @@ class Running:
     ``back``: column -> (name, most): list of the values of up to ``most`` rows before within the key, nulls left out.
     ``gaps``: (column, limit, name): running count over all rows of those that begin a key or follow a null or a
     value that is smaller by more than ``limit``.
+    ``blocks``: (name, rows): partitions are cut into blocks of so many rows, whose number is ``name``; name_at is the
+    place in the block.  A list of ``back`` is then given at place 0 only, with its nulls, and is empty elsewhere;
+    list_size is the number of rows that it is of, so the rows of a block tell all its lists.
     """
 
     keys: tuple[str, ...]
@@ -37,10 +40,12 @@ class Running:
     sums: dict[str, str] = field(default_factory=dict)
     back: dict[str, tuple[str, int]] = field(default_factory=dict)
     gaps: tuple[str, int, str] | None = None
+    blocks: tuple[str, int] | None = None
 
     @property
     def added(self) -> list[str]:
-        return [*self.sums.values(), *[name for name, _ in self.back.values()], *([self.gaps[2]] if self.gaps else [])]
+        lists = [name for name, _ in self.back.values()]
+        return [*self.sums.values(), *lists, *([self.gaps[2]] if self.gaps else []), *([self.blocks[0], f"{self.blocks[0]}_at", *[f"{n}_size" for n in lists]] if self.blocks else [])]
 
 
 def _same(column: pa.Array, before: pa.Scalar | None) -> np.ndarray:
@@ -57,11 +62,11 @@ def _same(column: pa.Array, before: pa.Scalar | None) -> np.ndarray:
 class _Partition:
     """Reads the batches of one partition in order."""
 
-    def __init__(self, spec: Running):
-        self.spec = spec
+    def __init__(self, spec: Running, part: int):
+        self.spec, self.part = spec, part
         self.last: dict[str, pa.Scalar] = {}
         self.first: dict[str, object] = {}
-        self.run_rows = self.runs = self.starts = 0
+        self.run_rows = self.runs = self.starts = self.rows = 0
         self.run_sums = dict.fromkeys(spec.sums, 0)
         self.tails: dict[str, pa.Array] = {}
 
@@ -82,8 +87,15 @@ class _Partition:
             before = np.where(start < 0, -self.run_sums[c], (upto - values)[np.maximum(start, 0)])
             out[name] = pa.array(upto - before)
             self.run_sums[c] = int((upto - before)[-1])
+        place_in_block = None
+        if spec.blocks:
+            name, rows = spec.blocks
+            block, place_in_block = np.divmod(self.rows + at, rows)
+            out |= {name: pa.array((self.part << 32) + block), f"{name}_at": pa.array(place_in_block)}
         for c, (name, most) in spec.back.items():
-            out[name] = self._lists(column(c), c, most, place)
+            out[name] = self._lists(column(c), c, most, place, place_in_block)
+            if spec.blocks:
+                out[f"{name}_size"] = pa.array(np.minimum(place, most))
         if spec.gaps:
             c, limit, name = spec.gaps
             time = column(c)
@@ -92,18 +104,20 @@ class _Partition:
             fresh = ~same | pc.is_null(previous).to_numpy(zero_copy_only=False) | far
             out[name] = pa.array(self.starts + np.cumsum(fresh))
             self.starts += int(fresh.sum())
-        self.runs, self.run_rows = int(runs[-1]), int(place[-1]) + 1
+        self.runs, self.run_rows, self.rows = int(runs[-1]), int(place[-1]) + 1, self.rows + n
         self.last = {c: column(c)[n - 1] for c in (*spec.keys, *([spec.gaps[0]] if spec.gaps else []))}
         return out
 
-    def _lists(self, values: pa.Array, c: str, most: int, place: np.ndarray) -> pa.Array:
+    def _lists(self, values: pa.Array, c: str, most: int, place: np.ndarray, place_in_block: np.ndarray | None) -> pa.Array:
         tail = self.tails.get(c, pa.nulls(0, values.type))
         every = pa.concat_arrays([tail, values])
         end = np.arange(len(values)) + len(tail)
         size = np.minimum(place, most)
+        if place_in_block is not None:
+            size = np.where(place_in_block == 0, size, 0)
         offsets = np.concatenate([[0], np.cumsum(size)])
         flat = every.take(pa.array(np.repeat(end - size - offsets[:-1], size) + np.arange(offsets[-1])))
-        if flat.null_count:
+        if flat.null_count and place_in_block is None:
             valid = flat.is_valid().to_numpy(zero_copy_only=False)
             offsets, flat = np.concatenate([[0], np.cumsum(valid)])[offsets], flat.drop_null()
         kept = min(int(place[-1]) + 1, most)
@@ -128,6 +142,8 @@ def _schema(df: DataFrame, spec: Running) -> tuple[StructType, StructType]:
         added.append(StructField(spec.gaps[2], LongType()))
         time = df.schema[spec.gaps[0]].dataType
         state += [StructField("first_time", time), StructField("last_time", time), StructField("starts", LongType())]
+    if spec.blocks:
+        added += [StructField(spec.blocks[0], LongType()), StructField(f"{spec.blocks[0]}_at", IntegerType()), *[StructField(f"{name}_size", IntegerType()) for name, _ in spec.back.values()]]
     return StructType(added), StructType(state)
 
 
@@ -166,7 +182,7 @@ def running(df: DataFrame, spec: Running) -> DataFrame:
     types = to_arrow_schema(StructType(whole.fields[len(df.columns) :]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, scan, waiting = TaskContext.get().partitionId(), _Partition(spec), None
+        part, waiting = TaskContext.get().partitionId(), None
         edge = types.field("__edge").type
 
         def out(batch: pa.RecordBatch, columns: dict[str, pa.Array], last: dict | None) -> pa.RecordBatch:
@@ -174,6 +190,7 @@ def running(df: DataFrame, spec: Running) -> DataFrame:
             arrays = [pa.array(np.full(n, part, "i4")), *[columns[c] for c in names], pa.concat_arrays([pa.nulls(n - 1, edge), pa.array([last], edge)])]
             return pa.RecordBatch.from_arrays([*batch.columns, *[a.cast(f.type) for a, f in zip(arrays, types, strict=True)]], [*batch.schema.names, *types.names])
 
+        scan = _Partition(spec, part)
         for batch in batches:
             if batch.num_rows:
                 if waiting:
@@ -183,15 +200,20 @@ def running(df: DataFrame, spec: Running) -> DataFrame:
             yield out(*waiting, scan.edge())
 
     order = [F.col(c) for c in (*spec.keys, *spec.order)]
-    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, whole), "scan")
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, whole), "scan", keep_shuffles=False)
     carried = _carries(dealt.where(F.col("__edge").isNotNull()).select("__part", "__edge.*"), spec)
     rows = dealt.join(F.broadcast(carried), "__part")
     head = F.col("__head")
     final: dict[str, Column] = {name: F.col(name) + F.when(head >= 0, F.col(f"__sum_{c}")).otherwise(0) for c, name in spec.sums.items()}
     for c, (name, most) in spec.back.items():
         tail, missing = F.col(f"__tail_{c}"), F.least(most - head, F.size(f"__tail_{c}")).cast("int")
-        earlier = F.array_compact(F.slice(tail, F.size(tail) - missing + 1, missing))
-        final[name] = F.when((head >= 0) & (missing > 0), F.concat(earlier, F.col(name))).otherwise(F.col(name))
+        earlier, carries = F.slice(tail, F.size(tail) - missing + 1, missing), (head >= 0) & (missing > 0)
+        if spec.blocks:
+            final[f"{name}_size"] = F.col(f"{name}_size") + F.when(carries, missing).otherwise(0)
+            carries &= F.col(f"{spec.blocks[0]}_at") == 0
+        else:
+            earlier = F.array_compact(earlier)
+        final[name] = F.when(carries, F.concat(earlier, F.col(name))).otherwise(F.col(name))
     if spec.gaps:
         final[spec.gaps[2]] = F.col(spec.gaps[2]) + F.col("__starts")
     return rows.withColumns(final).select(*df.columns, *spec.added)

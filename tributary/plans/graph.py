@@ -383,7 +383,8 @@ def kg_paths(s, sf):
     SELECT row_key, v.i, sum(w * v.x) AS x FROM (SELECT row_key, item, video_id FROM (SELECT row_key, video_id, unnest(hist) AS item FROM ({HISTORY}) WHERE hist IS NOT NULL))
       JOIN (SELECT ia, ib, sum(a.x * b.x) AS w FROM (SELECT DISTINCT unnest(hist) AS ia, video_id AS ib FROM ({HISTORY}) WHERE hist IS NOT NULL) JOIN comp a ON a.idx = ia JOIN comp b ON b.idx = ib AND b.i = a.i GROUP BY 1, 2) ON ia = item AND ib = video_id JOIN comp v ON v.idx = item GROUP BY 1, 2) p ON p.row_key = h.row_key AND p.i = h.i GROUP BY 1""", "log", "comp"))
 def history_pool(s, sf):
-    return P.history_pool(S.histories(B.log(s, sf)), B.vectors(s, sf), "row_key", "hist", "video_id", WIDTH).select("row_key", rounded(F.col("pooled"), 4).alias("pooled"))
+    vectors = B.read(s, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb"))  # as stored: half the bytes of doubles
+    return P.history_pool_of_log(B.raw_log(s, sf), vectors, WIDTH, digits=4)
 
 
 FEATURE_ROWS = """SELECT 'user' AS node_type, u.idx, 0 AS k, f.i, f.x FROM uid u JOIN (
